@@ -58,9 +58,9 @@ def adjusted_odds(
 ) -> DataFrame:
     """Logistic regression of the outcome on the missing flag and the factors: one row per model term.
 
-    Records are first counted per combination of flag, outcome and factor levels; the model is then
-    fitted on those counts as weights, which gives the same estimates as fitting on the records, from a
-    table whose size depends on the number of levels only. A record without a level of some factor is
+    Records are first counted per combination of flag and factor levels; the model is then fitted on the
+    outcome's share in each combination, weighted by its count. The estimates are those of a fit on the
+    records, from a table whose size depends on the number of levels only. A record without a level of some factor is
     left out. The base level of a factor is its first in order unless ``base`` names another.
     No penalty is applied; under separation the estimates are large or not finite and shown as they are.
     """
@@ -69,8 +69,9 @@ def adjusted_odds(
     levels_as_text = [F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(factors)]
     counts = (
         df.dropna(subset=list(factors))
-        .groupBy((~known(flag)).alias("without"), happened.alias("happened"), *levels_as_text)
-        .agg(count_rows(rows).cast("double").alias("weight"))
+        .groupBy((~known(flag)).alias("without"), *levels_as_text)
+        .agg(count_rows(rows).alias("n"), count_where(happened, rows).alias("n_happened"))
+        .where("n > 0")
     )
     counts = stored(counts, "odds-counts")
     features, terms = [F.col("without").cast("double").alias("x0")], ["without_flag"]
@@ -84,7 +85,9 @@ def adjusted_odds(
             if level != reference:
                 features.append((F.col(f"f{i}") == level).cast("double").alias(f"x{len(terms)}"))
                 terms.append(f"{factor}={level}")
-    design = counts.select(F.col("happened").cast("double").alias("label"), "weight", *features)
+    design = counts.select(
+        (F.col("n_happened") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight"), *features
+    )
     table = VectorAssembler(inputCols=[f"x{i}" for i in range(len(terms))], outputCol="features").transform(design)
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-12
@@ -94,7 +97,7 @@ def adjusted_odds(
         errors = [float(e) for e in model.summary.coefficientStandardErrors]
     except Exception:  # no closed-form solution, hence no standard errors
         errors = [float("nan")] * len(estimates)
-    n = int(counts.agg(F.sum("weight")).first()[0])
+    n = int(counts.agg(F.sum("n")).first()[0])
     fitted = spark.createDataFrame(
         list(zip([*terms, "intercept"], estimates, errors)), "term string, coefficient double, std_error double"
     )
