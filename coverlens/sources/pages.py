@@ -57,13 +57,14 @@ def flatten_studies(pages: DataFrame) -> DataFrame:
         "page_no", "page_file", "pos", F.col("study.protocolSection").alias("s")
     )
     phases = F.col("s.designModule.phases")
+    phase_list = F.try_variant_get(phases, "$", "array<string>")
     picked = studies.select(
         *schema.ARRIVAL,
         F.col("s.identificationModule.nctId").alias("nct_id"),
         parse_flag(variant_text("s.oversightModule.oversightHasDmc")).alias("has_dmc"),
-        F.coalesce(
-            phase_of_codes(F.try_variant_get(phases, "$", "array<string>")), phase_of_code(variant_text(phases))
-        ).alias("phase"),
+        F.when(phase_list.isNotNull(), phase_of_codes(phase_list))
+        .otherwise(phase_of_code(variant_text(phases)))
+        .alias("phase"),
         F.col("s.designModule.studyType").alias("study_type"),
         F.col("s.sponsorCollaboratorsModule.leadSponsor.class").alias("sponsor_class"),
         F.col("s.statusModule.overallStatus").alias("overall_status"),
