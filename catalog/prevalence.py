@@ -89,9 +89,9 @@ ORACLES["prevalence_by_role"] = sql_prevalence(
 
 @register
 def prevalence_by_area(spark, sf):
-    """Whole documents through the default rules."""
+    """Whole documents through the default rules, with the classifier made for long texts."""
     docs = table(spark, sf, "documents").select(
-        area_of(F.lower("text")).alias("area"), (F.col("n_chars") > 500).alias("flag")
+        area_of_long_text(F.lower("text")).alias("area"), (F.col("n_chars") > 500).alias("flag")
     )
     return prevalence_by(docs, "area", "flag")
 
@@ -103,9 +103,9 @@ ORACLES["prevalence_by_area"] = sql_prevalence(
 
 @register
 def prevalence_by_topic(spark, sf):
-    """Whole documents through other rules, with the classifier made for long texts."""
+    """Whole documents through other rules."""
     docs = table(spark, sf, "documents").select(
-        area_of_long_text(F.lower("text"), TOPIC_RULES, "None").alias("topic"), (F.col("n_chars") > 500).alias("flag")
+        area_of(F.lower("text"), TOPIC_RULES, "None").alias("topic"), (F.col("n_chars") > 500).alias("flag")
     )
     return prevalence_by(docs, "topic", "flag")
 

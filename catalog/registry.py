@@ -23,6 +23,7 @@ from catalog.common import (
 from coverlens.functions import vocab
 from coverlens.functions.labels import area_of
 from coverlens.operators import charts, gaps, odds, outcomes, prevalence
+from coverlens.operators.dedupe import first_wins
 from coverlens.plans.normalize import normalize
 from coverlens.plans.report import record_cells, report_tables
 from coverlens.session import stored
@@ -69,8 +70,8 @@ FIRST_BY = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
 def records(spark, sf):
     """The raw table, normalised; the earliest record of an ID counts."""
     raw = table(spark, sf, "lineitem").selectExpr(*[f"{sql} AS {name}" for name, sql in RAW.items()], *FIRST_BY)
-    raw = raw.withColumn("therapeutic_area", area_of("condition_text"))
-    return normalize(raw, first_by=FIRST_BY)
+    first = first_wins(raw, "nct_id", FIRST_BY)
+    return normalize(first.withColumn("therapeutic_area", area_of("condition_text")))
 
 
 _TYPES = "CASE WHEN l_quantity <= 30 THEN 'Interventional' WHEN l_quantity <= 45 THEN 'Observational' ELSE 'Expanded_Access' END"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from coverlens.functions import vocab
 from coverlens.functions.labels import known
 from coverlens.functions.measures import count_keys, count_rows, count_where, percent
+from coverlens.session import stored
 
 
 def category_counts(df: DataFrame, column: str, rows: str | None = None) -> DataFrame:
@@ -33,13 +34,19 @@ def in_top_categories(df: DataFrame, column: str, n: int = vocab.TOP_AREAS, rows
     return df.join(F.broadcast(top_categories(df, column, n, rows).select(column)), column, "left_semi")
 
 
-def _cells(
+def _counted(
     df: DataFrame, by: Sequence[str], flag: str, key: str, rows: str | None, keys: str | None, name: str
 ) -> DataFrame:
-    counts = df.dropna(subset=list(by)).groupBy(*by).agg(
-        count_keys(key, keys).alias("total"), count_where(known(flag), rows).alias(f"with_{name}")
+    return df.groupBy(*by).agg(
+        count_rows(rows).alias("_n"),
+        count_keys(key, keys).alias("total"),
+        count_where(known(flag), rows).alias(f"with_{name}"),
     )
-    return counts.withColumn(f"with_{name}_pct", percent(f"with_{name}", "total"))
+
+
+def _finished(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    pct = percent(f"with_{name}", "total").alias(f"with_{name}_pct")
+    return counts.dropna(subset=list(by)).select(*by, "total", f"with_{name}", pct)
 
 
 def heatmap_cells(
@@ -53,8 +60,12 @@ def heatmap_cells(
     keys: str | None = None,
     name: str = "dmc",
 ) -> DataFrame:
-    """row, column, total, with_*, with_*_pct (unrounded) for the ``n`` most frequent column values."""
-    return _cells(in_top_categories(df, column, n, rows), [row, column], flag, key, rows, keys, name)
+    """row, column, total, with_*, with_*_pct (unrounded) for the ``n`` most frequent column values.
+
+    The records are read once: pair counts are stored, and both the ranking and the cells come from them.
+    """
+    counts = stored(_counted(df.dropna(subset=[column]), [row, column], flag, key, rows, keys, name), "pair-counts")
+    return _finished(in_top_categories(counts, column, n, "_n"), [row, column], name)
 
 
 def cell_matrix(
@@ -81,12 +92,11 @@ def heatmap_matrix(
 ) -> DataFrame:
     """The heat map of the ``n`` most frequent column values.
 
-    The matrix columns must be known to plan it: the ``n`` labels are fetched first, and then also filter
-    the scan of the cells.
+    Its columns must be known to plan it, so the labels of the cells, ``n`` at most, are fetched first.
     """
-    top = [r[0] for r in top_categories(df, column, n, rows).select(column).collect()]
-    cells = _cells(df.where(F.col(column).isin(top)), [row, column], flag, key, rows, keys, name)
-    return cell_matrix(cells, top, row, column, f"with_{name}_pct")
+    cells = heatmap_cells(df, row, column, n, flag, key, rows, keys, name)
+    labels = [r[0] for r in distinct_labels(cells, column).collect()]
+    return cell_matrix(cells, labels, row, column, f"with_{name}_pct")
 
 
 def value_range(cells: DataFrame, value: str = "with_dmc_pct") -> DataFrame:
@@ -107,7 +117,8 @@ def yearly_trend(
 ) -> DataFrame:
     """year, group, total, with_*, with_*_pct (unrounded), by group and year; rows without either are left out."""
     kept = df if exclude is None else df.where(~exclude)
-    return _cells(kept, [year, group], flag, key, rows, keys, name).orderBy(group, year)
+    by = [year, group]
+    return _finished(_counted(kept.dropna(subset=by), by, flag, key, rows, keys, name), by, name).orderBy(group, year)
 
 
 def phase_trend(df: DataFrame, group: str = "phase_label", **options) -> DataFrame:

@@ -12,7 +12,7 @@ from coverlens.functions import vocab
 from coverlens.functions.dates import within
 from coverlens.functions.labels import in_statuses
 from coverlens.operators.dedupe import first_wins, unseen_only
-from coverlens.sources.pages import flatten_studies, read_pages
+from coverlens.sources.pages import pick_studies, read_pages, with_derived
 
 
 def eligible(
@@ -35,10 +35,11 @@ def ingest(
 ) -> DataFrame:
     """The tidy table of the pages under ``path``: eligible, first arrival per ID, none of the seen IDs.
 
-    Filters come before de-duplication, so a rejected version of a study does not hide a later one.
+    Filters come before de-duplication, so a rejected version of a study does not hide a later one;
+    classification comes after it, on the rows that stay.
     """
-    studies = eligible(flatten_studies(read_pages(spark, path, max_pages, multi_line)), **window)
+    studies = eligible(pick_studies(read_pages(spark, path, max_pages, multi_line)), **window)
     fresh = first_wins(studies, "nct_id", schema.ARRIVAL)
     if seen is not None:
         fresh = unseen_only(fresh, seen)
-    return fresh.select(*schema.TIDY_COLUMNS)
+    return with_derived(fresh).select(*schema.TIDY_COLUMNS)

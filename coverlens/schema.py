@@ -19,13 +19,15 @@ PAGE = """
     _corrupt_record string
 """
 
-# One row per study.
-TIDY = """
+# One row per study: the columns that come from the page itself, and all of them.
+PICKED = """
     nct_id string, has_dmc boolean, phase string, study_type string, sponsor_class string,
     overall_status string, why_stopped string, start_date string, primary_completion_date string,
-    conditions array<string>, therapeutic_area string, start_year int
+    conditions array<string>
 """
 
+TIDY = PICKED + ", therapeutic_area string, start_year int"
+
 TIDY_COLUMNS = [
     "nct_id",
     "has_dmc",

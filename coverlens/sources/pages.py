@@ -51,14 +51,14 @@ def unreadable_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("_corrupt_record").isNotNull() & F.col("studies").isNull()).drop("studies")
 
 
-def flatten_studies(pages: DataFrame) -> DataFrame:
-    """One tidy row per study that has an ID, with its arrival order (see ``schema.ARRIVAL``)."""
+def pick_studies(pages: DataFrame) -> DataFrame:
+    """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``)."""
     studies = pages.select("page_no", "page_file", F.posexplode("studies").alias("pos", "study")).select(
         "page_no", "page_file", "pos", F.col("study.protocolSection").alias("s")
     )
     phases = F.col("s.designModule.phases")
     phase_list = F.try_variant_get(phases, "$", "array<string>")
-    picked = studies.select(
+    return studies.select(
         *schema.ARRIVAL,
         F.col("s.identificationModule.nctId").alias("nct_id"),
         parse_flag(variant_text("s.oversightModule.oversightHasDmc")).alias("has_dmc"),
@@ -73,9 +73,15 @@ def flatten_studies(pages: DataFrame) -> DataFrame:
         F.col("s.statusModule.primaryCompletionDateStruct.date").alias("primary_completion_date"),
         variant_list("s.conditionsModule.conditions").alias("conditions"),
     ).where("nct_id <> ''")
-    return picked.withColumns(
-        {
-            "therapeutic_area": area_of(joined_lower("conditions")),
-            "start_year": year_of("start_date"),
-        }
+
+
+def with_derived(studies: DataFrame) -> DataFrame:
+    """Adds the classified area and the start year."""
+    return studies.withColumns(
+        {"therapeutic_area": area_of(joined_lower("conditions")), "start_year": year_of("start_date")}
     )
+
+
+def flatten_studies(pages: DataFrame) -> DataFrame:
+    """One complete tidy row per study on the pages, with its arrival order."""
+    return with_derived(pick_studies(pages))

@@ -10,7 +10,7 @@ from coverlens import schema
 from coverlens.operators.dedupe import first_wins, unseen_in_small_batch
 from coverlens.plans.ingest import eligible
 from coverlens.sources import files
-from coverlens.sources.pages import flatten_studies, stream_pages
+from coverlens.sources.pages import pick_studies, stream_pages, with_derived
 
 STORED = schema.TIDY + ", batch_id bigint"
 
@@ -30,11 +30,11 @@ def add_batch(studies: DataFrame, batch_id: int, out: str) -> None:
     """
     spark = studies.sparkSession
     candidates_path = f"{out}/_candidates"  # hidden from readers of ``out``; replaced by every batch
-    candidates = first_wins(studies, "nct_id", schema.ARRIVAL).select(*schema.TIDY_COLUMNS)
+    candidates = first_wins(studies, "nct_id", schema.ARRIVAL).drop(*schema.ARRIVAL)
     candidates.write.mode("overwrite").parquet(candidates_path)
-    candidates = spark.read.schema(schema.TIDY).parquet(candidates_path)
+    candidates = spark.read.schema(schema.PICKED).parquet(candidates_path)
     emitted = read_ingested(spark, out).where(F.col("batch_id") < batch_id)
-    fresh = unseen_in_small_batch(candidates, emitted)
+    fresh = with_derived(unseen_in_small_batch(candidates, emitted)).select(*schema.TIDY_COLUMNS)
     fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
@@ -49,7 +49,7 @@ def start_incremental(
 ) -> StreamingQuery:
     """Processes all pages landed since the last run under this checkpoint, then stops."""
     pages = stream_pages(spark, landing, max_files_per_trigger, multi_line)
-    studies = eligible(flatten_studies(pages), **window)
+    studies = eligible(pick_studies(pages), **window)
     return (
         studies.writeStream.foreachBatch(lambda batch, batch_id: add_batch(batch, batch_id, out.rstrip("/")))
         .option("checkpointLocation", checkpoint)
