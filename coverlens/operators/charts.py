@@ -12,6 +12,8 @@ from coverlens.functions.labels import known
 from coverlens.functions.measures import count_keys, count_rows, count_where, percent
 from coverlens.session import stored
 
+BROADCAST_ROWS = 1000
+
 
 def category_counts(df: DataFrame, column: str, rows: str | None = None) -> DataFrame:
     """Frequency of each non-null value, most frequent first; ties by value."""
@@ -30,8 +32,12 @@ def top_categories(df: DataFrame, column: str, n: int = vocab.TOP_AREAS, rows: s
 
 
 def in_top_categories(df: DataFrame, column: str, n: int = vocab.TOP_AREAS, rows: str | None = None) -> DataFrame:
-    """Rows whose value is among the ``n`` most frequent. The broadcast side has ``n`` rows at most."""
-    return df.join(F.broadcast(top_categories(df, column, n, rows).select(column)), column, "left_semi")
+    """Rows whose value is among the ``n`` most frequent.
+
+    The list has ``n`` rows at most and is broadcast if ``n`` is small; a long list is left to Spark's own choice.
+    """
+    top = top_categories(df, column, n, rows).select(column)
+    return df.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, column, "left_semi")
 
 
 def _counted(
@@ -49,6 +55,12 @@ def _finished(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     return counts.dropna(subset=list(by)).select(*by, "total", f"with_{name}", pct)
 
 
+def _pair_counts(
+    df: DataFrame, row: str, column: str, flag: str, key: str, rows: str | None, keys: str | None, name: str
+) -> DataFrame:
+    return stored(_counted(df.dropna(subset=[column]), [row, column], flag, key, rows, keys, name), "pair-counts")
+
+
 def heatmap_cells(
     df: DataFrame,
     row: str = "sponsor_bucket",
@@ -64,7 +76,7 @@ def heatmap_cells(
 
     The records are read once: pair counts are stored, and both the ranking and the cells come from them.
     """
-    counts = stored(_counted(df.dropna(subset=[column]), [row, column], flag, key, rows, keys, name), "pair-counts")
+    counts = _pair_counts(df, row, column, flag, key, rows, keys, name)
     return _finished(in_top_categories(counts, column, n, "_n"), [row, column], name)
 
 
@@ -92,11 +104,12 @@ def heatmap_matrix(
 ) -> DataFrame:
     """The heat map of the ``n`` most frequent column values.
 
-    Its columns must be known to plan it, so the labels of the cells, ``n`` at most, are fetched first.
+    Its columns must be known to plan it, so the ``n`` labels are fetched first.
     """
-    cells = heatmap_cells(df, row, column, n, flag, key, rows, keys, name)
-    labels = [r[0] for r in distinct_labels(cells, column).collect()]
-    return cell_matrix(cells, labels, row, column, f"with_{name}_pct")
+    counts = _pair_counts(df, row, column, flag, key, rows, keys, name)
+    top = [r[0] for r in top_categories(counts, column, n, "_n").select(column).collect()]
+    cells = _finished(counts.where(F.col(column).isin(top)), [row, column], name)
+    return cell_matrix(cells, top, row, column, f"with_{name}_pct")
 
 
 def value_range(cells: DataFrame, value: str = "with_dmc_pct") -> DataFrame:
