@@ -17,6 +17,8 @@ from coverlens.functions.labels import area_of, area_of_long_text, bucket_of
 from coverlens.functions.text import title_case
 from coverlens.operators.gaps import cohort_gaps
 from coverlens.operators.prevalence import prevalence_by, prevalence_overall, prevalence_sets
+from coverlens.session import shared_path
+from coverlens.sources.sinks import write_metrics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,6 +56,17 @@ ORACLES["prevalence_by_priority"] = sql_prevalence(
 )
 
 
+@register
+def metric_files(spark, sf):
+    """The same table written as a CSV metric and read back."""
+    (path,) = write_metrics({"by_priority": prevalence_by_priority(spark, sf)}, shared_path(spark, "metrics"))
+    columns = "priority string, total bigint, with_dmc bigint, without_dmc bigint, with_dmc_pct double"
+    return spark.read.schema(columns).option("header", True).csv(path)
+
+
+ORACLES["metric_files"] = ORACLES["prevalence_by_priority"]
+
+
 @register
 def prevalence_by_bucket(spark, sf):
     customers = table(spark, sf, "customer").select(

@@ -14,10 +14,13 @@ from coverlens.functions.text import ColumnOrName, as_col, has_any, has_phrase,
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
+def _lookup(c: Column, table: Mapping) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
+
+
 def parse_flag(c: ColumnOrName) -> Column:
     """``true`` / ``false`` in any case and padding; any other text is unknown (null)."""
-    word = F.lower(strip(as_col(c)))
-    return F.when(word == "true", True).when(word == "false", False)
+    return _lookup(F.lower(strip(as_col(c))), {"true": True, "false": False})
 
 
 def known(flag: ColumnOrName) -> Column:
@@ -29,10 +32,6 @@ def flag_label(flag: ColumnOrName, yes: str = vocab.WITH_LABEL, no: str = vocab.
     return F.when(known(flag), yes).otherwise(no)
 
 
-def _lookup(c: Column, table: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c]
-
-
 def phase_of_code(code: ColumnOrName, table: Mapping[str, str] = vocab.PHASE_LABELS) -> Column:
     """Phase code to label; an unlisted code becomes title case; null and empty give null."""
     code = as_col(code)
@@ -54,8 +53,15 @@ def phase_or_na(phase: ColumnOrName) -> Column:
 def bucket_of(
     c: ColumnOrName, table: Mapping[str, str] = vocab.SPONSOR_BUCKETS, default: str = vocab.DEFAULT_BUCKET
 ) -> Column:
-    """Maps a code to its bucket; everything unlisted, null included, goes to the default bucket."""
-    return F.coalesce(_lookup(upper_strip(c), table), F.lit(default))
+    """Maps a code, in any case and padding, to its bucket; everything else goes to the default bucket."""
+    return bucket_of_clean(upper_strip(c), table, default)
+
+
+def bucket_of_clean(
+    c: ColumnOrName, table: Mapping[str, str] = vocab.SPONSOR_BUCKETS, default: str = vocab.DEFAULT_BUCKET
+) -> Column:
+    """:func:`bucket_of` for codes that :func:`upper_strip` has already cleaned."""
+    return F.coalesce(_lookup(as_col(c), table), F.lit(default))
 
 
 def in_statuses(status: ColumnOrName, statuses: Iterable[str]) -> Column:

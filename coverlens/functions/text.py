@@ -36,10 +36,12 @@ def upper_strip(c: ColumnOrName) -> Column:
 def title_case(c: ColumnOrName) -> Column:
     """Upper-cases every letter that follows a non-letter, so ``EXPANDED_ACCESS`` is ``Expanded_Access``.
 
-    ``initcap`` alone starts words at blanks only.
+    ``initcap`` starts words at blanks only; texts where that is enough take this shorter way.
     """
-    words = F.split(F.lower(as_col(c)), r"(?<!\p{Ll})(?=\p{Ll})")
-    return F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
+    c = as_col(c)
+    words = F.split(F.lower(c), r"(?<!\p{Ll})(?=\p{Ll})")
+    by_letter = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
+    return F.when(c.rlike(r"[^\p{L} ]\p{L}"), by_letter).otherwise(F.initcap(c))
 
 
 def null_if_na(c: ColumnOrName, tokens: Iterable[str] = vocab.NA_TOKENS) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from coverlens.functions import vocab
 from coverlens.functions.dates import year_of
-from coverlens.functions.labels import bucket_of, has_phrase, parse_flag, phase_or_na
-from coverlens.functions.text import strip, title_case, upper_strip
+from coverlens.functions.labels import bucket_of_clean, parse_flag, phase_or_na
+from coverlens.functions.text import has_phrase, strip, title_case, upper_strip
 from coverlens.operators.dedupe import first_wins
 from coverlens.sources.contracts import require_columns, with_defaults
 from coverlens.sources.tidy import nulls_for_na
@@ -41,25 +41,24 @@ def normalize(
     if "start_year" not in df.columns:
         df = df.withColumn("start_year", year_of("start_date") if "start_date" in df.columns else F.lit(None).cast("int"))
     flag_is_text = isinstance(df.schema["has_dmc"].dataType, T.StringType)
-    df = df.withColumns(
+    cleaned = df.withColumns(
         {
             "has_dmc": parse_flag("has_dmc") if flag_is_text else F.col("has_dmc").cast("boolean"),
             "sponsor_class": upper_strip("sponsor_class"),
             "study_type": strip(title_case("study_type")),
             "overall_status": upper_strip("overall_status"),
+            "why_stopped_text": F.lower("why_stopped"),
+            "is_phase3": has_phrase("phase", "Phase 3"),
+            "is_phase4": has_phrase("phase", "Phase 4"),
+            "phase_label": phase_or_na("phase"),
         }
     )
-    phase3, phase4 = has_phrase("phase", "Phase 3"), has_phrase("phase", "Phase 4")
-    return df.withColumns(
+    return cleaned.withColumns(
         {
-            "sponsor_bucket": bucket_of("sponsor_class", buckets),
-            "is_phase3": phase3,
-            "is_phase4": phase4,
-            "is_phase34": phase3 | phase4,
+            "sponsor_bucket": bucket_of_clean("sponsor_class", buckets),
+            "is_phase34": F.col("is_phase3") | F.col("is_phase4"),
             "is_terminated_like": F.coalesce(F.col("overall_status").isin(vocab.TERMINATED_STATUSES), F.lit(False)),
             "is_completed": F.coalesce(F.col("overall_status").isin(vocab.COMPLETED_STATUSES), F.lit(False)),
-            "why_stopped_text": F.lower("why_stopped"),
-            "phase_label": phase_or_na("phase"),
-            "phase_is_na": phase_or_na("phase") == vocab.PHASE_NA,
+            "phase_is_na": F.col("phase_label") == vocab.PHASE_NA,
         }
     )
