@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import registry_of, table
 from coverlens.operators import dedupe
-from coverlens.plans.ingest import ingest
+from coverlens.plans.ingest import ingest, ingest_run
 from coverlens.session import shared_path
 from coverlens.sources.seen import SeenIds
 from coverlens.sources.tidy import read_tidy_csv, write_tidy_csv
@@ -174,6 +174,25 @@ QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY {_DROP}, o_orderkey, pos
 """
 
 
+@register
+def repeated_runs(spark, sf):
+    """Two batch runs over a growing folder; the second reads all pages and adds the studies not emitted before."""
+    folder, out, state = (shared_path(spark, name) for name in ("landing", "runs", "seen"))
+    orders, seen, runs = table(spark, sf, "orders"), SeenIds(spark, state), []
+    for run, drop in enumerate(("year(o_orderdate) < 1998", "year(o_orderdate) >= 1998"), start=1):
+        land_pages(orders.where(drop), folder)
+        emitted = ingest_run(spark, folder, out, seen, run, multi_line=False, **WINDOW)
+        runs.append(_comparable(emitted).withColumn("run", F.lit(run)))
+    return runs[0].unionByName(runs[1])
+
+
+_RUN = "CASE WHEN year(o_orderdate) < 1998 THEN 1 ELSE 2 END"
+ORACLES["repeated_runs"] = f"""
+SELECT * EXCLUDE ({_HELPERS}), ({_RUN})::INT AS run FROM ({_STUDIES})
+QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY {_RUN}, o_orderkey, pos) = 1
+"""
+
+
 @register
 def tidy_csv(spark, sf):
     """Documents as a tidy table with whole texts as stop reasons, to CSV and back."""

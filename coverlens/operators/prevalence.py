@@ -45,7 +45,7 @@ def prevalence_sets(
     """Overall and every single-dimension breakdown from one scan: dimension, label, counts, percentage.
 
     Records are first counted per combination of the dimensions, so the expansion into one copy per
-    grouping set happens on the combinations and not on the records.
+    grouping set happens on the combinations and not on the records. An empty table gives no rows.
     """
     require_columns(df, dims)
     combos = df.groupBy(*dims).agg(count_rows(rows).alias("_n"), count_where(known(flag), rows).alias("_w"))

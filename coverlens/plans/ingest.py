@@ -13,6 +13,8 @@ from coverlens.functions.dates import within
 from coverlens.functions.labels import in_statuses
 from coverlens.operators.dedupe import first_wins, unseen_only
 from coverlens.sources.pages import pick_studies, read_pages, with_derived
+from coverlens.sources.seen import SeenIds
+from coverlens.sources.tidy import read_tidy, write_tidy
 
 
 def eligible(
@@ -43,3 +45,16 @@ def ingest(
     if seen is not None:
         fresh = unseen_only(fresh, seen)
     return with_derived(fresh).select(*schema.TIDY_COLUMNS)
+
+
+def ingest_run(spark: SparkSession, path: str, out: str, seen: SeenIds, run: int, **options) -> DataFrame:
+    """One numbered run of a repeated batch ingestion: adds the studies that no earlier run has emitted.
+
+    The run owns the folder ``run=N`` under ``out`` and generation ``N`` of the seen IDs, and looks at lower
+    numbers only. Running it again after a failure replaces both.
+    """
+    folder = f"{out.rstrip('/')}/run={run}"
+    write_tidy(ingest(spark, path, seen=seen.load(before=run), **options), folder, mode="overwrite")
+    written = read_tidy(spark, folder)
+    seen.add(written, generation=run)
+    return written

@@ -35,11 +35,14 @@ class SeenIds:
     def _epoch(self) -> str:
         return f"{self.root}/epoch={max(files.numbered(self.spark, self.root, 'epoch='), default=0)}"
 
-    def load(self) -> DataFrame:
+    def load(self, before: int | None = None) -> DataFrame:
+        """All IDs, or those of the generations below ``before``."""
         epoch = self._epoch()
-        if not files.numbered(self.spark, epoch, "gen="):
+        numbers = files.numbered(self.spark, epoch, "gen=")
+        paths = [f"{epoch}/gen={n}" for n in numbers if before is None or n < before]
+        if not paths:
             return self.spark.createDataFrame([], f"{self.key} string")
-        lines = self.spark.read.option("recursiveFileLookup", True).text(epoch)
+        lines = self.spark.read.text(paths)
         return lines.select(strip("value").alias(self.key)).where(F.col(self.key) != "").distinct()
 
     def add(self, ids: DataFrame, generation: int | None = None) -> int:

@@ -5,8 +5,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from coverlens import schema
-from coverlens.plans.ingest import ingest
+from coverlens.plans.ingest import ingest, ingest_run
 from coverlens.sources.pages import flatten_studies, read_pages, unreadable_pages
+from coverlens.sources.seen import SeenIds
 from coverlens.streaming.incremental import add_batch, read_ingested, run_incremental
 
 
@@ -93,6 +94,18 @@ def test_empty_result_keeps_its_columns(spark, tmp_path):
     assert tidy.columns == schema.TIDY_COLUMNS and tidy.count() == 0
 
 
+def test_repeated_batch_runs(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    seen = SeenIds(spark, str(tmp_path / "seen"))
+    land(landing, 1, [study("A", True), study("B", status="RECRUITING")])
+    assert ids(ingest_run(spark, str(landing), out, seen, 1)) == ["A"]
+    land(landing, 2, [study("A", False), study("B", True)])
+    for _ in range(2):  # the second time as a repetition after a failure
+        assert ids(ingest_run(spark, str(landing), out, seen, 2)) == ["B"]
+        assert ids(seen.load()) == ["A", "B"]
+    assert ids(ingest_run(spark, str(landing), out, seen, 3)) == []
+
+
 def emitted(df):
     return sorted((r.nct_id, r.has_dmc, r.batch_id) for r in df.collect())
 
