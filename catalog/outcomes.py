@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog.common import (
     ITEM_FLAG,
+    ODDS_ESTIMATES,
     registry_of,
     rounded,
     sql_any,
+    sql_logit,
     sql_outcomes,
     sql_round,
     sql_signals,
@@ -116,76 +118,19 @@ ORACLES["crude_odds"] = (
     f"{sql_round(f'exp({_LOG} + {odds.Z95} * {_SE})', 1_000_000)} AS ci_high FROM ({_TWO_BY_TWO})"
 )
 
-_ESTIMATES = ["coefficient", "std_error", "odds_ratio", "ci_low", "ci_high"]
-
-
 
 @register
 def adjusted_odds(spark, sf):
     """Two factors."""
-    return rounded(odds.adjusted_odds(_items(spark, sf), ["l_linenumber", "size"], "flag", "stopped"), _ESTIMATES)
+    return rounded(odds.adjusted_odds(_items(spark, sf), ["l_linenumber", "size"], "flag", "stopped"), ODDS_ESTIMATES)
 
 
 @register
 def adjusted_odds_one_factor(spark, sf):
-    return rounded(odds.adjusted_odds(_items(spark, sf), ["l_linenumber"], "flag", "stopped"), _ESTIMATES)
-
-
-def sql_logit(second: str | None) -> str:
-    """Newton's method in SQL for: one intercept ``a`` per line number, a slope ``b`` for the missing flag and,
-    if ``second`` names a two-level column, a slope ``e`` for its second level.
-
-    The intercepts' block of the information matrix is diagonal, so what is left after eliminating them is
-    a 2×2 system with a closed form. Without a second factor its row is that of the unit matrix.
-    """
-    z = f"({second} = 'small')::INT::DOUBLE" if second else "0::DOUBLE"
-    unit = "0" if second else "1"
-    second_term = f"UNION ALL SELECT '{second}=small', e, sqrt(s11 / det) FROM base" if second else ""
-    return f"""
-WITH RECURSIVE cells AS (
-  SELECT l_linenumber::VARCHAR AS g, (NOT coalesce(flag, false))::INT::DOUBLE AS x, {z} AS z,
-         count(*)::DOUBLE AS n, (count(*) FILTER (WHERE stopped))::DOUBLE AS y
-  FROM {_ITEMS} GROUP BY ALL
-), newton AS (
-  SELECT 0 AS step, g, x, z, n, y, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS e, 0::DOUBLE AS s11,
-         0::DOUBLE AS s12, 0::DOUBLE AS s22, 0::DOUBLE AS d, 0::DOUBLE AS cx, 0::DOUBLE AS cz
-  FROM cells
-  UNION ALL
-  SELECT step + 1, g, x, z, n, y, a + (rg - gx * db - gz * de) / dg, b + db, e + de, t11, t12, t22, dg, gx, gz FROM (
-    SELECT *, (t22 * u1 - t12 * u2) / (t11 * t22 - t12 * t12) AS db,
-              (t11 * u2 - t12 * u1) / (t11 * t22 - t12 * t12) AS de FROM (
-      SELECT *, sum(w * x * x) OVER () - sum(w * x * gx / dg) OVER () AS t11,
-                sum(w * x * z) OVER () - sum(w * x * gz / dg) OVER () AS t12,
-                sum(w * z * z) OVER () - sum(w * z * gz / dg) OVER () + {unit} AS t22,
-                sum(r * x) OVER () - sum(r * gx / dg) OVER () AS u1,
-                sum(r * z) OVER () - sum(r * gz / dg) OVER () AS u2 FROM (
-        SELECT *, sum(w) OVER (PARTITION BY g) AS dg, sum(w * x) OVER (PARTITION BY g) AS gx,
-                  sum(w * z) OVER (PARTITION BY g) AS gz, sum(r) OVER (PARTITION BY g) AS rg FROM (
-          SELECT *, n * p * (1 - p) AS w, y - n * p AS r FROM (
-            SELECT *, 1 / (1 + exp(-(a + b * x + e * z))) AS p FROM newton WHERE step < 25)))))
-), fitted AS (
-  SELECT *, s11 * s22 - s12 * s12 AS det FROM
-    (SELECT DISTINCT g, a, b, e, s11, s12, s22, d, cx, cz FROM newton WHERE step = 25)
-), base AS (
-  SELECT * FROM fitted WHERE g = (SELECT min(g) FROM fitted)
-), levels AS (
-  SELECT 'l_linenumber=' || f.g AS term, f.a - base.a AS coefficient, 1 / f.d + 1 / base.d AS v0,
-         f.cx / f.d - base.cx / base.d AS vx, f.cz / f.d - base.cz / base.d AS vz, f.s11, f.s12, f.s22, f.det
-  FROM fitted f, base WHERE f.g <> base.g
-  UNION ALL SELECT 'intercept', a, 1 / d, cx / d, cz / d, s11, s12, s22, det FROM base
-), terms AS (
-  SELECT term, coefficient, sqrt(v0 + (s22 * vx * vx - 2 * s12 * vx * vz + s11 * vz * vz) / det) AS std_error FROM levels
-  UNION ALL SELECT 'without_flag', b, sqrt(s22 / det) FROM base
-  {second_term}
-)
-SELECT term, {sql_round('coefficient', 1_000_000)} AS coefficient, {sql_round('std_error', 1_000_000)} AS std_error,
-       {sql_round('exp(coefficient)', 1_000_000)} AS odds_ratio,
-       {sql_round(f'exp(coefficient - {odds.Z95} * std_error)', 1_000_000)} AS ci_low,
-       {sql_round(f'exp(coefficient + {odds.Z95} * std_error)', 1_000_000)} AS ci_high,
-       (SELECT sum(n)::BIGINT FROM cells) AS n
-FROM terms
-"""
+    return rounded(odds.adjusted_odds(_items(spark, sf), ["l_linenumber"], "flag", "stopped"), ODDS_ESTIMATES)
 
 
-ORACLES["adjusted_odds"] = sql_logit("size")
-ORACLES["adjusted_odds_one_factor"] = sql_logit(None)
+ORACLES["adjusted_odds"] = sql_logit(
+    _ITEMS, "l_linenumber", "l_linenumber", "flag", "stopped", {"size=small": "size = 'small'"}
+)
+ORACLES["adjusted_odds_one_factor"] = sql_logit(_ITEMS, "l_linenumber", "l_linenumber", "flag", "stopped", {})

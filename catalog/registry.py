@@ -9,11 +9,14 @@ from __future__ import annotations
 from functools import reduce
 
 from catalog.common import (
+    ODDS_ESTIMATES,
     registry_of,
+    rounded,
     sql_any,
     sql_area,
     sql_cells,
     sql_gaps,
+    sql_logit,
     sql_outcomes,
     sql_overall,
     sql_prevalence,
@@ -166,7 +169,17 @@ ORACLES["registry_trend_by_phase"] = sql_cells(
 def registry_adjusted_odds(spark, sf):
     """Termination without the flag, adjusted for phase and sponsor."""
     labelled = records(spark, sf).select("phase_label", "sponsor_bucket", "has_dmc", "is_terminated_like")
-    return odds.adjusted_odds(labelled, ["phase_label", "sponsor_bucket"])
+    return rounded(odds.adjusted_odds(labelled, ["phase_label", "sponsor_bucket"]), ODDS_ESTIMATES)
+
+
+ORACLES["registry_adjusted_odds"] = sql_logit(
+    RECORDS,
+    "phase_label",
+    "phase_label",
+    "has_dmc",
+    "is_terminated_like",
+    {f"sponsor_bucket={b}": f"sponsor_bucket = '{b}'" for b in ("Industry", "NIH", "Other")},
+)
 
 
 # Each report table reduced to: label, whole, part, percentage.
