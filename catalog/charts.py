@@ -69,7 +69,7 @@ ORACLES["heatmap_range"] = (
 )
 
 # The year of January orders is unknown, and so is the priority of low ones.
-_YEAR = "CASE WHEN month(o_orderdate) > 1 THEN year(o_orderdate) END"
+_YEAR = "CASE WHEN month(o_orderdate) > 1 THEN CAST(year(o_orderdate) AS INT) END"
 _PRIORITY = "CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '1-URGENT' THEN '  ' ELSE o_orderpriority END"
 
 

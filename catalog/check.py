@@ -35,6 +35,9 @@ def canonical(names, records):
     return [names[i] for i in order], sorted(rows, key=repr)
 
 
+SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def difference(df, con, sql) -> str | None:
     """None if both sides agree, else what differs."""
     names, rows = canonical(df.columns, df.collect())
@@ -42,6 +45,9 @@ def difference(df, con, sql) -> str | None:
     expected_names, expected = canonical([d[0] for d in result.description], result.fetchall())
     if names != expected_names:
         return f"columns {names} instead of {expected_names}"
+    types, expected_types = dict(df.dtypes), {d[0]: SPARK_TYPE.get(str(d[1]), str(d[1])) for d in result.description}
+    if types != expected_types:
+        return f"types {types} instead of {expected_types}"
     if len(rows) != len(expected):
         return f"{len(rows)} rows instead of {len(expected)}"
     wrong = [(a, b) for a, b in zip(rows, expected) if a != b]

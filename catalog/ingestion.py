@@ -20,11 +20,11 @@ register = registry_of(QUERIES)
 @register
 def first_wins(spark, sf):
     """First event of each user."""
-    return dedupe.first_wins(table(spark, sf, "events"), "user_id", ["event_id"])
+    return dedupe.first_wins(table(spark, sf, "events").drop("ts"), "user_id", ["event_id"])
 
 
 ORACLES["first_wins"] = """
-SELECT event_id, ts, user_id, event_type, value, props FROM events
+SELECT event_id, user_id, event_type, value, props FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1
 """
 
@@ -35,11 +35,11 @@ def unseen_only(spark, sf):
     orders = table(spark, sf, "orders")
     seen = orders.where("o_orderdate < '1995-06-01'")
     later = dedupe.first_wins(orders.where("o_orderdate >= '1995-06-01'"), "o_custkey", ["o_orderkey"])
-    return dedupe.unseen_only(later, seen, "o_custkey")
+    return dedupe.unseen_only(later, seen, "o_custkey").drop("o_orderdate")
 
 
 ORACLES["unseen_only"] = """
-SELECT * FROM (
+SELECT * EXCLUDE (o_orderdate) FROM (
   SELECT * FROM orders WHERE o_orderdate >= '1995-06-01'
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) later
 WHERE NOT EXISTS (SELECT 1 FROM orders seen WHERE seen.o_custkey = later.o_custkey AND seen.o_orderdate < '1995-06-01')

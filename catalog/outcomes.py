@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.common import (
     ITEM_FLAG,
     ODDS_ESTIMATES,

@@ -118,14 +118,14 @@ WHERE d BETWEEN DATE '1996-02-01' AND DATE '2000-06-15'
 @register
 def partial_dates(spark, sf):
     """The same texts parsed, unreadable ones included."""
-    return table(spark, sf, "orders").select("o_orderkey", dates.partial_date(F.expr(DATE_TEXT)).alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.partial_date(F.expr(DATE_TEXT)).cast("string").alias("day"))
 
 
 ORACLES["partial_dates"] = f"""
 SELECT o_orderkey, CASE
   WHEN regexp_full_match(text, '[0-9]{{4}}') THEN try_strptime(text, '%Y')
   WHEN regexp_full_match(text, '[0-9]{{4}}-[0-9]{{1,2}}') THEN try_strptime(text, '%Y-%m')
-  WHEN regexp_full_match(text, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN try_strptime(text, '%Y-%m-%d') END::DATE AS day
+  WHEN regexp_full_match(text, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN try_strptime(text, '%Y-%m-%d') END::DATE::VARCHAR AS day
 FROM (SELECT o_orderkey, {DATE_TEXT} AS text FROM orders)
 """
 
