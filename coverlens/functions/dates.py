@@ -13,10 +13,10 @@ def partial_date(c: ColumnOrName) -> Column:
     """``YYYY``, ``YYYY-M[M]`` or ``YYYY-M[M]-D[D]`` as a date (first of the period); anything else is null.
 
     Spark's cast reads all three forms; the pattern keeps out what it also accepts (signs, padding,
-    longer years, time suffixes).
+    year zero, longer years, time suffixes).
     """
     c = as_col(c)
-    return F.when(c.rlike(r"^\d{4}(-\d{1,2}){0,2}\z"), c.try_cast("date"))
+    return F.when(c.rlike(r"^(?!0000)\d{4}(-\d{1,2}){0,2}\z"), c.try_cast("date"))
 
 
 def within(c: ColumnOrName, start: str = vocab.START_FROM, end: str = vocab.START_TO) -> Column:

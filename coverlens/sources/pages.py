@@ -13,6 +13,9 @@ from coverlens.functions.text import joined_lower
 from coverlens.sources.contracts import require_path
 
 
+_JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
 def _numbered(raw: DataFrame) -> DataFrame:
     """Adds where each page stands: its own ``pageNo``, else the last number in its file name."""
     in_name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).try_cast("bigint")
@@ -31,7 +34,7 @@ def read_pages(spark: SparkSession, path: str, max_pages: int | None = None, mul
     files can be split among tasks, which is the form to land large crawls in; each line then carries ``pageNo``.
     """
     require_path(spark, path)
-    raw = spark.read.schema(schema.PAGE).option("multiLine", multi_line).json(path)
+    raw = spark.read.schema(schema.PAGE).options(multiLine=multi_line, **_JSON).json(path)
     pages = _numbered(raw)
     return pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)
 
@@ -40,7 +43,7 @@ def stream_pages(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None, multi_line: bool = True
 ) -> DataFrame:
     """The same rows as :func:`read_pages`, as a stream of newly landed files."""
-    reader = spark.readStream.schema(schema.PAGE).option("multiLine", multi_line)
+    reader = spark.readStream.schema(schema.PAGE).options(multiLine=multi_line, **_JSON)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return _numbered(reader.json(path))

@@ -81,12 +81,9 @@ def test_area_of_conditions(column):
     assert out == [label for _, label in cases]
 
 
-def brute_area(t, rules=vocab.AREA_RULES, default=vocab.DEFAULT_AREA):
-    for label, keys in rules:
-        for key in keys:
-            if t is not None and key in t:
-                return label
-    return default
+def brute_area(value):
+    ranks = [rank for rank, (_, keys) in enumerate(vocab.AREA_RULES) for key in keys if (value or "").count(key)]
+    return vocab.AREA_RULES[min(ranks)][0] if ranks else vocab.DEFAULT_AREA
 
 
 def test_both_classifiers_agree_with_brute_force(column):
