@@ -58,7 +58,8 @@ def _finished(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
 def _pair_counts(
     df: DataFrame, row: str, column: str, flag: str, key: str, rows: str | None, keys: str | None, name: str
 ) -> DataFrame:
-    return stored(_counted(df.dropna(subset=[column]), [row, column], flag, key, rows, keys, name), "pair-counts")
+    counts = _counted(df.dropna(subset=[column]), [row, column], flag, key, rows, keys, name)
+    return stored(counts, "pair-counts") if rows is None else counts
 
 
 def heatmap_cells(
@@ -75,6 +76,7 @@ def heatmap_cells(
     """row, column, total, with_*, with_*_pct (unrounded) for the ``n`` most frequent column values.
 
     The records are read once: pair counts are stored, and both the ranking and the cells come from them.
+    A table that is counted already (``rows`` is given) is read twice instead.
     """
     counts = _pair_counts(df, row, column, flag, key, rows, keys, name)
     return _finished(in_top_categories(counts, column, n, "_n"), [row, column], name)
