@@ -74,6 +74,9 @@ def adjusted_odds(
         .where("n > 0")
     )
     counts = stored(counts, "odds-counts")
+    n = counts.agg(F.sum("n")).first()[0]
+    if not n:
+        raise ValueError("No records with all factors.")
     features, terms = [F.col("without").cast("double").alias("x0")], ["without_flag"]
     for i, factor in enumerate(factors):
         found = counts.select(f"f{i}").distinct().limit(MAX_LEVELS + 1).collect()
@@ -97,7 +100,6 @@ def adjusted_odds(
         errors = [float(e) for e in model.summary.coefficientStandardErrors]
     except Exception:  # no closed-form solution, hence no standard errors
         errors = [float("nan")] * len(estimates)
-    n = int(counts.agg(F.sum("n")).first()[0])
     fitted = spark.createDataFrame(
         list(zip([*terms, "intercept"], estimates, errors)), "term string, coefficient double, std_error double"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.functions import vocab
+from coverlens.functions.labels import phase_or_na
 from coverlens.functions.text import has_any, let
 from coverlens.operators import charts, gaps, odds, outcomes, prevalence
 from coverlens.session import stored
@@ -26,13 +27,14 @@ def record_cells(normalized: DataFrame) -> DataFrame:
         "safety_hit": F.coalesce(let(reason, lambda t: has_any(t, vocab.SAFETY_KEYS)), F.lit(False)),
         "futility_hit": F.coalesce(let(reason, lambda t: has_any(t, vocab.FUTILITY_KEYS)), F.lit(False)),
     }
-    by = [*DIMENSIONS, "phase_label", "start_year", "is_terminated_like", "is_completed", *signals]
-    return (
+    by = [*DIMENSIONS, "start_year", "is_terminated_like", "is_completed", *signals]
+    cells = (
         normalized.withColumns(signals)
         .withColumn("has_dmc", F.coalesce("has_dmc", F.lit(False)))
         .groupBy("has_dmc", *by)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.count("nct_id").alias("n_keys"))
     )
+    return cells.withColumn("phase_label", phase_or_na("phase"))
 
 
 def report_tables(cells: DataFrame, text_denominator: str = "with_text", top: int = vocab.TOP_AREAS) -> dict[str, DataFrame]:
@@ -56,6 +58,15 @@ def report_tables(cells: DataFrame, text_denominator: str = "with_text", top: in
     }
 
 
-def write_report(normalized: DataFrame, folder: str, text_denominator: str = "with_text") -> list[str]:
-    """Counts the records once, stores the counts, and writes every table as CSV."""
-    return write_metrics(report_tables(stored(record_cells(normalized), "cells"), text_denominator), folder)
+def write_report(
+    normalized: DataFrame, folder: str, text_denominator: str = "with_text", adjusted: bool = False
+) -> list[str]:
+    """Counts the records once, stores the counts, and writes every table as CSV.
+
+    ``adjusted`` adds the odds of termination without the flag, adjusted for phase and sponsor.
+    """
+    cells = stored(record_cells(normalized), "cells")
+    tables = report_tables(cells, text_denominator)
+    if adjusted:
+        tables["model_adjusted_odds"] = odds.adjusted_odds(cells, ["phase_label", "sponsor_bucket"], rows="n_rows")
+    return write_metrics(tables, folder)

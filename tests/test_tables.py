@@ -172,8 +172,14 @@ def test_report_equals_the_metrics_on_records(spark, records, tmp_path):
             assert rows(tables[name]) == rows(table), name
         heatmap = "chart_heatmap_sponsor_area"
         assert sorted(rows(tables[heatmap])) == sorted(rows(charts.heatmap_cells(records)))
-    paths = write_report(records, str(tmp_path / "report"))
-    assert len(paths) == len(tables)
+    paths = write_report(records, str(tmp_path / "report"), adjusted=True)
+    assert len(paths) == len(tables) + 1
+    factors = ["phase_label", "sponsor_bucket"]
+    direct = {r.term: r.odds_ratio for r in odds.adjusted_odds(records, factors).collect()}
+    written = spark.read.option("header", True).csv(f"{tmp_path}/report/model_adjusted_odds")
+    assert {r.term: float(r.odds_ratio) for r in written.collect()} == pytest.approx(direct)
+    with pytest.raises(ValueError):
+        odds.adjusted_odds(records.where("false"), factors)
     written = spark.read.option("header", True).csv(f"{tmp_path}/report/metric_prevalence_by_phase")
     assert written.columns == ["phase", "total", "with_dmc", "without_dmc", "with_dmc_pct"]
     assert len(list((tmp_path / "report" / "metric_prevalence_by_phase").glob("part-*"))) == 1
