@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import mixing, sharding
+from coverlens.llm import decontamination, mixing, quality, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,44 @@ SELECT doc_id, size, source_size, target,
                                / 4503599627370496 < rate - floor(rate))::INT))::BIGINT AS taken
 FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
 """
+
+
+@query
+def op10_aho_corasick_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """What every document has of the benchmark."""
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op10_aho_corasick_decontamination"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), found AS (
+  SELECT doc_id, item_id, n, i FROM places JOIN windows USING (n, win)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op5_hierarchical_bayes_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's evidence, site and verdict. No SQL: tested by held-out accuracy."""
+    found = quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "evidence", "site_share", "quality_score", "accepted")
