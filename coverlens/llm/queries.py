@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontamination, mixing, quality, sharding
+from coverlens.llm import decontamination, minhash, mixing, quality, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,35 @@ def op5_hierarchical_bayes_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's evidence, site and verdict. No SQL: tested by held-out accuracy."""
     found = quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return found.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "evidence", "site_share", "quality_score", "accepted")
+
+
+@query
+def op7_minmax_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's near-duplicate group."""
+    found = minhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# Connected components in SQL: the smallest id spreads over the links, one step per round, until nothing changes.
+ORACLES["op7_minmax_hash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), groups AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

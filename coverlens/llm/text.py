@@ -103,6 +103,6 @@ def shingles(words: np.ndarray, begins: np.ndarray, width: int = 5) -> Iterator[
             yield np.unique(runs[lo : hi - width + 1])
         elif hi > lo:
             short = words[lo:hi] * MULTIPLIERS[: hi - lo]
-            yield mixed(np.array([short.sum(dtype=np.uint64) + np.uint64(hi - lo) * MULTIPLIERS[-1]], np.uint64))
+            yield mixed(short.sum(dtype=np.uint64, keepdims=True) + np.array([hi - lo], np.uint64) * MULTIPLIERS[-1])
         else:
             yield np.zeros(0, np.uint64)
