@@ -24,6 +24,8 @@ WIDTH = 5
 PERCENT = 85
 # 40 bands of 6 values from 120 hash functions: a pair at 0.85 shares no band with probability 6e-9.
 BANDS, HALF = 40, 3
+# Shingles are counted in so many cells by their hash; a pair has no more in common than the cells' smaller counts add up to.
+CELLS = 64
 _random = np.random.default_rng(7)
 _FACTOR = _random.integers(1 << 63, size=BANDS * HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSET = _random.integers(1 << 63, size=BANDS * HALF, dtype=np.uint64)
@@ -76,7 +78,8 @@ def _sets(batches):
             np.cumsum([0] + [len(x) for x in found], dtype=np.int32), np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64)
         )
         digests = pa.array([_digest(x) for x in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([digests, values], ["digest", "shingles"])
+        cells = [np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for x in found]
+        yield pa.RecordBatch.from_arrays([digests, values, pa.array(cells, pa.list_(pa.int32()))], ["digest", "shingles", "cells"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -112,22 +115,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Their sets, read again from the texts: only of classes that share a bucket.
     active = stored(members.select("cid").distinct().join(classes.select("cid", "first", "digest"), "cid"), "active")
     picked = docs.join(active.select(F.col("first").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    read = picked.select("text").mapInArrow(_sets, "digest binary, shingles array<long>")
-    sets = read.join(active.select("cid", "digest"), "digest").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    read = picked.select("text").mapInArrow(_sets, "digest binary, shingles array<long>, cells array<int>")
+    sets = read.join(active.select("cid", "digest"), "digest").groupBy("cid").agg(F.first("shingles").alias("shingles"), F.first("cells").alias("cells"))
     sets = stored(sets, "sets")
     # A shingle that no other class has can be in no intersection. That bounds a class's best similarity, and the sizes
     # that a partner may have: common <= own - unique, so 85 * (own + partner - common) <= 100 * common.
     alone = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("many"), F.min("cid").alias("cid"))
-    unique = alone.where("many = 1").groupBy("cid").agg(F.count("*").alias("unique"))
-    sizes = sets.select("cid", F.size("shingles").cast("long").alias("n")).join(unique, "cid", "left").fillna(0, ["unique"])
+    # What is left of a class's cells without these shingles bounds what it has in common with any one partner.
+    cell = F.pmod("s", F.lit(CELLS)).cast("int")
+    unique = alone.where("many = 1").groupBy("cid", cell.alias("cell")).agg(F.count("*").cast("int").alias("many"))
+    unique = unique.groupBy("cid").agg(F.sum("many").alias("unique"), F.map_from_entries(F.collect_list(F.struct("cell", "many"))).alias("gone"))
+    sizes = sets.select("cid", F.size("shingles").cast("long").alias("n"), "cells").join(unique, "cid", "left").fillna(0, ["unique"])
     sizes = sizes.withColumns(
         {"least": F.expr(f"ceil(n * {PERCENT} / 100)"), "most": F.expr(f"floor((n - unique) * {100 + PERCENT} / {PERCENT}) - n")}
+    ).where("most >= least")
+    left = F.when(F.col("gone").isNull(), F.col("cells")).otherwise(
+        F.transform("cells", lambda c, i: c - F.coalesce(F.try_element_at("gone", i), F.lit(0)))
     )
-    sizes = stored(sizes.where("most >= least"), "sizes")
+    sizes = stored(sizes.withColumn("cells", left).drop("gone"), "sizes")
     fits = "x.n BETWEEN y.least AND y.most AND y.n BETWEEN x.least AND x.most"
 
     # A star per bucket: all against the class with the fewest shingles of its own.
-    members = stored(members.join(sizes, "cid"), "fitting-members")
+    members = stored(members.join(sizes.drop("cells"), "cid"), "fitting-members")
     hubs = members.groupBy("bucket").agg(F.min(F.struct("unique", "cid", "n", "least", "most")).alias("hub"), F.count("*").alias("many"))
     hubs = hubs.where("many > 1").select("bucket", "hub.*")
     star = members.alias("x").join(hubs.alias("y"), F.expr(f"x.bucket = y.bucket AND x.cid <> y.cid AND {fits}"))
@@ -140,8 +149,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = members.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "cid")), "named-members")
     split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    split = stored(named.join(split.select("bucket"), "bucket"), "split-members")
-    apart = split.alias("x").join(split.alias("y"), F.expr(f"x.bucket = y.bucket AND x.cid < y.cid AND x.component <> y.component AND {fits}"))
+    split = stored(named.join(split.select("bucket"), "bucket").join(sizes.select("cid", "cells"), "cid"), "split-members")
+    enough = f"aggregate(zip_with(x.cells, y.cells, (p, q) -> least(p, q)), 0, (p, q) -> p + q) * {100 + PERCENT} >= (x.n + y.n) * {PERCENT}"
+    apart = split.alias("x").join(
+        split.alias("y"), F.expr(f"x.bucket = y.bucket AND x.cid < y.cid AND x.component <> y.component AND {fits} AND {enough}")
+    )
     apart = apart.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirmed(apart, sets)
     if not more.isEmpty():
