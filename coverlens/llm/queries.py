@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontamination, minhash, mixing, quality, sharding
+from coverlens.llm import decontamination, html, minhash, mixing, quality, sharding, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,16 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+
+@query
+def op2_redirect_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's verdict."""
+    pages = table(spark, sf, "pages")
+    return urls.verdicts(pages, urls.page_edges(pages)).select("page_id", "host", "path", "rule", "verdict", "alias_of")
+
+
+@query
+def op3_page_differencing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's main text. No SQL: tested on pages with known articles, and the alignment against brute force."""
+    return html.extracted(table(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
