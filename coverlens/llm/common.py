@@ -39,13 +39,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
-    """Adds a gapless long from 0 in the given order; rows that tie get any order among themselves.
+    """Adds a gapless long from 0 in the given order; rows that tie get any order among themselves. Without an order
+    the rows are numbered as they come: by partition, and in each as they stand.
 
     Sorts by ranges in parallel, writes the result once, and adds to each row the count of the partitions before its own.
     Only one number per partition is gathered.
     """
     at, part, before = fresh(df, "at", "part", "before")
-    sorted_rows = stored(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    sorted_rows = stored((df.orderBy(*order) if order else df).withColumn(at, F.monotonically_increasing_id()), "numbered")
     sizes = sorted_rows.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias(before))
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored(sizes.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before)), "offsets")

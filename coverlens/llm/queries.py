@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontamination, html, minhash, mixing, quality, sharding, urls
+from coverlens.llm import decontamination, html, minhash, mixing, quality, sharding, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,63 @@ def op2_redirect_equivalence(spark: SparkSession, sf: str) -> DataFrame:
 def op3_page_differencing(spark: SparkSession, sf: str) -> DataFrame:
     """Every page's main text. No SQL: tested on pages with known articles, and the alignment against brute force."""
     return html.extracted(table(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op2_redirect_equivalence"] = r"""
+WITH split AS (
+  SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+), parts AS (
+  SELECT *, translate(coalesce(regexp_extract(rest, '(?s)^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path,
+         list_filter(string_split(regexp_extract(regexp_replace(rest, '(?s)#.*$', ''), '(?s)\?(.*)$', 1), '&'),
+                     lambda p: p <> '' AND NOT regexp_matches(p, '^(?:utm_[a-z]+|gclid|fbclid|ref|source)(?:=|$)')) AS params FROM split
+), named AS (
+  SELECT *, CASE WHEN rest IS NOT NULL THEN 'https://' || regexp_replace(host, ':(?:80|443)$', '') || regexp_replace(path, '/+$', '')
+                 || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canon,
+         regexp_replace(host, ':(?:80|443)$', '') AS canon_host, regexp_replace(path, '/+$', '') AS canon_path FROM parts
+), ruled AS (
+  SELECT *, {own} AS rule, {canon} AS canon_rule FROM named
+), groups AS (
+  SELECT canon, CASE WHEN bool_or(url <> canon) THEN least(canon, min(url)) END AS alias_of,
+         bool_or(url <> canon) AND bool_or(coalesce(rule LIKE 'example%' OR rule = 'com/de/', false)
+                                           OR coalesce(canon_rule LIKE 'example%' OR canon_rule = 'com/de/', false)) AS hit
+  FROM ruled WHERE canon IS NOT NULL GROUP BY canon
+)
+SELECT page_id, host, path, rule, alias_of,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN hit THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN groups USING (canon)
+"""
+
+
+def _sql_rule(host: str, path: str) -> str:
+    rules = sorted(((h, p) for _, h, p in urls.RULES), key=lambda r: -len(r[0] + r[1]))
+    cases = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{h}{p}'" for h, p in rules]
+    return f"CASE {' '.join(cases)} END"
+
+
+ORACLES["op2_redirect_equivalence"] = (
+    ORACLES["op2_redirect_equivalence"].replace("{own}", _sql_rule("host", "path")).replace("{canon}", _sql_rule("canon_host", "canon_path"))
+)
+
+
+@query
+def op4_external_index_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as read back from the archives, with its place in the merged index."""
+    found = warc.archived(table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
+ORACLES["op4_external_index_merge"] = r"""
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
+), keyed AS (
+  SELECT *, array_to_string(list_reverse(string_split(translate(coalesce(regexp_extract(rest, '(?s)^([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',')
+            || ')' || coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS url_key,
+         CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
+FROM keyed
+"""
