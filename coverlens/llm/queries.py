@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontamination, html, minhash, mixing, quality, sharding, urls, warc
+from coverlens.llm import decontamination, embeddings, html, minhash, mixing, quality, sharding, suffixtree, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -211,3 +211,33 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position
 FROM keyed
 """
+
+
+@query
+def op6_int8_tile_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's links and group."""
+    return embeddings.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLES["op6_int8_tile_dedup"] = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), groups AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN groups USING (vec_id)
+"""
+
+
+@query
+def op9_probabilistic_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's scores. No SQL for the tree: tested against brute force, and that its distributions sum to 1."""
+    return suffixtree.scored(table(spark, sf, "documents"))
