@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from coverlens.session import stored
 
+# What a Python worker gets at once. Spark's own limit of 64 MB is much for two workers beside a small heap.
+BATCH_BYTES = 4 << 20
 # Words are what white space of these six characters separates.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +35,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lets the session send at most 4 MB, or one row, to a Python worker at once, if its limit is higher. Returns ``df``."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = int(conf.get(name).rstrip("bB"))
+    if not 0 < limit <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import fresh, without
+from coverlens.llm.common import fresh, small_batches, without
 
 WINDOW = 13
 # Words of benchmark text that one automaton holds at most, about 100 bytes each in a worker. A larger benchmark is
@@ -98,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     repeated items count once. With an empty benchmark every document is clean. Input columns that have one of the
     added names are replaced. The benchmark reaches the tasks in blocks of ``block_words`` words, so their size is bounded.
     """
-    docs = without(docs, *OWN)
+    docs = small_batches(without(docs, *OWN))
     mask, found = fresh(docs, "hit_mask", "found_items")
     marked = docs.withColumns({mask: F.lit(None).cast("binary"), found: F.array().cast("array<bigint>")})
     spark = docs.sparkSession

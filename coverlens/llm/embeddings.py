@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import components, numbered
+from coverlens.llm.common import components, numbered, small_batches
 from coverlens.session import stored
 
 LEAST = 0.93
@@ -113,7 +113,7 @@ def near_duplicate_vectors(rows: DataFrame, least: float = LEAST, tile: int = TI
     kept tells that it is the row's own. Rows that share a vec_id are separate rows. All pairs of a label are compared,
     in tiles, as the task asks; a pair of tiles returns counts and at most one edge per vector, never its pairs.
     """
-    rows = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = small_batches(rows).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from coverlens.llm.common import fresh, numbered, without
+from coverlens.llm.common import fresh, numbered, small_batches, without
 from coverlens.llm.urls import host_of, path_of
 from coverlens.session import stored
 
@@ -190,6 +190,7 @@ def extracted(pages: DataFrame, out: str = "text") -> DataFrame:
     column named as ``out`` is replaced.
     """
     pages = without(pages, out) if out.lower() not in ("url", "html") else pages
+    pages = small_batches(pages)
     key, gone = fresh(pages, "key", "gone")
     keyed = pages.withColumn(key, F.xxhash64("url", "html"))
     found = differences(keyed.select(F.col(key).alias("key"), "url", "html")).where("size(shared) > 0")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import components
+from coverlens.llm.common import components, small_batches
 from coverlens.llm.text import chunks, layout, mixed, shingles, word_hashes
 from coverlens.session import stored
 
@@ -103,6 +103,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are each returned. A row without doc_id takes part; its component has the smallest id there is,
     or null. Classes, links and components stay distributed; an empty input gives no rows.
     """
+    docs = small_batches(docs)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, digest binary, bands array<long>"
     signed = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed, schema), "signatures")
     grouped = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))

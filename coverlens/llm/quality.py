@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from coverlens.llm.common import fresh, without
+from coverlens.llm.common import fresh, small_batches, without
 from coverlens.llm.text import chunks, layout, word_hashes
 from coverlens.session import stored
 
@@ -147,7 +147,7 @@ def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     text is judged as a text without words. Repeated rows get equal scores. Without usable labels every document has
     evidence 0. Input columns that have one of the added names are replaced. Needs doc_id, text and the two site columns.
     """
-    docs = without(docs, *OWN)
+    docs = small_batches(without(docs, *OWN))
     model = fit(docs, labels, sample)
     sent = docs.sparkSession.sparkContext.broadcast((model.words.astype(np.float32), model.shape, model.bias, model.prior))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from coverlens.llm.common import small_batches
 from coverlens.llm.text import chunks, layout, word_hashes
 from coverlens.session import stored
 
@@ -25,6 +26,8 @@ CONTEXT_SHARE = 1e-5
 # Bytes of text in a block, whose words are numbered together; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 END = np.uint64(1)
+# Tokens that are looked up at once.
+PIECE = 200_000
 BLOCK = "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens array<int>, words array<long>, counts array<int>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -134,14 +137,20 @@ class Tree:
             last = self.keys[d - 1][last] >> 32
         for d in range(depth):
             suffix = self._context(words[: d + 1][::-1])
-            known = suffix >= 0
-            at = np.where(known, suffix, 0)
-            hit = _found(self.keys[d], np.where(known, at << 32 | word, -1))
-            count = np.where(hit >= 0, self.seen[d][hit], 0) if len(self.keys[d]) else 0
-            use = known & (self.sums[d][at] > 0)
-            p = np.where(use, (count + self.backing[d][at] * p) / np.maximum(self.sums[d][at], 1), p)
+            p = self.step(d, suffix, word, p)
         return p
 
+    def step(self, d: int, context: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities after contexts of d + 1 words, given those after the next shorter retained ones; where there is no
+        retained state, these. A context or word of -1 is unknown to the tree."""
+        if not len(self.keys[d]):
+            return p
+        at = np.maximum(context, 0)
+        use = (context >= 0) & (self.sums[d][at] > 0)
+        hit = _found(self.keys[d], np.where(use & (word >= 0), at << 32 | np.maximum(word, 0), -1))
+        seen = np.where(hit >= 0, self.seen[d][hit], 0)
+        return np.where(use, (seen + self.backing[d][at] * p) / np.maximum(self.sums[d][at], 1), p)
+
     def _context(self, words: list[np.ndarray]) -> np.ndarray:
         number = words[0]
         for d, w in enumerate(words[1:]):
@@ -157,12 +166,16 @@ def _found(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _tokens(batch: pa.RecordBatch, row: int, depth: int):
-    """A block's tokens, document lengths, training mask, and where at least 1, 2, ... words of the document precede."""
+def _pieces(batch: pa.RecordBatch, row: int, depth: int):
+    """A block piece by piece, of PIECE tokens or one document: the documents' range, their tokens, lengths and held-out
+    marks, and where at least 1, 2, ... words of the document precede."""
     tokens, lengths = np.asarray(batch.column("tokens")[row].values), np.asarray(batch.column("lengths")[row].values)
     held = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
-    at = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return tokens, lengths, held, [at > d for d in range(depth)]
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), PIECE):
+        first, own = int(lengths[:lo].sum()), lengths[lo:hi]
+        part = tokens[first : first + int(own.sum())]
+        at = np.arange(len(part)) - np.repeat(np.cumsum(own) - own, own)
+        yield lo, hi, part, own, held[lo:hi], [at > d for d in range(depth)]
 
 
 def _counting(sent, depth: int, least: float):
@@ -170,11 +183,14 @@ def _counting(sent, depth: int, least: float):
         tree = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens, lengths, held, inside = _tokens(batch, row, depth)
-                numbers = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))[tokens]
-                *_, context = tree.contexts(numbers, inside, least)
-                use = (context >= 0) & (numbers >= 0) & ~np.repeat(held, lengths)
-                keys, counts = np.unique(context[use] << 32 | numbers[use], return_counts=True)
+                named = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))
+                parts = []
+                for _, _, tokens, lengths, held, inside in _pieces(batch, row, depth):
+                    numbers = named[tokens]
+                    *_, context = tree.contexts(numbers, inside, least)
+                    use = (context >= 0) & (numbers >= 0) & ~np.repeat(held, lengths)
+                    parts.append(context[use] << 32 | numbers[use])
+                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
     return count
@@ -187,29 +203,25 @@ def _scoring(sent, total: int, distinct: int, depth: int, least: float):
         tree = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens, lengths, held, inside = _tokens(batch, row, depth)
-                counts = np.asarray(batch.column("totals")[row].values)[tokens]
-                numbers = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))[tokens]
-                base = (counts + 0.1) / floor
-                p = base
-                for d, context in enumerate(tree.contexts(numbers, inside, least)):
-                    at = np.maximum(context, 0)
-                    sums = tree.sums[d][at] if len(tree.sums[d]) else np.zeros(len(at))
-                    use = (context >= 0) & (sums > 0)
-                    hit = _found(tree.keys[d], np.where(use & (numbers >= 0), at << 32 | np.maximum(numbers, 0), -1))
-                    seen = np.where(hit >= 0, tree.seen[d][hit], 0) if len(tree.keys[d]) else 0
-                    p = np.where(use, (seen + tree.backing[d][at] * p) / np.maximum(sums, 1), p) if use.any() else p
-                starts = np.cumsum(lengths) - lengths
-                columns = [
-                    batch.column("doc_ids")[row].values,
-                    pa.array(held),
-                    pa.array(lengths.astype(np.int64)),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(lengths), total)),
-                    pa.array(np.add.reduceat(np.log10(base), starts)),
-                    pa.array(np.add.reduceat(np.log10(p), starts)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+                totals = np.asarray(batch.column("totals")[row].values)
+                named = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))
+                for lo, hi, tokens, lengths, held, inside in _pieces(batch, row, depth):
+                    counts, numbers = totals[tokens], named[tokens]
+                    base = (counts + 0.1) / floor
+                    p = base
+                    for d, context in enumerate(tree.contexts(numbers, inside, least)):
+                        p = tree.step(d, context, numbers, p)
+                    starts = np.cumsum(lengths) - lengths
+                    columns = [
+                        batch.column("doc_ids")[row].values.slice(lo, hi - lo),
+                        pa.array(held),
+                        pa.array(lengths.astype(np.int64)),
+                        pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+                        pa.array(np.full(len(lengths), total)),
+                        pa.array(np.add.reduceat(np.log10(base), starts)),
+                        pa.array(np.add.reduceat(np.log10(p), starts)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
 
     return score
 
@@ -225,7 +237,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     Word counts are exact and stay distributed: a block of documents asks for the counts of its own words. The tree goes to
     all tasks; at most 1 / least_share words, and as many keys per depth, are in it.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     blocks = stored(texts.mapInArrow(_encoded, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")

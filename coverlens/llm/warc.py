@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import numbered
+from coverlens.llm.common import numbered, small_batches
 from coverlens.llm.files import opened
 from coverlens.llm.urls import host_of, path_of
 from coverlens.session import shared_path, stored
@@ -293,7 +293,7 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     without id is a revisit of a stored payload and else a response. Other columns are ignored. An empty input gives no rows.
     The archives stay in ``folder`` (by default below the shared folder).
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     folder = folder or shared_path(spark, "archives")
     index = merged_index(write_archives(pages.select("page_id", "url", "html"), folder))
     index = stored(index.select(F.col("archive").alias("in"), F.col("start").alias("at"), "url_key", "captured", "position"), "index")
