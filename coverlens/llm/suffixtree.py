@@ -86,6 +86,13 @@ class Tree:
         self.backing: list[np.ndarray] = []
         self.sums: list[np.ndarray] = []
 
+    @classmethod
+    def of(cls, parts: dict) -> Tree:
+        """From ``vars`` of another one: broadcasts hold plain arrays."""
+        tree = cls.__new__(cls)
+        tree.__dict__.update(parts)
+        return tree
+
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """The tree's numbers of word hashes, -1 for words that it does not name."""
         return _found(self.words, words)
@@ -180,7 +187,7 @@ def _pieces(batch: pa.RecordBatch, row: int, depth: int):
 
 def _counting(sent, depth: int, least: float):
     def count(batches):
-        tree = sent.value
+        tree = Tree.of(sent.value)
         for batch in batches:
             for row in range(batch.num_rows):
                 named = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))
@@ -200,7 +207,7 @@ def _scoring(sent, total: int, distinct: int, depth: int, least: float):
     floor = total + 0.1 * (distinct + 1)
 
     def score(batches):
-        tree = sent.value
+        tree = Tree.of(sent.value)
         for batch in batches:
             for row in range(batch.num_rows):
                 totals = np.asarray(batch.column("totals")[row].values)
@@ -254,11 +261,11 @@ def scored(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     tree = Tree(named.column("word").to_numpy().view(np.uint64), named.column("total").to_numpy(), total)
     least = max(context_share * total, 2.0)
     for d in range(1, depth + 1):
-        counting = _counting(spark.sparkContext.broadcast(tree), d, least)
+        counting = _counting(spark.sparkContext.broadcast(vars(tree)), d, least)
         keys = blocks.select("held", "lengths", "tokens", "words").mapInArrow(counting, "key long, n long")
         grown = keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least_share * total, 2.0)).toArrow()
         tree.grow(grown.column("key").to_numpy(), grown.column("n").to_numpy())
     answers = counted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "total"))).alias("all"))
     answers = answers.select(F.col("block").alias("of"), F.col("all.total").alias("totals"))
     asked = blocks.drop("counts").join(answers, F.col("block") == F.col("of"))
-    return asked.mapInArrow(_scoring(spark.sparkContext.broadcast(tree), total, distinct, depth, least), SCORED)
+    return asked.mapInArrow(_scoring(spark.sparkContext.broadcast(vars(tree)), total, distinct, depth, least), SCORED)
