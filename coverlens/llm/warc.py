@@ -264,7 +264,9 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
                 if rows:
                     yield _read_rows(rows)
 
-    archives = index.select("archive").distinct()
+    # A number of partitions that is asked for is not coalesced, though a list of names is small.
+    archives = stored(index.select("archive").distinct(), "archive-names")
+    archives = archives.repartition(max(1, archives.count()))
     found = stored(archives.mapInArrow(read, READ), "records")
     sizes = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("stored_bytes"))
     sizes = stored(sizes.select(F.col("payload_digest").alias("of"), "stored_bytes"), "payload-sizes")
