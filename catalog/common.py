@@ -30,6 +30,11 @@ def sql_pct2(part: str, whole: str) -> str:
     return sql_round(sql_pct(part, whole), 100)
 
 
+def sql_exact2(part: str, whole: str) -> str:
+    """Two decimals as C's printf writes them, which decides on the exact binary value."""
+    return f"printf('%.2f', {sql_pct(part, whole)})::DOUBLE"
+
+
 def sql_round(value: str, scale: int) -> str:
     return f"round_even(({value}) * {scale}::DOUBLE, 0) / {scale}::DOUBLE"
 
@@ -51,7 +56,7 @@ def sql_overall(source: str, flag: str = "flag", name: str = "dmc") -> str:
     on = f"count(*) FILTER (WHERE {flag})"
     return (
         f"SELECT count(*) AS total_trials, {on} AS with_{name}, count(*) - {on} AS without_{name}, "
-        f"{sql_pct2(on, 'count(*)')} AS with_{name}_pct FROM {source}"
+        f"{sql_exact2(on, 'count(*)')} AS with_{name}_pct FROM {source}"
     )
 
 
@@ -80,7 +85,7 @@ def sql_gaps(source: str, cohort: str, subgroup: str, captions: dict[str | None,
         without = f"count(*) FILTER (WHERE {inside} AND NOT coalesce({flag}, false))"
         return (
             f"SELECT {quoted(caption)} AS subgroup, {total} AS total, {without} AS without_{name}, "
-            f"{sql_pct2(without, total)} AS without_{name}_pct FROM {source} WHERE {cohort}"
+            f"{sql_exact2(without, total)} AS without_{name}_pct FROM {source} WHERE {cohort}"
         )
 
     return " UNION ALL ".join(line(label, caption) for label, caption in captions.items())

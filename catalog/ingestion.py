@@ -9,7 +9,7 @@ from coverlens.operators import dedupe
 from coverlens.plans.ingest import ingest, ingest_run
 from coverlens.session import shared_path
 from coverlens.sources.seen import SeenIds
-from coverlens.sources.tidy import read_tidy_csv, write_tidy_csv
+from coverlens.sources.tidy import read_tidy, read_tidy_csv, write_tidy_csv
 from coverlens.streaming.incremental import run_incremental
 
 QUERIES: dict = {}
@@ -125,7 +125,7 @@ def _comparable(tidy):
 
 _STUDIES = f"""
 SELECT id AS nct_id, {_FLAG} AS has_dmc, {_PHASE} AS phase, {_TYPE} AS study_type, {_CLASS} AS sponsor_class,
-       {_STATUS} AS overall_status, {_REASON} AS why_stopped, {_TEXT_DATE} AS start_date,
+       upper({_STATUS}) AS overall_status, {_REASON} AS why_stopped, {_TEXT_DATE} AS start_date,
        CAST(year(o_orderdate) AS STRING) AS primary_completion_date, {_CONDITIONS} AS conditions,
        {_AREA} AS therapeutic_area, year(start_day)::INT AS start_year, o_orderdate, o_orderkey, pos
 FROM (
@@ -174,6 +174,44 @@ QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY {_DROP}, o_orderkey, pos
 """
 
 
+@register
+def restarted_ingest(spark, sf):
+    """The same drops; after the first, the stream starts anew with another checkpoint and sees all pages again."""
+    folder, out, *checkpoints = (shared_path(spark, name) for name in ("landing", "ingested", "progress", "progress"))
+    orders = table(spark, sf, "orders")
+    for drop, checkpoint in zip(("year(o_orderdate) < 1997", "year(o_orderdate) >= 1997"), checkpoints):
+        land_pages(orders.where(drop), folder)
+        emitted = run_incremental(spark, folder, out, checkpoint, multi_line=False, **WINDOW)
+    return _comparable(emitted.drop("batch_id"))
+
+
+ORACLES["restarted_ingest"] = f"""
+SELECT * EXCLUDE ({_HELPERS}) FROM ({_STUDIES})
+QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY year(o_orderdate) >= 1997, o_orderkey, pos) = 1
+"""
+
+
+@register
+def page_cap(spark, sf):
+    """The first pages of a crawl; one page in ten cannot be read and goes to the rejects."""
+    folder, rejects = shared_path(spark, "pages"), shared_path(spark, "rejects")
+    orders = table(spark, sf, "orders")
+    land_pages(orders.where("o_orderkey % 10 <> 3"), folder)
+    orders.where("o_orderkey % 10 = 3").selectExpr("concat('{\"pageNo\": ', o_orderkey, ', \"studies\": [ {bad') AS value").write.mode("append").text(folder)
+    whole = ingest(spark, folder, multi_line=False, rejects=rejects, **WINDOW)
+    land_pages(orders.where("o_orderkey % 10 <> 3"), good := shared_path(spark, "good-pages"))
+    capped = ingest(spark, good, max_pages=5000, multi_line=False, **WINDOW)
+    counted = [df.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for df, what in ((whole, "whole"), (capped, "capped"), (spark.read.parquet(rejects), "unreadable"))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+ORACLES["page_cap"] = f"""
+SELECT 'whole' AS what, count(DISTINCT nct_id) AS n FROM ({_STUDIES}) WHERE o_orderkey % 10 <> 3
+UNION ALL SELECT 'capped', count(DISTINCT nct_id) FROM ({_STUDIES}) WHERE o_orderkey % 10 <> 3 AND o_orderkey <= 5000
+UNION ALL SELECT 'unreadable', count(*) FROM orders WHERE o_orderkey % 10 = 3
+"""
+
+
 @register
 def repeated_runs(spark, sf):
     """Two batch runs over a growing folder; the second reads all pages and adds the studies not emitted before."""
@@ -223,3 +261,40 @@ SELECT 'D' || doc_id AS nct_id, CASE WHEN lang <> 'es' THEN n_chars > 500 END AS
        'Other/Unclassified' AS therapeutic_area, CASE lang WHEN 'en' THEN 2010 END::INT AS start_year
 FROM documents
 """
+
+
+@register
+def tidy_csv_reordered(spark, sf):
+    """Columns of a CSV in another order, optional ones absent: found by name, defaults for the rest."""
+    folder = shared_path(spark, "tidy-csv")
+    docs = table(spark, sf, "documents").select(
+        F.lit("NIH").alias("sponsor_class"),
+        F.when(F.col("lang") != "es", F.col("n_chars") > 500).cast("string").alias("has_dmc"),
+        F.lit("COMPLETED").alias("overall_status"),
+        F.col("source").alias("study_type"),
+        F.concat(F.lit("D"), "doc_id").alias("nct_id"),
+        F.lit("Phase 2").alias("phase"),
+    )
+    docs.write.option("header", True).csv(folder)
+    return _comparable(read_tidy_csv(spark, folder).drop("csv_file", "csv_block", "csv_row"))
+
+
+@register
+def tidy_defaults(spark, sf):
+    """The same from Parquet."""
+    folder = shared_path(spark, "tidy")
+    docs = table(spark, sf, "documents").selectExpr(
+        "'NIH' AS sponsor_class", "CASE WHEN lang <> 'es' THEN n_chars > 500 END AS has_dmc", "'COMPLETED' AS overall_status",
+        "source AS study_type", "concat('D', doc_id) AS nct_id", "'Phase 2' AS phase",
+    )
+    docs.write.parquet(folder)
+    return _comparable(read_tidy(spark, folder))
+
+
+ORACLES["tidy_csv_reordered"] = ORACLES["tidy_defaults"] = """
+SELECT 'D' || doc_id AS nct_id, CASE WHEN lang <> 'es' THEN n_chars > 500 END AS has_dmc, 'Phase 2' AS phase,
+       source AS study_type, 'NIH' AS sponsor_class, 'COMPLETED' AS overall_status, NULL::VARCHAR AS why_stopped,
+       NULL::VARCHAR AS start_date, NULL::VARCHAR AS primary_completion_date, NULL::VARCHAR AS conditions,
+       'Other/Unclassified' AS therapeutic_area, NULL::INT AS start_year
+FROM documents
+"""

@@ -50,8 +50,8 @@ def outcomes_by_flag(spark, sf):
 
 ORACLES["outcomes_by_flag"] = sql_outcomes(_ITEMS, "stopped", "done", "line")
 
-# Documents as stop reasons: German ones have none, Spanish ones an empty one.
-_REASON = "CASE lang WHEN 'de' THEN NULL WHEN 'es' THEN '' ELSE text END"
+# Documents as stop reasons, of all languages; one in ten has none, one in ten an empty one.
+_REASON = "CASE doc_id % 10 WHEN 3 THEN NULL WHEN 7 THEN '' ELSE text END"
 LISTS = {"safety": vocab.SAFETY_KEYS + ["tion", "eau"], "futility": vocab.FUTILITY_KEYS + ["thou"]}
 
 

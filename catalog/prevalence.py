@@ -13,7 +13,7 @@ from catalog.common import (
     sql_prevalence,
     table,
 )
-from coverlens.functions.labels import area_of, area_of_long_text, bucket_of
+from coverlens.functions.labels import area_of, bucket_of
 from coverlens.functions.text import title_case
 from coverlens.operators.gaps import cohort_gaps
 from coverlens.operators.prevalence import prevalence_by, prevalence_overall, prevalence_sets
@@ -102,9 +102,9 @@ ORACLES["prevalence_by_role"] = sql_prevalence(
 
 @register
 def prevalence_by_area(spark, sf):
-    """Whole documents through the default rules, with the classifier made for long texts."""
+    """Whole documents through the default rules."""
     docs = table(spark, sf, "documents").select(
-        area_of_long_text(F.lower("text")).alias("area"), (F.col("n_chars") > 500).alias("flag")
+        area_of(F.lower("text")).alias("area"), (F.col("n_chars") > 500).alias("flag")
     )
     return prevalence_by(docs, "area", "flag")
 

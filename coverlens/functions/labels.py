@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,15 +68,17 @@ def in_statuses(status: ColumnOrName, statuses: Iterable[str]) -> Column:
     return F.coalesce(F.upper(as_col(status)).isin([s.upper() for s in statuses]), F.lit(False))
 
 
+def has_status(status: ColumnOrName, statuses: Iterable[str]) -> Column:
+    """Membership for a status that is stored in upper case, as ingestion stores it: a filter that reaches the scan."""
+    return as_col(status).isin([s.upper() for s in statuses])
+
+
 def late_phase(phase: ColumnOrName) -> Column:
     return has_phrase(phase, "Phase 3") | has_phrase(phase, "Phase 4")
 
 
 def area_of(text: ColumnOrName, rules: Rules = vocab.AREA_RULES, default: str = vocab.DEFAULT_AREA) -> Column:
-    """Label of the first rule with a key inside the (lower-case) text.
-
-    Meant for short texts such as condition lists; see :func:`area_of_long_text` for whole documents.
-    """
+    """Label of the first rule with a key inside the (lower-case) text."""
 
     def first_match(t: Column) -> Column:
         label = F.when(F.lit(False), F.lit(default))
@@ -86,35 +87,3 @@ def area_of(text: ColumnOrName, rules: Rules = vocab.AREA_RULES, default: str =
         return label.otherwise(default)
 
     return let(as_col(text), first_match)
-
-
-def area_of_long_text(text: ColumnOrName, rules: Rules = vocab.AREA_RULES, default: str = vocab.DEFAULT_AREA) -> Column:
-    """Same result as :func:`area_of`, in one pass over the text instead of one per key.
-
-    Substring search in the JVM reads the text once for every key. On documents of a few thousand
-    characters that cost outweighs moving Arrow batches to Python, where one automaton holds all keys.
-    Falls back to :func:`area_of` when the automaton library is not installed.
-    """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return area_of(text, rules, default)
-
-    rank_of_key: dict[str, int] = {}
-    for rank, (_, keys) in enumerate(rules):
-        for key in keys:
-            rank_of_key.setdefault(key, rank)
-    names = [name for name, _ in rules] + [default]
-
-    @F.pandas_udf("string")
-    def classify(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for key, rank in rank_of_key.items():
-            automaton.add_word(key, rank)
-        automaton.make_automaton()
-        last = len(names) - 1
-        return texts.map(lambda t: names[min((r for _, r in automaton.iter(t)), default=last)] if t else names[last])
-
-    return classify(as_col(text))

@@ -35,6 +35,19 @@ def percent(part: ColumnOrName, whole: ColumnOrName) -> Column:
     return F.when(whole > 0, part / whole * 100.0).otherwise(F.lit(0.0))
 
 
+def round2_exact(c: ColumnOrName) -> Column:
+    """Two decimals by the exact binary value, as Python's ``round`` decides; a true half goes to even. For values >= 0.
+
+    Half a step is compared with 200 times the value, which is the sum of two products without rounding.
+    """
+    c = as_col(c)
+    high = c * 134217729.0 - (c * 134217729.0 - c)  # the upper 26 bits
+    below = F.floor(c * 100.0).cast("double")
+    beyond_half = (high * 200.0 - (below * 2.0 + 1.0)) + (c - high) * 200.0
+    up = (beyond_half > 0) | ((beyond_half == 0) & (below % 2 == 1))
+    return (below + F.when(up, 1.0).otherwise(0.0)) / 100.0
+
+
 def round2(c: ColumnOrName) -> Column:
     """Two decimals, halves to even, in the floating-point steps that numpy uses."""
     return F.rint(as_col(c) * 100.0) / 100.0

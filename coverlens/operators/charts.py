@@ -12,8 +12,6 @@ from coverlens.functions.labels import known
 from coverlens.functions.measures import count_keys, count_rows, count_where, percent
 from coverlens.session import stored
 
-BROADCAST_ROWS = 1000
-
 
 def category_counts(df: DataFrame, column: str, rows: str | None = None) -> DataFrame:
     """Frequency of each non-null value, most frequent first; ties by value."""
@@ -32,12 +30,8 @@ def top_categories(df: DataFrame, column: str, n: int = vocab.TOP_AREAS, rows: s
 
 
 def in_top_categories(df: DataFrame, column: str, n: int = vocab.TOP_AREAS, rows: str | None = None) -> DataFrame:
-    """Rows whose value is among the ``n`` most frequent.
-
-    The list has ``n`` rows at most and is broadcast if ``n`` is small; a long list is left to Spark's own choice.
-    """
-    top = top_categories(df, column, n, rows).select(column)
-    return df.join(F.broadcast(top) if n <= BROADCAST_ROWS else top, column, "left_semi")
+    """Rows whose value is among the ``n`` most frequent. Spark picks the join by the list's size."""
+    return df.join(top_categories(df, column, n, rows).select(column), column, "left_semi")
 
 
 def _counted(

@@ -20,11 +20,11 @@ def first_wins(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str])
 
 
 def unseen_only(df: DataFrame, seen: DataFrame, key: str = "nct_id") -> DataFrame:
-    """Rows whose key is not among the seen ones. Only the key column of ``seen`` is read.
+    """Rows whose key is not among the seen ones. Only the key column of ``seen`` is read, repeats combined before the shuffle.
 
     After :func:`first_wins` on the same key the rows are already partitioned for this join.
     """
-    return df.join(seen.select(key), key, "left_anti")
+    return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
 def unseen_in_small_batch(df: DataFrame, seen: DataFrame, key: str = "nct_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coverlens.functions import vocab
 from coverlens.functions.labels import known, late_phase
-from coverlens.functions.measures import count_rows, count_where, percent, round2
+from coverlens.functions.measures import count_rows, count_where, percent, round2_exact
 
 
 def late_phase_industry_cohort(phase: str = "phase") -> Column:
@@ -45,4 +45,4 @@ def cohort_gaps(
         for i, text in enumerate(captions)
     ]
     table = inside.agg(*sums).select(F.inline(F.array(*lines)))
-    return table.withColumn(f"without_{name}_pct", round2(percent(f"without_{name}", "total")))
+    return table.withColumn(f"without_{name}_pct", round2_exact(percent(f"without_{name}", "total")))

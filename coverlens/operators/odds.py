@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from coverlens.functions.measures import count_rows, count_where
 from coverlens.session import stored
 
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
-MAX_LEVELS = 2000  # the solver accepts 4,096 features
+MAX_TERMS = 4096  # the solver's own limit, over all factors together
 
 
 def crude_odds(
@@ -50,7 +50,7 @@ def crude_odds(
 
 def adjusted_odds(
     df: DataFrame,
-    factors: Sequence[str] = ("phase", "sponsor_bucket"),
+    factors: Sequence[str] = ("phase_label", "sponsor_bucket"),
     flag: str = "has_dmc",
     outcome: Column | str = "is_terminated_like",
     base: dict[str, str] | None = None,
@@ -60,7 +60,8 @@ def adjusted_odds(
 
     Records are first counted per combination of flag and factor levels; the model is then fitted on the
     outcome's share in each combination, weighted by its count. The estimates are those of a fit on the
-    records, from a table whose size depends on the number of levels only. A record without a level of some factor is
+    records, from a table whose size depends on the number of levels only. Levels become one sparse vector, so many of
+    them cost columns of the model and not of the plan. Counting and fitting run while this is called. A record without a level of some factor is
     left out. The base level of a factor is its first in order unless ``base`` names another.
     No penalty is applied; under separation the estimates are large or not finite and shown as they are.
     """
@@ -77,28 +78,37 @@ def adjusted_odds(
     n = counts.agg(F.sum("n")).first()[0]
     if not n:
         raise ValueError("No records with all factors.")
-    features, terms = [F.col("without").cast("double").alias("x0")], ["without_flag"]
-    for i, factor in enumerate(factors):
-        found = counts.select(f"f{i}").distinct().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"Factor '{factor}' has more than {MAX_LEVELS} levels.")
-        levels = sorted(r[0] for r in found)
-        reference = (base or {}).get(factor, levels[0] if levels else None)
-        for level in levels:
-            if level != reference:
-                features.append((F.col(f"f{i}") == level).cast("double").alias(f"x{len(terms)}"))
-                terms.append(f"{factor}={level}")
-    design = counts.select(
-        (F.col("n_happened") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight"), *features
+    design = counts.withColumns(
+        {"label": F.col("n_happened") / F.col("n"), "weight": F.col("n").cast("double"), "x": F.col("without").cast("double")}
     )
-    table = VectorAssembler(inputCols=[f"x{i}" for i in range(len(terms))], outputCol="features").transform(design)
+    inputs, terms = ["x"], ["without_flag"]
+    for i, factor in enumerate(factors):
+        # Levels in order, the base one last: the encoder gives the last level no column of its own.
+        reference = (base or {}).get(factor, counts.agg(F.min(f"f{i}")).first()[0])
+        marked = F.concat(F.when(F.col(f"f{i}") == reference, "1").otherwise("0"), f"f{i}")
+        indexer = StringIndexer(inputCol=f"m{i}", outputCol=f"i{i}", stringOrderType="alphabetAsc")
+        indexed = indexer.fit(design.withColumn(f"m{i}", marked))
+        levels = [m[1:] for m in indexed.labels]
+        terms += [f"{factor}={level}" for level, mark in zip(levels, indexed.labels) if mark[0] == "0"]
+        if len(terms) > MAX_TERMS:
+            raise ValueError(f"The factors have more than {MAX_TERMS} levels together, the most that the solver takes.")
+        if len(levels) > 1 or indexed.labels[0][0] == "0":
+            drop_base = indexed.labels[-1][0] == "1"
+            design = indexed.transform(design.withColumn(f"m{i}", marked))
+            encoder = OneHotEncoder(inputCol=f"i{i}", outputCol=f"v{i}", dropLast=drop_base)
+            design = encoder.fit(design).transform(design)
+            inputs.append(f"v{i}")
+    table = VectorAssembler(inputCols=inputs, outputCol="features").transform(design).select("label", "weight", "features")
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-12
     ).fit(table)
     estimates = [float(b) for b in model.coefficients] + [float(model.intercept)]
     try:
         errors = [float(e) for e in model.summary.coefficientStandardErrors]
-    except Exception:  # no closed-form solution, hence no standard errors
+    except Exception as error:
+        # Separation leaves no closed-form solution and so no standard errors; any other failure is one.
+        if "Std. Error" not in str(error) and "standard error" not in str(error).lower():
+            raise
         errors = [float("nan")] * len(estimates)
     fitted = spark.createDataFrame(
         list(zip([*terms, "intercept"], estimates, errors)), "term string, coefficient double, std_error double"

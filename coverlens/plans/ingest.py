@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from coverlens import schema
 from coverlens.functions import vocab
 from coverlens.functions.dates import within
-from coverlens.functions.labels import in_statuses
+from coverlens.functions.labels import Rules, has_status
 from coverlens.operators.dedupe import first_wins, unseen_only
-from coverlens.sources.pages import pick_studies, read_pages, with_derived
+from coverlens.sources.pages import pick_studies, read_pages, readable_pages, unreadable_pages, with_derived
 from coverlens.sources.seen import SeenIds
 from coverlens.sources.tidy import read_tidy, write_tidy
 
@@ -23,7 +23,7 @@ def eligible(
     statuses: Iterable[str] = vocab.ELIGIBLE_STATUSES,
 ) -> DataFrame:
     """Studies that start in the window and have one of the statuses."""
-    return studies.where(within("start_date", start_from, start_to) & in_statuses("overall_status", statuses))
+    return studies.where(within("start_date", start_from, start_to) & has_status("overall_status", statuses))
 
 
 def ingest(
@@ -32,28 +32,34 @@ def ingest(
     seen: DataFrame | None = None,
     max_pages: int | None = None,
     multi_line: bool = True,
+    rules: Rules = vocab.AREA_RULES,
+    rejects: str | None = None,
     **window,
 ) -> DataFrame:
     """The tidy table of the pages under ``path``: eligible, first arrival per ID, none of the seen IDs.
 
     Filters come before de-duplication, so a rejected version of a study does not hide a later one;
-    classification comes after it, on the rows that stay.
+    classification comes after it, on the rows that stay. A page that cannot be read fails the job; with a path for
+    ``rejects`` such pages are written there instead, when this is called.
     """
-    studies = eligible(pick_studies(read_pages(spark, path, max_pages, multi_line)), **window)
+    pages = read_pages(spark, path, max_pages, multi_line)
+    if rejects:
+        unreadable_pages(pages).write.mode("overwrite").parquet(rejects)
+    studies = eligible(pick_studies(readable_pages(pages, skip_unreadable=rejects is not None)), **window)
     fresh = first_wins(studies, "nct_id", schema.ARRIVAL)
     if seen is not None:
         fresh = unseen_only(fresh, seen)
-    return with_derived(fresh).select(*schema.TIDY_COLUMNS)
+    return with_derived(fresh, rules).select(*schema.TIDY_COLUMNS)
 
 
 def ingest_run(spark: SparkSession, path: str, out: str, seen: SeenIds, run: int, **options) -> DataFrame:
     """One numbered run of a repeated batch ingestion: adds the studies that no earlier run has emitted.
 
-    The run owns the folder ``run=N`` under ``out`` and generation ``N`` of the seen IDs, and looks at lower
-    numbers only. Running it again after a failure replaces both.
+    The run owns the folder ``run=N`` under ``out`` and generation ``N`` of the seen IDs, and looks at all others,
+    later ones too. Running it again replaces both.
     """
     folder = f"{out.rstrip('/')}/run={run}"
-    write_tidy(ingest(spark, path, seen=seen.load(before=run), **options), folder, mode="overwrite")
+    write_tidy(ingest(spark, path, seen=seen.load(without=run), **options), folder, mode="overwrite")
     written = read_tidy(spark, folder)
     seen.add(written, generation=run)
     return written

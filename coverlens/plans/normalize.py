@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coverlens import schema
 from coverlens.functions import vocab
 from coverlens.functions.dates import year_of
 from coverlens.functions.labels import bucket_of_clean, parse_flag, phase_or_na
@@ -16,21 +17,21 @@ from coverlens.operators.dedupe import first_wins
 from coverlens.sources.contracts import require_columns, with_defaults
 from coverlens.sources.tidy import nulls_for_na
 
-REQUIRED = ["nct_id", "has_dmc", "sponsor_class", "study_type", "phase", "overall_status"]
-
 
 def normalize(
     df: DataFrame,
     first_by: Sequence[str] | None = None,
     na_tokens: bool = False,
     buckets: Mapping[str, str] = vocab.SPONSOR_BUCKETS,
+    terminated: Sequence[str] = vocab.TERMINATED_STATUSES,
+    completed: Sequence[str] = vocab.COMPLETED_STATUSES,
 ) -> DataFrame:
     """Cleans the tidy columns and adds the derived ones; one pass, no shuffle unless ``first_by`` is given.
 
     ``first_by`` keeps the first row per ID in that order; leave it out for a table that ingestion has
     already made unique. ``na_tokens`` turns missing-value texts such as the ``N/A`` phase into null.
     """
-    require_columns(df, REQUIRED)
+    require_columns(df, schema.REQUIRED)
     if first_by:
         df = first_wins(df, "nct_id", first_by)
     if na_tokens:
@@ -57,8 +58,8 @@ def normalize(
         {
             "sponsor_bucket": bucket_of_clean("sponsor_class", buckets),
             "is_phase34": F.col("is_phase3") | F.col("is_phase4"),
-            "is_terminated_like": F.coalesce(F.col("overall_status").isin(vocab.TERMINATED_STATUSES), F.lit(False)),
-            "is_completed": F.coalesce(F.col("overall_status").isin(vocab.COMPLETED_STATUSES), F.lit(False)),
+            "is_terminated_like": F.coalesce(F.col("overall_status").isin(list(terminated)), F.lit(False)),
+            "is_completed": F.coalesce(F.col("overall_status").isin(list(completed)), F.lit(False)),
             "phase_is_na": F.col("phase_label") == vocab.PHASE_NA,
         }
     )

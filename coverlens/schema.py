@@ -1,5 +1,7 @@
 """Fixed schemas. Nothing in the package infers a schema from data."""
 
+from coverlens.functions import vocab
+
 # The paths kept from a landed study document. Fields that arrive either as a scalar or as a list, and
 # the flag (boolean or text), are read as VARIANT so that neither form nulls the record.
 PAGE = """
@@ -43,5 +45,11 @@ TIDY_COLUMNS = [
     "start_year",
 ]
 
+# Columns that a record table must have; the others have defaults.
+REQUIRED = ["nct_id", "has_dmc", "sponsor_class", "study_type", "phase", "overall_status"]
+
+# What an absent optional column holds; null if not listed.
+DEFAULTS = {"therapeutic_area": vocab.DEFAULT_AREA}
+
 # Order in which a study arrived: page, then file (equal page numbers), then place on the page.
 ARRIVAL = ["page_no", "page_file", "pos"]

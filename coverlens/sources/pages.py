@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlens import schema
+from coverlens.functions import vocab
 from coverlens.functions.dates import year_of
-from coverlens.functions.labels import area_of, parse_flag, phase_of_code, phase_of_codes
+from coverlens.functions.labels import Rules, area_of, parse_flag, phase_of_code, phase_of_codes
 from coverlens.functions.nested import variant_list, variant_text
 from coverlens.functions.text import joined_lower
 from coverlens.sources.contracts import require_path
@@ -16,11 +17,15 @@ from coverlens.sources.contracts import require_path
 _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Adds where each page stands: its own ``pageNo``, else the last number in its file name."""
-    in_name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).try_cast("bigint")
+# A number at the end of a file's name, before suffixes of formats and compressions.
+_IN_NAME = r"(\d+)(?:\.(?:jsonl?|ndjson|txt|gz|bz2|deflate|lz4|snappy|zst|xz))*$"
+
+
+def _numbered(raw: DataFrame, multi_line: bool) -> DataFrame:
+    """Adds where each page stands: its own ``pageNo``; a page that is a whole file may be numbered by the file's name."""
+    in_name = F.regexp_extract(F.col("_metadata.file_name"), _IN_NAME, 1).try_cast("bigint")
     return raw.select(
-        F.coalesce("pageNo", in_name).alias("page_no"),
+        (F.coalesce("pageNo", in_name) if multi_line else F.col("pageNo")).alias("page_no"),
         F.col("_metadata.file_path").alias("page_file"),
         "studies",
         "_corrupt_record",
@@ -32,11 +37,15 @@ def read_pages(spark: SparkSession, path: str, max_pages: int | None = None, mul
 
     ``multi_line=True`` reads one page per file in any layout. For one page per line pass ``False``: such
     files can be split among tasks, which is the form to land large crawls in; each line then carries ``pageNo``.
+    A page without a number is an error if a cap is asked for.
     """
     require_path(spark, path)
     raw = spark.read.schema(schema.PAGE).options(multiLine=multi_line, **_JSON).json(path)
-    pages = _numbered(raw)
-    return pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)
+    pages = _numbered(raw, multi_line)
+    if max_pages is None:
+        return pages
+    nameless = F.raise_error(F.concat(F.lit("A page without a number cannot be capped: "), "page_file"))
+    return pages.where(F.when(F.col("page_no").isNull(), nameless.cast("boolean")).otherwise(F.col("page_no") <= max_pages))
 
 
 def stream_pages(
@@ -46,7 +55,7 @@ def stream_pages(
     reader = spark.readStream.schema(schema.PAGE).options(multiLine=multi_line, **_JSON)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _numbered(reader.json(path))
+    return _numbered(reader.json(path), multi_line)
 
 
 def unreadable_pages(pages: DataFrame) -> DataFrame:
@@ -54,6 +63,17 @@ def unreadable_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("_corrupt_record").isNotNull() & F.col("studies").isNull()).drop("studies")
 
 
+def readable_pages(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame:
+    """The pages that could be read. One that could not fails the job, unless ``skip_unreadable`` is set; the caller then
+    keeps :func:`unreadable_pages`, as they hold studies that are missing."""
+    unreadable = F.col("_corrupt_record").isNotNull() & F.col("studies").isNull()
+    if skip_unreadable:
+        return pages.where(~unreadable)
+    # In the column itself, since a filter beside it may be applied after rows without studies are gone.
+    failed = F.raise_error(F.concat(F.lit("A page cannot be read: "), "page_file"))
+    return pages.withColumn("studies", F.when(unreadable, failed).otherwise(F.col("studies")))
+
+
 def pick_studies(pages: DataFrame) -> DataFrame:
     """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``)."""
     studies = pages.select("page_no", "page_file", F.posexplode("studies").alias("pos", "study")).select(
@@ -70,7 +90,7 @@ def pick_studies(pages: DataFrame) -> DataFrame:
         .alias("phase"),
         F.col("s.designModule.studyType").alias("study_type"),
         F.col("s.sponsorCollaboratorsModule.leadSponsor.class").alias("sponsor_class"),
-        F.col("s.statusModule.overallStatus").alias("overall_status"),
+        F.upper("s.statusModule.overallStatus").alias("overall_status"),
         F.col("s.statusModule.whyStopped").alias("why_stopped"),
         F.col("s.statusModule.startDateStruct.date").alias("start_date"),
         F.col("s.statusModule.primaryCompletionDateStruct.date").alias("primary_completion_date"),
@@ -78,10 +98,10 @@ def pick_studies(pages: DataFrame) -> DataFrame:
     ).where("nct_id <> ''")
 
 
-def with_derived(studies: DataFrame) -> DataFrame:
-    """Adds the classified area and the start year."""
+def with_derived(studies: DataFrame, rules: Rules = vocab.AREA_RULES) -> DataFrame:
+    """Adds the area, classified by the rules, and the start year."""
     return studies.withColumns(
-        {"therapeutic_area": area_of(joined_lower("conditions")), "start_year": year_of("start_date")}
+        {"therapeutic_area": area_of(joined_lower("conditions"), rules), "start_year": year_of("start_date")}
     )
 
 

@@ -35,11 +35,11 @@ class SeenIds:
     def _epoch(self) -> str:
         return f"{self.root}/epoch={max(files.numbered(self.spark, self.root, 'epoch='), default=0)}"
 
-    def load(self, before: int | None = None) -> DataFrame:
-        """All IDs, or those of the generations below ``before``."""
+    def load(self, without: int | None = None) -> DataFrame:
+        """All IDs, or those of all generations but one."""
         epoch = self._epoch()
         numbers = files.numbered(self.spark, epoch, "gen=")
-        paths = [f"{epoch}/gen={n}" for n in numbers if before is None or n < before]
+        paths = [f"{epoch}/gen={n}" for n in numbers if n != without]
         if not paths:
             return self.spark.createDataFrame([], f"{self.key} string")
         lines = self.spark.read.text(paths)

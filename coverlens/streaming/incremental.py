@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from coverlens import schema
+from coverlens.functions import vocab
+from coverlens.functions.labels import Rules
 from coverlens.operators.dedupe import first_wins, unseen_in_small_batch
 from coverlens.plans.ingest import eligible
 from coverlens.sources import files
-from coverlens.sources.pages import pick_studies, stream_pages, with_derived
+from coverlens.sources.contracts import require_path
+from coverlens.sources.pages import pick_studies, readable_pages, stream_pages, with_derived
 
-STORED = schema.TIDY + ", batch_id bigint"
+STORED = schema.TIDY + ", stream string, batch_id bigint"
 
 
-def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    """Everything emitted so far, with the batch that emitted it."""
-    files.make_folder(spark, out)
+def _stored(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(out)
 
 
-def add_batch(studies: DataFrame, batch_id: int, out: str) -> None:
-    """Adds the first arrival of each study that no earlier batch has emitted.
+def read_ingested(spark: SparkSession, out: str) -> DataFrame:
+    """Everything emitted so far, with the batch that emitted it. Batch numbers are those of a checkpoint's own count."""
+    return _stored(spark, require_path(spark, out)).drop("stream")
+
+
+def add_batch(studies: DataFrame, batch_id: int, out: str, stream: str = "0", rules: Rules = vocab.AREA_RULES) -> None:
+    """Adds the first arrival of each study that no other batch has emitted.
 
     The candidates are stored before they are compared with the earlier output: they are computed once,
-    and their true size lets Spark pick the join. The batch owns its ``batch_id`` folder and looks at
-    lower numbers only, so a replayed batch rewrites the same rows.
+    and their true size lets Spark pick the join. The batch owns the folder of its ``stream`` and ``batch_id``; a
+    replay rewrites it. What has been emitted is every other folder, so a stream that starts anew with another
+    checkpoint, and counts from 0 again, neither repeats studies nor overwrites them.
     """
     spark = studies.sparkSession
+    files.make_folder(spark, out)
     candidates_path = f"{out}/_candidates"  # hidden from readers of ``out``; replaced by every batch
     candidates = first_wins(studies, "nct_id", schema.ARRIVAL).drop(*schema.ARRIVAL)
     candidates.write.mode("overwrite").parquet(candidates_path)
     candidates = spark.read.schema(schema.PICKED).parquet(candidates_path)
-    emitted = read_ingested(spark, out).where(F.col("batch_id") < batch_id)
-    fresh = with_derived(unseen_in_small_batch(candidates, emitted)).select(*schema.TIDY_COLUMNS)
-    fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    emitted = _stored(spark, out).where(~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
+    fresh = with_derived(unseen_in_small_batch(candidates, emitted), rules).select(*schema.TIDY_COLUMNS)
+    fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch_id={batch_id}")
+
+
+def _stream_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was new."""
+    text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return f"s{json.loads(text)['id']}"
 
 
 def start_incremental(
@@ -45,13 +61,20 @@ def start_incremental(
     checkpoint: str,
     max_files_per_trigger: int | None = None,
     multi_line: bool = True,
+    rules: Rules = vocab.AREA_RULES,
+    skip_unreadable: bool = False,
     **window,
 ) -> StreamingQuery:
-    """Processes all pages landed since the last run under this checkpoint, then stops."""
+    """Processes all pages landed since the last run under this checkpoint, then stops. A page that cannot be read fails
+    the run, unless told to skip such pages."""
     pages = stream_pages(spark, landing, max_files_per_trigger, multi_line)
-    studies = eligible(pick_studies(pages), **window)
+    studies = eligible(pick_studies(readable_pages(pages, skip_unreadable)), **window)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_batch(batch, batch_id, out.rstrip("/"), _stream_of(batch.sparkSession, checkpoint), rules)
+
     return (
-        studies.writeStream.foreachBatch(lambda batch, batch_id: add_batch(batch, batch_id, out.rstrip("/")))
+        studies.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -60,5 +83,6 @@ def start_incremental(
 
 def run_incremental(spark: SparkSession, landing: str, out: str, checkpoint: str, **options) -> DataFrame:
     """:func:`start_incremental` to its end; returns everything emitted so far."""
+    files.make_folder(spark, out)
     start_incremental(spark, landing, out, checkpoint, **options).awaitTermination()
     return read_ingested(spark, out)

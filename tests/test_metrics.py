@@ -8,7 +8,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from coverlens.operators import charts, odds
+from coverlens.functions import measures
+from coverlens.operators import charts, odds, prevalence
 from coverlens.operators.gaps import cohort_gaps
 from coverlens.operators.outcomes import keyword_signals_by_flag, outcomes_by_flag, signal_ratios
 from coverlens.operators.prevalence import prevalence_by, prevalence_overall
@@ -148,9 +149,10 @@ def test_adjusted_odds_against_numpy(spark):
         data.append((phase, sponsor, flag, rng.random() < 1 / (1 + math.exp(-score))))
     data.append((None, "NIH", True, True))  # left out
     df = frame(spark, data, "phase string, sponsor_bucket string, has_dmc boolean, is_terminated_like boolean")
+    factors = ["phase", "sponsor_bucket"]
     design = np.array([[not f, p == "P2", p == "P3", s == "Industry", 1] for p, s, f, _ in data[:-1]], dtype=float)
     beta, errors = newton(design, np.array([y for *_, y in data[:-1]], dtype=float))
-    fitted = odds.adjusted_odds(df, base={"sponsor_bucket": "NIH"}).collect()
+    fitted = odds.adjusted_odds(df, factors, base={"sponsor_bucket": "NIH"}).collect()
     assert [r.term for r in fitted] == ["without_flag", "phase=P2", "phase=P3", "sponsor_bucket=Industry", "intercept"]
     assert [r.coefficient for r in fitted] == pytest.approx(beta, rel=1e-7)
     assert [r.std_error for r in fitted] == pytest.approx(errors, rel=1e-6)
@@ -164,3 +166,29 @@ def test_crude_odds_with_an_empty_cell(spark):
     assert rows(odds.crude_odds(df)) == [(0, 1, 1, 0, None, None, None)]
     even = df.select("has_dmc", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_terminated_like"))
     assert rows(odds.crude_odds(even))[0][4] == pytest.approx(1.0)
+
+
+def test_adjusted_odds_with_many_levels(spark):
+    df = spark.range(300 * 8).selectExpr(
+        "CAST(id % 300 AS STRING) AS level", "id % 3 = 0 AS has_dmc", "xxhash64(id) % 4 = 0 AS is_terminated_like"
+    )
+    fitted = odds.adjusted_odds(df, ["level"])
+    terms = [r.term for r in fitted.collect()]
+    assert len(terms) == 301 and terms[0] == "without_flag" and terms[1] == "level=1" and terms[-1] == "intercept"
+
+
+def test_python_and_numpy_rounding(spark, column):
+    values = [1 / 4000 * 100, 3 / 4000 * 100, 0.0, 100.0, 12.345, 0.125, 0.375, 1.005, 2.675, 33.33499999999999]
+    expected = [round(v, 2) for v in values]
+    assert column(values, measures.round2_exact("x"), "double") == expected
+    rng = random.Random(3)
+    values = [rng.randrange(t + 1) / t * 100 for t in (rng.choice([8, 200, 400, 4000, 8000, 16000, 12345]) for _ in range(20000))]
+    assert column(values, measures.round2_exact("x"), "double") == [round(v, 2) for v in values]
+    df = spark.range(4000).select((F.col("id") < 1).alias("has_dmc"), F.lit("all").alias("g"))
+    assert prevalence.prevalence_overall(df).first().with_dmc_pct == 0.03
+    assert prevalence.prevalence_by(df, "g").first().with_dmc_pct == 0.02
+
+
+def test_sets_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a string, b int, has_dmc boolean")
+    assert rows(prevalence.prevalence_sets(df, ["a", "b"])) == [("overall", None, 0, 0, 0, 0.0)]

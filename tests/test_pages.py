@@ -1,3 +1,5 @@
+import bz2
+import gzip
 import json
 
 import pytest
@@ -48,7 +50,7 @@ def test_flatten(spark, tmp_path):
     land(tmp_path / "in", 12, [*dropped, empty, bare])
     flat = flatten_studies(read_pages(spark, str(tmp_path / "in"))).orderBy(*schema.ARRIVAL)
     assert rows(flat.drop("page_file")) == [
-        (1, 0, "N1", True, "Phase 1/Phase 2", "INTERVENTIONAL", "INDUSTRY", "Terminated", 'said "no"\nand left',
+        (1, 0, "N1", True, "Phase 1/Phase 2", "INTERVENTIONAL", "INDUSTRY", "TERMINATED", 'said "no"\nand left',
          "2011-02", "2013", ["Lung cancer", None], "Oncology", 2011),
         (1, 1, "N2", None, "Phase 3", None, None, "COMPLETED", None, "2012-03-04", None, ["Heart failure"],
          "Cardiovascular", 2012),
@@ -124,7 +126,7 @@ def test_stream_adds_only_new_studies(spark, tmp_path):
     assert third == second + [("C", None, 2)]
     # A replay of batch 1 finds its own rows only in its own folder and writes them again.
     replay = flatten_studies(read_pages(spark, f"{landing}/page-00002.json")).where("has_dmc")
-    add_batch(replay, 1, out)
+    add_batch(replay, 1, out, json.loads((tmp_path / "checkpoint" / "metadata").read_text())["id"].join(["s", ""]))
     assert emitted(read_ingested(spark, out)) == third
 
 
@@ -138,3 +140,44 @@ def test_many_batches_equal_one(spark, tmp_path):
     assert ids(one) == ids(many) == ids(batch)
     assert {(r.nct_id, r.has_dmc) for r in one.collect()} == {(r.nct_id, r.has_dmc) for r in batch.collect()}
     assert many.select("batch_id").distinct().count() > 1
+
+
+def test_a_new_checkpoint_repeats_and_loses_nothing(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    land(tmp_path / "landing", 1, [study("A", True)])
+    run_incremental(spark, landing, out, str(tmp_path / "c1"))
+    land(tmp_path / "landing", 2, [study("B", True)])
+    run_incremental(spark, landing, out, str(tmp_path / "c1"))
+    again = run_incremental(spark, landing, out, str(tmp_path / "c2"))
+    assert emitted(again) == [("A", True, 0), ("B", True, 1)]
+
+
+def test_an_old_run_is_repeated(spark, tmp_path):
+    landing, out, seen = tmp_path / "landing", str(tmp_path / "out"), SeenIds(spark, str(tmp_path / "seen"))
+    land(landing, 1, [study("A", True)])
+    ingest_run(spark, str(landing), out, seen, 1)
+    land(landing, 2, [study("B", True)])
+    ingest_run(spark, str(landing), out, seen, 2)
+    assert ids(ingest_run(spark, str(landing), out, seen, 1)) == ["A"]
+
+
+def test_unreadable_pages_fail_or_are_kept(spark, tmp_path):
+    land(tmp_path / "in", 1, [study("A")])
+    (tmp_path / "in" / "page-00002.json").write_text('{"studies": [ {bad')
+    with pytest.raises(Exception, match="cannot be read"):
+        ingest(spark, str(tmp_path / "in")).count()
+    assert ids(ingest(spark, str(tmp_path / "in"), rejects=str(tmp_path / "bad"))) == ["A"]
+    assert [r.page_no for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
+
+
+def test_page_numbers(spark, tmp_path):
+    for name, opener in (("page-00001.json.bz2", bz2.open), ("page-00002.json.gz", gzip.open)):
+        with opener(tmp_path / name, "wt") as f:
+            f.write(json.dumps({"studies": [study(name)]}))
+    assert ids(flatten_studies(read_pages(spark, str(tmp_path), max_pages=1))) == ["page-00001.json.bz2"]
+    (tmp_path / "unnumbered.json").write_text(json.dumps({"studies": [study("U")]}))
+    assert len(ids(flatten_studies(read_pages(spark, str(tmp_path))))) == 3
+    with pytest.raises(Exception, match="without a number"):
+        read_pages(spark, str(tmp_path), max_pages=1).count()
+    with pytest.raises(Exception, match="without a number"):
+        read_pages(spark, str(tmp_path), max_pages=1, multi_line=False).count()

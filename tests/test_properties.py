@@ -91,7 +91,6 @@ def test_area(column, values):
     joined = text.joined_lower("x")
     wanted = [expected(v) for v in values]
     assert column(values, labels.area_of(joined), "array<string>") == wanted
-    assert column(values, labels.area_of_long_text(joined), "array<string>") == wanted
 
 
 @few

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from coverlens import schema
 from coverlens.operators.dedupe import first_wins, merged_ids, unseen_in_small_batch, unseen_only
-from coverlens.plans.normalize import REQUIRED, normalize
+from coverlens.plans.normalize import normalize
 from coverlens.plans.report import record_cells, report_tables, write_report
 from coverlens.session import stored
 from coverlens.sources.seen import SeenIds, read_id_list, write_id_list
@@ -99,8 +99,8 @@ def raw(spark, values, columns):
 
 
 def test_contract(spark):
-    full = spark.createDataFrame([("x",) * len(REQUIRED)], REQUIRED)
-    for name in REQUIRED:
+    full = spark.createDataFrame([("x",) * len(schema.REQUIRED)], schema.REQUIRED)
+    for name in schema.REQUIRED:
         with pytest.raises(ValueError, match=name):
             normalize(full.drop(name))
 
@@ -201,3 +201,14 @@ def test_dirty_columns_are_counted_not_lost(spark, records):
     cells = record_cells(records)
     assert cells.agg(F.sum("n_rows")).first()[0] == 2000
     assert cells.agg(F.sum("n_keys")).first()[0] == records.where("nct_id is not null").count()
+
+
+@pytest.mark.parametrize("missing", schema.REQUIRED)
+def test_required_columns_of_files(spark, tmp_path, missing):
+    df = spark.createDataFrame([TIDY_ROW], schema.TIDY)
+    df.drop(missing).write.parquet(str(tmp_path / "parquet"))
+    with pytest.raises(ValueError, match=missing):
+        read_tidy(spark, str(tmp_path / "parquet"))
+    df.drop(missing, "conditions").write.option("header", True).csv(str(tmp_path / "csv"))
+    with pytest.raises(ValueError, match=missing):
+        read_tidy_csv(spark, str(tmp_path / "csv"))
