@@ -124,7 +124,7 @@ class Tree:
         kept, kinds = np.bincount(context, seen, size), np.bincount(context, minlength=size)
         # Divergence times n: over the named words, and over all others taken together.
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.bincount(context, seen * np.log(seen / n[context] / shorter), size)
+            gain = np.bincount(context, seen * np.log(seen / n[context] / shorter), size).astype(float)
             rest, left = n - kept, np.maximum(1 - np.bincount(context, shorter, size), 1e-12)
             gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(n, 1) / left), 0.0)
             retained = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(n, 2)))
