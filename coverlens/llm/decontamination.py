@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.llm.common import fresh, small_batches, without
+from coverlens.session import stored
 
 WINDOW = 13
 # Words of benchmark text that one automaton holds at most, about 100 bytes each in a worker. A larger benchmark is
-# matched in several blocks, one after the other within the same pass over the documents.
+# matched in several blocks, one pass over the documents after the other.
 BLOCK_WORDS = 1_000_000
 OWN = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hit_spans")
 
@@ -36,17 +37,22 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def _blocks(benchmark: DataFrame, words: int):
-    """Lists of (item_id, words) with at most so many words, or one item, fetched bit by bit. Wordless items are left out."""
-    block, held = [], 0
+def _blocks(benchmark: DataFrame, words: int, window: int):
+    """Lists of (item_id, words) with at most so many words, fetched bit by bit. Wordless items are left out.
+
+    A longer item is cut into pieces that overlap by a window less one word, so that together they have its windows.
+    """
+    block, held, size = [], 0, max(words, window)
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         found = normal_words(text)
-        if block and held + len(found) > words:
-            yield block
-            block, held = [], 0
-        if found:
-            block.append((item, found))
-            held += len(found)
+        for start in range(0, max(len(found) - window, 0) + 1, size - window + 1):
+            piece = found[start : start + size]
+            if block and held + len(piece) > size:
+                yield block
+                block, held = [], 0
+            if piece:
+                block.append((item, piece))
+                held += len(piece)
     if block:
         yield block
 
@@ -96,7 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     A missing or empty text has no words and is clean. An item with a missing id counts as a hit but is not listed;
     repeated items count once. With an empty benchmark every document is clean. Input columns that have one of the
-    added names are replaced. The benchmark reaches the tasks in blocks of ``block_words`` words, so their size is bounded.
+    added names are replaced. The benchmark reaches the tasks in blocks of ``block_words`` words,
+    or of a window if that is more, however long an item is, so their size is bounded.
     """
     docs = small_batches(without(docs, *OWN))
     mask, found = fresh(docs, "hit_mask", "found_items")
@@ -125,7 +132,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
         return scan
 
-    for block in _blocks(benchmark, block_words):
+    for i, block in enumerate(_blocks(benchmark, block_words, window)):
+        if i:  # written in between, so that no task holds two automata
+            marked = stored(marked, "marked")
         marked = marked.mapInArrow(scanning(block), marked.schema)
 
     own = "n_words long, n_hit long, items array<bigint>, items_sha256 string, hit_spans array<struct<begin:int,end:int>>"

@@ -33,6 +33,8 @@ DROPPED = frozenset(
 )
 # Elements whose content is not markup.
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+# Elements whose end tag may be missing: the next of their kind ends them. Any block ends a paragraph.
+REPEATED = frozenset("dd dt li option td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that mark what surrounds the main text.
 MARKS = re.compile(
@@ -60,7 +62,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
-            if text and not dropped:
+            if text:
                 out.append((text, article))
 
     page, at = page or "", 0
@@ -83,7 +85,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
                     del open_[i:]
                     break
         elif name not in VOID:
-            if name == "p" and open_ and open_[-1][0] == "p":
+            if open_ and (open_[-1][0] == name in REPEATED or (open_[-1][0] == "p" and name in BLOCKS)):
                 open_.pop()
             marked = name in DROPPED and not (name == "header" and article)
             if attributes and name not in ("html", "body", "article", "main") and not marked:

@@ -138,13 +138,15 @@ def test_near_duplicates_against_brute_force(spark):
 # --- decontamination
 
 
-def test_contamination_against_brute_force(spark):
+@pytest.mark.parametrize("block_words", [60, 10_000])
+def test_contamination_against_brute_force(spark, block_words):
+    """Also with items that are longer than a block."""
     rng = random.Random(8)
     rows = [r for r in documents(5, 80) if r[0] is not None]
     long_texts = [r[1] for r in rows if len(words(r[1])) > 30]
     items = [(i, " ".join(t.split(" ")[rng.randrange(5) :][:20])) for i, t in enumerate(long_texts[:12])]
-    items += [(20, "One, TWO!"), (21, "..."), (22, None), (3, items[3][1])]
-    found = decontamination.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_words=60)
+    items += [(20, "One, TWO!"), (21, "..."), (22, None), (3, items[3][1]), (23, " ".join(long_texts[:4]))]
+    found = decontamination.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
     windows = {}
     for i, t in items:
         w = decontamination.normal_words(t)
@@ -196,6 +198,18 @@ def test_main_text(spark):
     assert out == {1: "Head & line\nOne two three\nCafé x\nlast &am", 2: "Own text 1", 3: "Own text 2", 4: "", 5: ""}
 
 
+@pytest.mark.parametrize("page, expected", [
+    ("<article><p>Hello <span class=ad>x<div>Buy</div></span> world</article>", ["Hello", "world"]),
+    ("<article><p>Text <span class='share'>Share</p><p>next</article>", ["Text", "next"]),
+    ("<article><ul><li class=ad>Buy<li>One<li>Two</ul><p class=promo>Offer<h2>Part</h2><p>End</article>", ["One", "Two", "Part", "End"]),
+    ("<article><table><tr><td>a<td class=ad>b<td>c<tr><td>d</table></article>", ["a", "c", "d"]),
+    ("<article><ul><li>One<ul><li>Inner</ul><li>Two</ul></article>", ["One", "Inner", "Two"]),
+    ("<article><p>x" + " y" * 50_000 + "</article>", ["x" + " y" * 50_000]),
+])
+def test_surroundings_end_where_their_element_does(page, expected):
+    assert [text for text, _ in html.lines(page)] == expected
+
+
 def test_aliases_share_a_block_but_not_an_allow(spark):
     rows = [
         (1, "http://a.net/p", '<link rel="canonical" href="http://x.com/de/1">'),
