@@ -35,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return context.getCheckpointDir()
