@@ -36,13 +36,16 @@ RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 # Elements whose end tag may be missing: the next of their kind ends them. Any block ends a paragraph.
 REPEATED = frozenset("dd dt li option td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words of class, id and role that mark what surrounds the main text.
+# Words of class, id and role that mark what surrounds the main text. A page that has, or lacks, a sidebar is none itself.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notices?|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|disqus|replies|respond|share|social|related|recommended|"
-    r"newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|contentinfo|complementary|search)(?:$|[\s_-])",
+    r"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bwithout)[_-])"
+    r"(ads?|adsbygoogle|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|gdpr|notices?|menu|nav|navbar|"
+    r"navigation|breadcrumbs?|sidebar|side|widget|header|masthead|footer|comments?|commentlist|disqus|replies|respond|share|social|related|"
+    r"recommended|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|contentinfo|complementary|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# Those that mark an ``article`` element: readers' comments are often articles of their own.
+COMMENT = re.compile(r"(?:^|\s)(?:user-|reader-)?comments?(?:$|\s|[_-](?:body|item|wrapper)(?:$|\s))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(
@@ -51,6 +54,14 @@ _TOKEN = re.compile(
 )
 
 
+def _marked(attributes: str, name: str, article: bool) -> bool:
+    """Whether class, id or role name surroundings. An article's own header holds its title."""
+    values = ["".join(x) for x in _ATTRIBUTE.findall(attributes)]
+    if name == "article":
+        return any(COMMENT.search(x) for x in values)
+    return any(not (article and found.group(1).lower() == "header") for x in values for found in MARKS.finditer(x))
+
+
 def lines(page: str | None) -> list[tuple[str, bool]]:
     """The page's text lines in order, without what markup names as surroundings, and whether each is in an article."""
     out: list[tuple[str, bool]] = []
@@ -88,9 +99,10 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             if open_ and (open_[-1][0] == name in REPEATED or (open_[-1][0] == "p" and name in BLOCKS)):
                 open_.pop()
             marked = name in DROPPED and not (name == "header" and article)
-            if attributes and name not in ("html", "body", "article", "main") and not marked:
-                marked = any(MARKS.search("".join(x)) for x in _ATTRIBUTE.findall(attributes))
-            if name in BLOCKS or name in DROPPED or marked:
+            if attributes and name not in ("html", "body", "main") and not marked:
+                marked = _marked(attributes, name, article)
+            # Within a marked inline element, others of its name are counted too, so that its own end tag ends it.
+            if name in BLOCKS or name in DROPPED or marked or any(x[0] == name for x in open_):
                 open_.append((name, marked, name in ("article", "main")))
         else:
             continue

@@ -205,6 +205,9 @@ def test_main_text(spark):
     ("<article><table><tr><td>a<td class=ad>b<td>c<tr><td>d</table></article>", ["a", "c", "d"]),
     ("<article><ul><li>One<ul><li>Inner</ul><li>Two</ul></article>", ["One", "Inner", "Two"]),
     ("<article><p>x" + " y" * 50_000 + "</article>", ["x" + " y" * 50_000]),
+    ("<article><p>One <span class=ad>x <span>y</span> z</span> two</article>", ["One two"]),
+    ("<article>Text</article><article class='comment odd'>Nice!</article><article class=post-comments-open>More</article>", ["Text", "More"]),
+    ("<div class=has-sidebar><article><div class=entry-header><h1>Title</h1></div><p>Text</article></div><div class=sidebar>x</div>", ["Title", "Text"]),
 ])
 def test_surroundings_end_where_their_element_does(page, expected):
     assert [text for text, _ in html.lines(page)] == expected
