@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coverlens.llm.common import fresh, small_batches, without
 from coverlens.session import stored
@@ -139,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     own = "n_words long, n_hit long, items array<bigint>, items_sha256 string, hit_spans array<struct<begin:int,end:int>>"
     output = docs.schema
-    for field in spark.createDataFrame([], own).schema:
+    for field in StructType.fromDDL(own):
         output = output.add(field)
 
     def finish(batches):

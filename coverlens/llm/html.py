@@ -205,11 +205,11 @@ def extracted(pages: DataFrame, out: str = "text") -> DataFrame:
     """
     pages = without(pages, out) if out.lower() not in ("url", "html") else pages
     pages = small_batches(pages)
-    key, gone = fresh(pages, "key", "gone")
+    key, gone, found_key = fresh(pages, "key", "gone", "found_key")
     keyed = pages.withColumn(key, F.xxhash64("url", "html"))
     found = differences(keyed.select(F.col(key).alias("key"), "url", "html")).where("size(shared) > 0")
-    found = stored(found.select(F.col("key").alias("found_key"), F.col("shared").alias(gone)), "shared-lines")
-    joined = keyed.join(found, F.col(key) == F.col("found_key"), "left").drop("found_key", key)
+    found = stored(found.select(F.col("key").alias(found_key), F.col("shared").alias(gone)), "shared-lines")
+    joined = keyed.join(found, F.col(key) == F.col(found_key), "left").drop(found_key, key)
     schema = StructType([*[f for f in joined.schema.fields if f.name != gone], StructField(out, StringType())])
 
     def texts(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import components, small_batches
+from coverlens.llm.common import components, fresh, small_batches
 from coverlens.llm.text import chunks, layout, mixed, shingles, word_hashes
 from coverlens.session import stored
 
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are each returned. A row without doc_id takes part; its component has the smallest id there is,
     or null. Classes, links and components stay distributed; an empty input gives no rows.
     """
-    docs = small_batches(docs)
+    docs = small_batches(docs).select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, digest binary, bands array<long>"
     signed = stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_signed, schema), "signatures")
     grouped = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -178,6 +178,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key"))
     groups = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("rank").alias("rank"))
     wordless = found.where("class_id IS NULL").select("rank").distinct()
-    kept = groups.select("rank").unionByName(wordless).select(F.col("rank.doc_id").alias("kept_id"), F.col("rank.text_key").alias("kept_key"))
-    rows = docs.join(stored(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")))
-    return rows.dropDuplicates(["kept_id", "kept_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = groups.select("rank").unionByName(wordless)
+    kept_id, kept_key = fresh(docs, "kept_id", "kept_key")
+    kept = stored(kept.select(F.col("rank.doc_id").alias(kept_id), F.col("rank.text_key").alias(kept_key)), "kept")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_key)))
+    return rows.dropDuplicates([kept_id, kept_key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -101,10 +101,12 @@ def train(good: np.ndarray, words: list[np.ndarray], shape: np.ndarray, rounds:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents, the ones whose ids hash lowest. Labels other than 0 and 1 are ignored;
-    a document with several labels is good if all are 1."""
+    a document with several labels is good if all are 1. Of rows that share an id the smallest text counts."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "good")
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("good", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    # Of rows that share an id one text counts, so that no more rows come to the driver than were chosen.
+    picked = picked.groupBy("id", "good").agg(F.min("text").alias("text")).select("good", "text")
 
     def collect(batches):
         for batch in batches:

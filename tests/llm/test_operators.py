@@ -332,6 +332,47 @@ def test_odd_rows(spark, name):
     assert OPERATORS[name](spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+PAGES = {
+    "verdicts": lambda pages: urls.verdicts(pages, urls.page_edges(pages)),
+    "extracted": lambda pages: html.extracted(pages),
+    "archived": lambda pages: warc.archived(pages),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_odd_pages(spark, name):
+    schema = "page_id long, url string, html string"
+    rows = [(1, "http://a.org/x", "<p>a"), (1, "http://a.org/x", "<p>a"), (None, None, None), (2, "no scheme", ""), (3, "http://a.org/y", "<p>" + "x " * 50_000)]
+    extra = {c: F.lit(c) for c in ("Host", "text", "key", "gone", "found_key", "node", "digest", "archive", "position")}
+    assert PAGES[name](spark.createDataFrame(rows, schema).withColumns(extra)).count() == len(rows)
+    assert PAGES[name](spark.createDataFrame([], schema)).count() == 0
+
+
+def test_odd_vectors(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    nan, inf = float("nan"), float("inf")
+    vectors = [None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0], [1.0, 0.0], [1.0, 0.0], [2.0, 0.0]]
+    rows = [(i, v, 1) for i, v in enumerate(vectors)] + [(None, [1.0, 0.0], 1), (20, [1.0, 0.0], None), (9, [2.0, 0.0], 1)]
+    found = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, schema).withColumn("cid", F.lit("x"))).collect()
+    assert len(found) == len(rows)
+    linked = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in found if r.n_links)
+    assert linked == [(0, 4, 7), (7, 4, 7), (8, 4, 7), (9, 4, 7), (9, 4, 7)]
+    assert embeddings.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whole(spark):
+    text = "one two three four five six"
+    rows = [(4, text, "a", "x"), (2, text.upper(), "b", "y"), (2, text.upper(), "b", "y"), (None, text, "c", "z"), (7, "", "d", "w"), (8, None, "e", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, kept_id string")
+    assert sorted(map(tuple, minhash.deduplicated(docs).collect())) == [(2, text.upper(), "b", "y"), (7, "", "d", "w"), (8, None, "e", "v")]
+
+
+def test_sample_is_bounded_though_an_id_repeats(spark):
+    docs = spark.createDataFrame([(1, f"good text {i}") for i in range(50)] + [(2, "bad"), (3, "worse")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, sample=3).prior == pytest.approx(math.log(2 / 3))
+
+
 def test_mixing_reaches_its_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "a" if i < 3000 else "b" if i < 3300 else None, "en") for i in range(4000)]
     mixed = mixing.mix(spark.createDataFrame(rows, DOCS))
