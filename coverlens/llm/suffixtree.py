@@ -1,9 +1,12 @@
 """Language model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to ``depth`` words. A context is a candidate if it makes up a given share of all
-tokens, so there are at most 1 / share of them, whatever the corpus; it is retained if the distribution of the word
-after it diverges from that of the next shorter retained context by more than its description costs. Every state mixes
-its counts with the shorter state's distribution. A token is scored by the longest retained suffix of what precedes it.
+The tree's states are contexts of up to ``depth`` words. A context is a candidate if it occurs twice, and it names the
+words that follow it twice, whatever the corpus; it is retained if the distribution of the word after it diverges from
+that of the next shorter retained context by more than its description costs. Every state mixes its counts with the
+shorter state's distribution. A token is scored by the longest retained suffix of what precedes it.
+
+The tree is nowhere whole. Runs of words are dealt by their hashes to buckets, whose number follows the corpus. A block
+of documents sends its distinct runs to their buckets and gets back, in the same order, what all blocks have of them.
 """
 
 from __future__ import annotations
@@ -12,31 +15,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from coverlens.llm.common import small_batches
-from coverlens.llm.text import chunks, layout, word_hashes
+from coverlens.llm.text import MULTIPLIERS, chunks, layout, mixed, word_hashes
 from coverlens.session import stored
 
 DEPTH = 2
-# Least share of all training tokens of a word, or a context with the word after it, that the tree names.
-LEAST_SHARE = 2e-6
-# Least share of a context.
-CONTEXT_SHARE = 1e-5
+# Occurrences that make a context a candidate, and a word after it one that the context names.
+LEAST = 2
 # Bytes of text in a block, whose words are numbered together; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 END = np.uint64(1)
-# Tokens that are looked up at once.
-PIECE = 200_000
-BLOCK = "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens array<int>, words array<long>, counts array<int>"
+# Tokens for each bucket that runs of one length are dealt to.
+BUCKET = 500_000
+BLOCK = "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens array<int>, words array<long>"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ASKED = "depth int, bucket int, block long, runs binary, sums binary"
+# Of runs of depth + 1 words: their counts, doubled, plus 1 for the block that stands for the run. Of contexts: STATES + depth.
+ANSWERED = "block long, depth int, bucket int, found binary, tokens long, kinds long"
+STATES = 1000
 
 
 def _block(ids: list, held: list, parts: list, lengths: list) -> pa.RecordBatch:
     lengths = np.concatenate(lengths).astype(np.int32)
     words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-    train = np.repeat(~np.array(held, bool), lengths)
-    counts = np.bincount(tokens[train], minlength=len(words)).astype(np.int32)
 
     def one(values, kind):
         return pa.array([values], pa.list_(kind))
@@ -44,14 +46,14 @@ def _block(ids: list, held: list, parts: list, lengths: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             one(ids, pa.int64()), one(held, pa.bool_()), one(lengths, pa.int32()), one(tokens.astype(np.int32), pa.int32()),
-            one(words.view(np.int64), pa.int64()), one(counts, pa.int32()),
+            one(words.view(np.int64), pa.int64()),
         ],
         [x.split()[0] for x in BLOCK.split(", ")],
     )
 
 
 def _encoded(batches):
-    """Documents in blocks: a row with their tokens as numbers of the block's own words, and the words' hashes and counts."""
+    """Documents in blocks: a row with their tokens as numbers of the block's own words, and the words' hashes."""
     ids, held, parts, lengths, size = [], [], [], [], 0
     for batch in batches:
         offsets, data = layout(batch.column("text"))
@@ -71,8 +73,19 @@ def _encoded(batches):
         yield _block(ids, held, parts, lengths)
 
 
+def weights(n: np.ndarray, kept: np.ndarray, kinds: np.ndarray, shorter: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much the shorter state's distribution weighs in contexts that occur ``n`` times, and the sum of weights; 0 if
+    not retained. They name ``kinds`` words, which follow ``kept`` times in all, have the probability ``shorter`` in all
+    after the shorter state, and add ``gain`` to the divergence times n. All other words are taken together."""
+    n, gain = n.astype(float), gain.astype(float)
+    rest, left = n - kept, np.maximum(1 - shorter, 1e-12)
+    gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(n, 1) / left), 0.0)
+    retained = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(n, 2)))
+    return np.where(retained, rest + kinds, 0.0), np.where(retained, n + kinds, 0.0)
+
+
 class Tree:
-    """Words that the tree names, and per depth the sorted keys (context << 32 | word), their counts, and the states.
+    """A small tree in memory, to look at: its words, and per depth the sorted keys (context << 32 | word), their counts, and the states.
 
     A context of one word is the word's number; of more, the number of the key that ends with its last word.
     """
@@ -86,32 +99,6 @@ class Tree:
         self.backing: list[np.ndarray] = []
         self.sums: list[np.ndarray] = []
 
-    @classmethod
-    def of(cls, parts: dict) -> Tree:
-        """From ``vars`` of another one: broadcasts hold plain arrays."""
-        tree = cls.__new__(cls)
-        tree.__dict__.update(parts)
-        return tree
-
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """The tree's numbers of word hashes, -1 for words that it does not name."""
-        return _found(self.words, words)
-
-    def contexts(self, numbers: np.ndarray, inside: np.ndarray, least: float):
-        """Per depth: the number of the context before each token, or -1. ``inside[k]``: so many words precede it."""
-        before = np.concatenate([[-1], numbers[:-1]])
-        context = np.where(inside[0] & (before >= 0) & (self.counts[before] >= least), before, -1) if len(self.words) else before * 0 - 1
-        yield context
-        for depth in range(1, len(inside)):
-            # The context one shorter before the previous token, and that token: a key of the depth before.
-            previous = np.concatenate([[-1], context[:-1]])
-            if depth > len(self.keys):
-                return
-            key = np.where((previous >= 0) & (before >= 0) & inside[depth], previous << 32 | np.maximum(before, 0), -1)
-            at = _found(self.keys[depth - 1], key)
-            context = np.where((key >= 0) & (at >= 0) & (self.seen[depth - 1][at] >= least), at, -1) if len(self.keys[depth - 1]) else at
-            yield context
-
     def grow(self, keys: np.ndarray, seen: np.ndarray) -> None:
         """Adds a depth from the counts of its keys: tests every context's divergence and weighs the retained ones."""
         order = np.argsort(keys)
@@ -122,14 +109,11 @@ class Tree:
         n = occurrences.astype(float)
         size = len(n)
         kept, kinds = np.bincount(context, seen, size), np.bincount(context, minlength=size)
-        # Divergence times n: over the named words, and over all others taken together.
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.bincount(context, seen * np.log(seen / n[context] / shorter), size).astype(float)
-            rest, left = n - kept, np.maximum(1 - np.bincount(context, shorter, size), 1e-12)
-            gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(n, 1) / left), 0.0)
-            retained = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(np.maximum(n, 2)))
-        self.backing.append(np.where(retained, rest + kinds, 0.0))
-        self.sums.append(np.where(retained, n + kinds, 0.0))
+            gain = np.bincount(context, seen * np.log(seen / n[context] / shorter), size)
+        backing, sums = weights(n, kept, kinds, np.bincount(context, shorter, size), gain)
+        self.backing.append(backing)
+        self.sums.append(sums)
         self.keys.append(keys)
         self.seen.append(seen)
 
@@ -173,67 +157,168 @@ def _found(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _pieces(batch: pa.RecordBatch, row: int, depth: int):
-    """A block piece by piece, of PIECE tokens or one document: the documents' range, their tokens, lengths and held-out
-    marks, and where at least 1, 2, ... words of the document precede."""
-    tokens, lengths = np.asarray(batch.column("tokens")[row].values), np.asarray(batch.column("lengths")[row].values)
-    held = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
-    for lo, hi in chunks(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), PIECE):
-        first, own = int(lengths[:lo].sum()), lengths[lo:hi]
-        part = tokens[first : first + int(own.sum())]
-        at = np.arange(len(part)) - np.repeat(np.cumsum(own) - own, own)
-        yield lo, hi, part, own, held[lo:hi], [at > d for d in range(depth)]
+def _runs(block: dict, depth: int):
+    """Per depth: the sorted distinct hashes of runs of depth + 1 words, for each token the place of the run that ends
+    with it, -1 where its document has fewer words, and of each run a token that it ends with."""
+    words, tokens, lengths = block["words"].view(np.uint64), block["tokens"], block["lengths"]
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    last = run = words[tokens]
+    yield words, tokens, None
+    for d in range(1, depth + 1):
+        run = mixed(np.concatenate([run[:1], run[:-1]]) * MULTIPLIERS[0] + last * MULTIPLIERS[1])
+        whole = np.flatnonzero(at >= d)
+        runs, ends, places = np.unique(run[whole], return_index=True, return_inverse=True)
+        place = np.full(len(tokens), -1)
+        place[whole] = places
+        yield runs, place, whole[ends]
+
+
+def _arrays(batch, row: int) -> dict:
+    found = {n: np.asarray(batch.column(n)[row].values) for n in ("lengths", "tokens", "words")}
+    found["doc_ids"] = batch.column("doc_ids")[row].values
+    found["held"] = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
+    return found
 
 
-def _counting(sent, depth: int, least: float):
+def _dealt(rows: list, depth: int, block: int, runs: np.ndarray, sums: np.ndarray, bits: int) -> None:
+    """Adds a row per bucket that has any of the sorted ``runs``; ``sums`` has a column for each run."""
+    edges = np.searchsorted(runs, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(runs)]
+    for bucket, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        if lo < hi:
+            rows.append((depth, bucket, block, runs[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()))
+
+
+def _table(rows: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _counting(depth: int, bits: int):
     def count(batches):
-        tree = Tree.of(sent.value)
         for batch in batches:
             for row in range(batch.num_rows):
-                named = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))
-                parts = []
-                for _, _, tokens, lengths, held, inside in _pieces(batch, row, depth):
-                    numbers = named[tokens]
-                    *_, context = tree.contexts(numbers, inside, least)
-                    use = (context >= 0) & (numbers >= 0) & ~np.repeat(held, lengths)
-                    parts.append(context[use] << 32 | numbers[use])
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
+                block, rows = _arrays(batch, row), []
+                train = np.repeat(~block["held"], block["lengths"])
+                for d, (runs, place, _) in enumerate(_runs(block, depth)):
+                    n = np.bincount(place[train & (place >= 0)], minlength=len(runs)).astype(np.int32)
+                    _dealt(rows, d, batch.column("block")[row].as_py(), runs, n[None], bits)
+                yield from _table(rows, ASKED).to_batches()
 
     return count
 
 
-def _scoring(sent, total: int, distinct: int, depth: int, least: float):
+def _bucket(table: pa.Table, kind, width: int):
+    """Of a bucket: its rows' blocks, where each row's runs end, all runs' first places and their numbers, and the sums."""
+    runs = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
+    sums = [np.frombuffer(x, kind).reshape(width, -1) for x in table.column("sums").to_pylist()]
+    _, first, number = np.unique(np.concatenate(runs), return_index=True, return_inverse=True)
+    return table.column("block").to_pylist(), np.cumsum([len(x) for x in runs]), first, number, np.concatenate(sums, axis=1)
+
+
+def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """What all blocks together have of a bucket's runs, for each block."""
+    depth, bucket = (x.as_py() for x in key)
+    blocks, ends, first, number, sums = _bucket(table, np.int32, 1)
+    totals = np.bincount(number, sums[0]).astype(np.int64)
+    found = totals[number] << 1
+    found[first] += 1
+    own = [int(totals.sum()), int((totals > 0).sum())]
+    rows = [(b, depth, bucket, x.tobytes(), *(own if i == 0 else (0, 0))) for i, (b, x) in enumerate(zip(blocks, np.split(found, ends[:-1])))]
+    return _table(rows, ANSWERED)
+
+
+def _weighed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Tests a bucket's contexts: the weight of the shorter state and the sum of weights, for each block that has them."""
+    depth, bucket = (x.as_py() for x in key)
+    blocks, ends, first, number, sums = _bucket(table, np.float64, 5)
+    kept, kinds, shorter, gain = (np.bincount(number, x) for x in sums[1:])
+    found = np.stack(weights(sums[0][first], kept, kinds, shorter, gain)).astype(np.int64)
+    own = [0, int((found[1] > 0).sum())]
+    parts = np.split(found[:, number], ends[:-1], axis=1)
+    rows = [(b, STATES + depth, bucket, np.ascontiguousarray(x).tobytes(), *(own if i == 0 else (0, 0))) for i, (b, x) in enumerate(zip(blocks, parts))]
+    return _table(rows, ANSWERED)
+
+
+def _answers(table: pa.Table) -> dict:
+    """Per depth, what a block's runs were answered, in the order of the runs."""
+    by: dict = {}
+    for row in table.select(["depth", "bucket", "found"]).to_pylist():
+        by.setdefault(row["depth"], []).append((row["bucket"], row["found"]))
+    out = {}
+    for depth, parts in by.items():
+        width = 2 if depth >= STATES else 1
+        out[depth] = np.concatenate([np.frombuffer(x, np.int64).reshape(width, -1) for _, x in sorted(parts)], axis=1)
+    return out
+
+
+def _stepped(p: np.ndarray, runs: list, answers: dict, upto: int) -> np.ndarray:
+    """Every token's probability under the longest retained state of at most ``upto`` words, given that under none."""
+    for d in range(1, upto + 1):
+        at = np.flatnonzero(runs[d][1] >= 0)
+        if not len(at) or STATES + d not in answers:
+            break
+        candidates = answers[d - 1][0] >> 1 >= LEAST
+        backing, sums = np.zeros((2, len(candidates)), np.int64)
+        backing[candidates], sums[candidates] = answers[STATES + d]
+        context, seen = runs[d - 1][1][at - 1], answers[d][0][runs[d][1][at]] >> 1
+        use = sums[context] > 0
+        at, context, seen = at[use], context[use], np.where(seen >= LEAST, seen, 0)[use]
+        p = p.copy()
+        p[at] = (seen + backing[context] * p[at]) / sums[context]
+    return p
+
+
+def _testing(depth: int, total: int, bits: int):
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What a block adds to the contexts of ``depth`` words that it has: the words after them that it stands for."""
+        block, answers, rows = _arrays(left, 0), _answers(right), []
+        runs = list(_runs(block, depth))
+        if not len(runs[depth][0]):
+            return _table(rows, ASKED)
+        counts = answers[depth - 1][0] >> 1
+        sums = np.zeros((5, len(counts)))
+        sums[0] = counts
+        p = _stepped((answers[0][0] >> 1)[block["tokens"]] / max(total, 1), runs, answers, depth - 1)
+        n = answers[depth][0] >> 1
+        own = np.flatnonzero((n >= LEAST) & (answers[depth][0] & 1 == 1))
+        end, n = runs[depth][2][own], n[own]
+        context, p = runs[depth - 1][1][end - 1], p[end]
+        gain = n * np.log(n / counts[context] / p)
+        for i, x in enumerate((n, None, p, gain), 1):
+            sums[i] = np.bincount(context, x, len(counts))
+        candidates = counts >= LEAST
+        _dealt(rows, depth, left.column("block")[0].as_py(), runs[depth - 1][0][candidates], sums[:, candidates], bits)
+        return _table(rows, ASKED)
+
+    return ask
+
+
+def _scoring(depth: int, total: int, distinct: int):
     floor = total + 0.1 * (distinct + 1)
 
-    def score(batches):
-        tree = Tree.of(sent.value)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                totals = np.asarray(batch.column("totals")[row].values)
-                named = tree.numbers(np.asarray(batch.column("words")[row].values).view(np.uint64))
-                for lo, hi, tokens, lengths, held, inside in _pieces(batch, row, depth):
-                    counts, numbers = totals[tokens], named[tokens]
-                    base = (counts + 0.1) / floor
-                    p = base
-                    for d, context in enumerate(tree.contexts(numbers, inside, least)):
-                        p = tree.step(d, context, numbers, p)
-                    starts = np.cumsum(lengths) - lengths
-                    columns = [
-                        batch.column("doc_ids")[row].values.slice(lo, hi - lo),
-                        pa.array(held),
-                        pa.array(lengths.astype(np.int64)),
-                        pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                        pa.array(np.full(len(lengths), total)),
-                        pa.array(np.add.reduceat(np.log10(base), starts)),
-                        pa.array(np.add.reduceat(np.log10(p), starts)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, answers = _arrays(left, 0), _answers(right)
+        counts, lengths = (answers[0][0] >> 1)[block["tokens"]], block["lengths"]
+        base = (counts + 0.1) / floor
+        p = _stepped(base, list(_runs(block, depth)), answers, depth)
+        starts = np.cumsum(lengths) - lengths
+        columns = [
+            block["doc_ids"],
+            pa.array(block["held"]),
+            pa.array(lengths.astype(np.int64)),
+            pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+            pa.array(np.full(len(lengths), total)),
+            pa.array(np.add.reduceat(np.log10(base), starts)),
+            pa.array(np.add.reduceat(np.log10(p), starts)),
+        ]
+        return pa.table(columns, [x.split()[0] for x in SCORED.split(", ")])
 
     return score
 
 
-def scored(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, context_share: float = CONTEXT_SHARE) -> DataFrame:
+def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id as text is divisible by 10 are held out; all others train the model. Words are
@@ -241,31 +326,22 @@ def scored(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     smoothed word frequencies, score that under the tree. A null or empty text is its end alone. A null id trains.
     Repeated rows train and are scored each. Without training documents both scores follow from the smoothing alone.
 
-    Word counts are exact and stay distributed: a block of documents asks for the counts of its own words. The tree goes to
-    all tasks; at most 1 / least_share words, and as many keys per depth, are in it.
+    Counts of words and runs and all states are exact and stay distributed: a block of documents asks for those of its own
+    runs and contexts. Nothing of the tree is gathered or broadcast.
     """
-    spark = small_batches(docs).sparkSession
+    small_batches(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     blocks = stored(texts.mapInArrow(_encoded, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "entry"))
-    entries = entries.select("block", "place", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
-    # One row per block and word; the first of each word stands for it.
-    word = Window.partitionBy("word")
-    first = F.row_number().over(word.orderBy("block")) == 1
-    counted = entries.select("block", "place", F.sum("n").over(word).alias("total"), F.when(first, F.col("word")).alias("word"))
-    counted = stored(counted, "word-counts")
-    vocabulary = counted.where("word IS NOT NULL AND total > 0")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    named = vocabulary.where(F.col("total") >= least_share * total).select("word", "total").toArrow()
-    tree = Tree(named.column("word").to_numpy().view(np.uint64), named.column("total").to_numpy(), total)
-    least = max(context_share * total, 2.0)
+    tokens = blocks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    bits = max(1, int(tokens // BUCKET).bit_length())
+    asked = blocks.mapInArrow(_counting(depth, bits), ASKED)
+    answers = stored(asked.groupBy("depth", "bucket").applyInArrow(_counted, ANSWERED), "run-counts")
+    total, distinct = answers.where("depth = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).first()
+    by_block = blocks.groupBy("block")
     for d in range(1, depth + 1):
-        counting = _counting(spark.sparkContext.broadcast(vars(tree)), d, least)
-        keys = blocks.select("held", "lengths", "tokens", "words").mapInArrow(counting, "key long, n long")
-        grown = keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least_share * total, 2.0)).toArrow()
-        tree.grow(grown.column("key").to_numpy(), grown.column("n").to_numpy())
-    answers = counted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "total"))).alias("all"))
-    answers = answers.select(F.col("block").alias("of"), F.col("all.total").alias("totals"))
-    asked = blocks.drop("counts").join(answers, F.col("block") == F.col("of"))
-    return asked.mapInArrow(_scoring(spark.sparkContext.broadcast(vars(tree)), total, distinct, depth, least), SCORED)
+        known = answers.where((F.col("depth") <= d) | (F.col("depth") >= STATES))
+        asked = by_block.cogroup(known.groupBy("block")).applyInArrow(_testing(d, total, bits), ASKED)
+        states = stored(asked.groupBy("depth", "bucket").applyInArrow(_weighed, ANSWERED), "states")
+        answers = answers.unionByName(states)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_scoring(depth, total, distinct), SCORED)

@@ -300,6 +300,52 @@ def test_scores_against_brute_force(spark):
         assert r.score <= 0 and math.isfinite(r.score)
 
 
+def suffix_tree(rows, depth):
+    """Each row's score by dictionaries: runs of words, and the states by the words before."""
+    texts = [words(r[1]) + [None] for r in rows]
+    train = [t for r, t in zip(rows, texts) if r[0] is None or zlib.crc32(str(r[0]).encode()) % 10]
+    runs = Counter(tuple(t[i : i + n]) for t in train for n in range(1, depth + 2) for i in range(len(t) - n + 1))
+    total, distinct = sum(map(len, train)), sum(len(r) == 1 for r in runs)
+    states = {}
+
+    def probability(context, word, p):
+        for n in range(1, len(context) + 1):
+            if context[-n:] in states:
+                backing, whole = states[context[-n:]]
+                seen = runs[context[-n:] + (word,)]
+                p = ((seen if seen >= 2 else 0) + backing * p) / whole
+        return p
+
+    for n in range(1, depth + 1):
+        after = {}
+        for run, seen in runs.items():
+            if len(run) == n + 1 and seen >= 2:
+                after.setdefault(run[:-1], {})[run[-1]] = seen
+        found = {}
+        for context, named in after.items():
+            all_, kept = runs[context], sum(named.values())
+            p = {w: probability(context[1:], w, runs[w,] / total) for w in named}
+            gain = sum(x * math.log(x / all_ / p[w]) for w, x in named.items())
+            if all_ > kept:
+                gain += (all_ - kept) * math.log((all_ - kept) / all_ / max(1 - sum(p.values()), 1e-12))
+            if gain > 0.5 * (len(named) + 1) * math.log(max(all_, 2)):
+                found[context] = all_ - kept + len(named), all_ + len(named)
+        states.update(found)
+    floor = total + 0.1 * (distinct + 1)
+    scores = [sum(math.log10(probability(tuple(t[max(i - depth, 0) : i]), w, (runs[w,] + 0.1) / floor)) for i, w in enumerate(t)) for t in texts]
+    return scores, states
+
+
+def test_rare_contexts_count_however_long_the_corpus_is(spark, monkeypatch):
+    """The states are those of the dictionaries; contexts that occur two or three times are among them beside 400,000 other tokens."""
+    rows = [(i, r[1], None, None) for i, r in enumerate(documents(6, 40) + [(0, "aa bb cc dd")] * 3 + [(0, "x y " * 200_000)])]
+    monkeypatch.setattr(suffixtree, "BUCKET", 50_000)
+    scores, states = suffix_tree(rows, 2)
+    assert (b"aa",) in states and len(states) > 50 and any(len(c) == 2 for c in states)
+    found = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert [found[r[0]] for r in rows] == pytest.approx(scores)
+
+
 def test_states_are_distributions():
     """Named words and the rest share each retained state's mass: with the root's probabilities, they sum to 1."""
     tree = suffixtree.Tree(np.arange(2, 6, dtype=np.uint64), np.array([50, 30, 15, 5]), 100)
