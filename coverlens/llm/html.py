@@ -1,7 +1,8 @@
 """Main text of web pages: markup tells blocks apart, and comparing a page with its nearest neighbour finds templates.
 
-Pages of a host are sorted by URL path; a page's partner is the neighbour whose path has more of its beginning in
-common. The two pages' text lines are aligned by a longest common subsequence, and the lines they share are deleted.
+Pages of a host are sorted by URL path; a page's partner is the neighbour whose path has most of its beginning in
+common and whose text is not nearly its own, as that of an alias or a copy is. The two pages' text lines are aligned by
+a longest common subsequence, and the lines they share are deleted.
 Lines within an ``article`` or ``main`` element are the author's own word for the main text and are not deleted, since
 articles do repeat paragraphs of others.
 """
@@ -10,13 +11,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from coverlens.llm.common import fresh, numbered, small_batches, without
 from coverlens.llm.urls import host_of, path_of
@@ -46,6 +48,10 @@ MARKS = re.compile(
 )
 # Those that mark an ``article`` element: readers' comments are often articles of their own.
 COMMENT = re.compile(r"(?:^|\s)(?:user-|reader-)?comments?(?:$|\s|[_-](?:body|item|wrapper)(?:$|\s))", re.IGNORECASE)
+# Two pages are nearly equal if this share of their characters is in lines of both.
+ALIKE = 0.9
+# So many different pages of a host that are all nearly equal have a long template and little text, and are no copies.
+TEMPLATE = 8
 _SPACE = re.compile(r"\s+")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(
@@ -150,48 +156,70 @@ def _hashed(batches):
     for batch in batches:
         found = [main_lines(x) for x in batch.column("html").to_pylist()]
         hashes = [[xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in x] for x in found]
+        lengths = [[len(t) for t, _ in x] for x in found]
         loose = [any(not inside for _, inside in x) for x in found]
         columns = [batch.column(n) for n in ("key", "host", "path")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.bool_())], ["key", "host", "path", "lines", "loose"]
-        )
+        own = [pa.array(hashes, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(loose, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*columns, *own], ["key", "host", "path", "lines", "lengths", "loose"])
 
 
-def _compared(batches):
-    for batch in batches:
-        ours, theirs = batch.column("lines").to_pylist(), batch.column("partner").to_pylist()
-        places = [shared(a, b) if b else [] for a, b in zip(ours, theirs)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(places, pa.list_(pa.int32()))], ["key", "shared"])
+def _partner(pages: list[dict], i: int) -> list | None:
+    """The lines of the nearest page that is not nearly equal; of the least equal one, if many are. Nearly equal pages
+    alone do not tell a template from copies of the text: None."""
+
+    def near(j: int) -> int:
+        """Characters that two paths begin with in common; -1 if there is no other page."""
+        other = 0 <= j < len(pages) and pages[j]["host"] == pages[i]["host"]
+        return len(commonprefix([pages[i]["path"], pages[j]["path"]])) if other else -1
 
+    def sums(page: dict) -> tuple[Counter, int]:
+        if "counted" not in page:
+            page["counted"] = Counter(zip(page["lines"], page["lengths"])), sum(page["lengths"])
+        return page["counted"]
 
-def _common_prefix(a: str, b: str) -> Column:
-    """Characters that two paths begin with in common; -1 if there is no other path."""
-    longest = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), longest), lambda i: F.col(a).substr(F.lit(1), i) == F.col(b).substr(F.lit(1), i))
-    return F.coalesce(F.array_max(same), F.lit(-1))
+    own, size = sums(pages[i])
+    low, high, before, after, alike = i - 1, i + 1, near(i - 1), near(i + 1), []
+    while max(before, after) >= 0 and len(alike) < TEMPLATE:
+        if after > before:
+            j, high, after = high, high + 1, near(high + 1)
+        else:
+            j, low, before = low, low - 1, near(low - 1)
+        other, its_size = sums(pages[j])
+        common = sum(min(n, other[x]) * x[1] for x, n in own.items() if x in other)
+        if 2 * common < ALIKE * (size + its_size):
+            return pages[j]["lines"]
+        alike.append((common / max(its_size, 1), len(alike), j))
+    return pages[min(alike)[2]]["lines"] if len(alike) == TEMPLATE else None
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    pages = table.sort_by("position").to_pylist()
+    groups, places = [], []
+    for i, page in enumerate(pages):
+        if page["home"] == page["block"] and page["loose"]:
+            partner = _partner(pages, i)
+            groups.append(page["group"])
+            places.append(shared(page["lines"], partner) if partner else [])
+    return pa.table([pa.array(groups, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["group", "shared"])
 
 
 def differences(pages: DataFrame, block: int = 4096) -> DataFrame:
     """Per distinct page (key, from url and html) with lines outside articles: the places of lines it shares with its partner.
 
-    Only line hashes are sorted and compared. Sorted pages are cut into blocks of ``block``, each with its neighbours'
-    edges, so a large host is spread over many tasks.
+    Only line hashes are sorted and compared. Pages of a host with equal lines are one page and have one result. Sorted
+    pages are cut into blocks of ``block``, each with its neighbours' edges, so a large host is spread over many tasks.
     """
     light = pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    light = light.mapInArrow(_hashed, "key long, host string, path string, lines array<long>, loose boolean")
-    light = light.groupBy("key").agg(*[F.first(c).alias(c) for c in ("host", "path", "lines", "loose")])
-    placed = numbered(light, F.col("host"), F.col("path"), F.col("key"))
-    home, near = F.floor(F.col("position") / block), F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("position") + d) / block)))
+    light = light.mapInArrow(_hashed, "key long, host string, path string, lines array<long>, lengths array<int>, loose boolean")
+    light = stored(light.withColumn("group", F.xxhash64("host", "loose", "lines")), "page-lines")
+    first = [F.first(c).alias(c) for c in ("host", "lines", "lengths", "loose")]
+    placed = numbered(light.groupBy("group").agg(F.min("path").alias("path"), *first), F.col("host"), F.col("path"), F.col("group"))
+    home = F.floor(F.col("position") / block)
+    near = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in range(-TEMPLATE, TEMPLATE + 1)]), lambda d: F.floor((F.col("position") + d) / block)))
     spread = placed.withColumns({"home": home, "block": F.explode(near)})
-    window = Window.partitionBy("block").orderBy("position")
-    for side, of in (("before", F.lag), ("after", F.lead)):
-        spread = spread.withColumn(side, of(F.struct("host", "path", "lines")).over(window))
-    rows = spread.where("block = home AND loose")
-    for side in ("before", "after"):
-        rows = rows.withColumn(f"{side}_path", F.when(F.col(f"{side}.host") == F.col("host"), F.col(f"{side}.path")))
-        rows = rows.withColumn(f"{side}_near", _common_prefix("path", f"{side}_path"))
-    partner = F.when((F.col("after_near") > F.col("before_near")), F.col("after.lines")).when(F.col("before_near") >= 0, F.col("before.lines"))
-    return rows.select("key", "lines", partner.alias("partner")).mapInArrow(_compared, "key long, shared array<int>")
+    found = spread.groupBy("block").applyInArrow(_compared, "group long, shared array<int>").where("size(shared) > 0")
+    members = light.where("loose").select("key", "group").distinct()
+    return members.join(stored(found, "shared-places"), "group").select("key", "shared")
 
 
 def extracted(pages: DataFrame, out: str = "text") -> DataFrame:
@@ -199,7 +227,7 @@ def extracted(pages: DataFrame, out: str = "text") -> DataFrame:
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go by element or by
     class, id and role. If a page marks articles, their lines are the text; else the lines that it shares with the
-    nearest page of its host are deleted too. White space within a line is one blank, character references are decoded. A null or
+    nearest page of its host are deleted too, aliases and copies of it left aside. White space within a line is one blank, character references are decoded. A null or
     empty html gives an empty text. Equal rows get equal texts. A null url is a host and path of empty name. An input
     column named as ``out`` is replaced.
     """

@@ -198,6 +198,26 @@ def test_main_text(spark):
     assert out == {1: "Head & line\nOne two three\nCafé x\nlast &am", 2: "Own text 1", 3: "Own text 2", 4: "", 5: ""}
 
 
+def test_aliases_and_copies_keep_their_text(spark):
+    """Neither another address of a page nor a copy of it, equal or nearly, shows its text to be a template."""
+    plain = "<body><div>Top line</div><p>{}</p><p>Shared by all</p><div>End line</div>"
+    text = "".join(f"<p>A long line of text number {i} about this and that" for i in range(20))
+    urls_ = ["http://a.org/x", "https://a.org/x", "https://a.org/x?utm_source=feed", "http://a.org/x/print", None, None]
+    rows = [(i, u, plain.format("Own text" + ("" if u else str(i // 9)))) for i, u in enumerate(urls_)]
+    rows += [(10 + i, f"http://b.org/y{i}", plain.format(t + text)) for i, t in enumerate(("Monday", "Tuesday", "Tuesday"))]
+    rows += [(20, "http://b.org/z", plain.format("Other")), (21, "http://c.org/1", plain.format("One" + text)), (22, "http://c.org/2", plain.format("Two" + text))]
+    rows += [(30 + i, f"http://d.org/{i}", plain.format(i) + "<p>" + "Long template " * 30) for i in range(12)]
+    rows += [(50, "http://e.org/x", plain.format("Own text")), (51, "https://e.org/x", plain.format("Own text")), (52, "http://e.org/other", plain.format("Other"))]
+    out = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    body = "".join(f"\nA long line of text number {i} about this and that" for i in range(20))
+    whole = "Top line\n{}\nShared by all\nEnd line"
+    assert [out[i] for i in range(6)] == [whole.format("Own text")] * 4 + [whole.format("Own text0")] * 2
+    assert [out[i] for i in (10, 11, 12, 20)] == ["Monday" + body, "Tuesday" + body, "Tuesday" + body, "Other"]
+    assert [out[i] for i in (21, 22)] == [whole.format("One" + body), whole.format("Two" + body)]
+    assert [out[30 + i] for i in range(12)] == [str(i) for i in range(12)]
+    assert [out[i] for i in (50, 51, 52)] == ["Own text", "Own text", "Other"]
+
+
 @pytest.mark.parametrize("page, expected", [
     ("<article><p>Hello <span class=ad>x<div>Buy</div></span> world</article>", ["Hello", "world"]),
     ("<article><p>Text <span class='share'>Share</p><p>next</article>", ["Text", "next"]),
