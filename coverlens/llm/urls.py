@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from html import entities, unescape
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from coverlens.llm.common import components, fresh, without
 from coverlens.session import stored
@@ -17,6 +22,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 OWN = ("host", "path", "rule", "verdict", "alias_of")
+_SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+# A name without a semicolon is none in an attribute's value if more of a word or an equals sign follows.
+_REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|([a-zA-Z][a-zA-Z0-9]*(?:;|(?![a-zA-Z0-9;=]))))")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Query parameters that only track where a visitor came from.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref|source)"
@@ -52,22 +60,43 @@ def canonical(url: Column) -> Column:
     return F.when(rest.isNotNull(), F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def resolved(base: str | None, target: str | None) -> str | None:
+    """The address that an attribute's value means on a page at ``base``, by RFC 3986; null if it is none with ``://``."""
+    decoded = _REFERENCE.sub(lambda m: unescape(m[0]) if not m[1] or m[1] in entities.html5 else m[0], target or "").strip()
+    if not decoded:
+        return None
+    try:
+        found = decoded if _SCHEME.match(decoded) else urljoin(base or "", decoded)
+    except ValueError:  # no address, such as one with half a bracket
+        return None
+    return found if _SCHEME.match(found) and "://" in found else None
+
+
+@F.udf(StringType())
+def _target(url, base, found):
+    return resolved(resolved(url, base) or url, found)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between URLs that name the same page: from each page to its usual address, to the target of its
-    canonical link, and to the target of its refresh redirect. Relative targets are resolved for paths that begin with a slash."""
+    canonical link, and to the target of its refresh redirect. Character references in targets are decoded, and relative
+    targets are resolved against the page's base element, or its URL."""
     tag = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
     link = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     meta = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-
-    def target(found: Column) -> Column:
-        return F.when(found.contains("://"), found).when(found.startswith("/"), F.concat(origin, found))
+    base = F.regexp_extract("html", r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
 
     wanted = F.coalesce(F.col("html"), F.lit(""))
-    links = F.when(wanted.rlike("(?i)canonical"), target(link))
-    moved = F.when(wanted.rlike("(?i)refresh"), target(refresh))
-    ends = pages.select("url", F.explode(F.array(canonical(F.col("url")), links, canonical(links), moved, canonical(moved))).alias("b"))
+    links = F.when(wanted.rlike("(?i)canonical"), link)
+    moved = F.when(wanted.rlike("(?i)refresh"), refresh)
+    bases = F.when(wanted.rlike("(?i)<base"), base)
+    named = F.filter(F.array(links, moved), lambda found: found != "")
+    # A null stands for the page itself.
+    found = pages.select("url", bases.alias("base"), F.explode(F.concat(F.array(F.lit(None).cast("string")), named)).alias("found"))
+    itself = found.where("found IS NULL").select("url", canonical(F.col("url")).alias("b"))
+    targets = found.where("found IS NOT NULL").select("url", _target("url", "base", "found").alias("target"))
+    ends = itself.unionByName(targets.select("url", F.explode(F.array("target", canonical(F.col("target")))).alias("b")))
     return ends.where("url IS NOT NULL AND b IS NOT NULL AND url <> b").select(F.col("url").alias("a"), "b")
 
 

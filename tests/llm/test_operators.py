@@ -249,6 +249,29 @@ def test_aliases_share_a_block_but_not_an_allow(spark):
     }
 
 
+@pytest.mark.parametrize("target, expected", [
+    ("http://x.com/de/1", "http://x.com/de/1"), ("//x.com/de/1", "https://x.com/de/1"), ("/de/1", "https://a.net/de/1"),
+    ("page.html", "https://a.net/d/page.html"), ("../de/1", "https://a.net/de/1"), ("../../../de/./1", "https://a.net/de/1"),
+    ("?id=2&amp;n=3", "https://a.net/d/p?id=2&n=3"), ("/r?u=http://x.com/", "https://a.net/r?u=http://x.com/"),
+    ("/q?a=1&#38;section=2&copy=3&eacute;&#xe9", "https://a.net/q?a=1&section=2&copy=3éé"), ("#top", "https://a.net/d/p?q=1#top"),
+    ("mailto:x@a.net", None), ("//[x", None), ("", None),
+])
+def test_targets_are_resolved(target, expected):
+    assert urls.resolved("https://a.net/d/p?q=1", target) == expected
+    assert urls.resolved("no scheme", "page.html") is None
+
+
+def test_blocks_reach_aliases_by_relative_targets(spark):
+    rows = [
+        (1, "http://a.com/x/p", '<link rel="canonical" href="../de/1">'), (2, "http://b.net/x", "<link rel=canonical href='//c.com/de/1'>"),
+        (3, "http://d.net/q?id=1", '<link rel="canonical" href="?id=2&amp;n=3">'), (4, "http://d.net/q?id=2&n=3", '<meta http-equiv="refresh" content="0; url=//e.com/de/">'),
+        (5, "http://f.com/x", '<base href="/de/"><meta http-equiv=refresh content="0;url=page.html">'), (6, "http://g.com/de", '<link rel="canonical" href="page.html">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    out = {r.page_id: r.verdict for r in urls.verdicts(pages, urls.page_edges(pages)).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_loser_tree():
     rng = random.Random(6)
     for k in range(12):
