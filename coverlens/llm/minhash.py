@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import components, fresh, small_batches
+from coverlens.llm.common import WORD, components, fresh, small_batches
 from coverlens.llm.text import chunks, layout, mixed, shingles, word_hashes
 from coverlens.session import stored
 
@@ -173,13 +173,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document left of each group, the one with the smallest id, its columns unchanged.
 
-    Of repeated rows one stays. Documents without words are in no group: all of them stay.
+    Of repeated rows with words one stays. Documents without words are in no group: all their rows stay.
     """
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    wordless, docs = docs.where(~worded), docs.where(worded)
     found = near_duplicates(docs).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key"))
-    groups = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("rank").alias("rank"))
-    wordless = found.where("class_id IS NULL").select("rank").distinct()
-    kept = groups.select("rank").unionByName(wordless)
+    kept = found.groupBy("class_id").agg(F.min("rank").alias("rank"))
     kept_id, kept_key = fresh(docs, "kept_id", "kept_key")
     kept = stored(kept.select(F.col("rank.doc_id").alias(kept_id), F.col("rank.text_key").alias(kept_key)), "kept")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_key)))
-    return rows.dropDuplicates([kept_id, kept_key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.dropDuplicates([kept_id, kept_key]).select(*[F.col(f"`{c}`") for c in docs.columns]).union(wordless)

@@ -456,6 +456,12 @@ def test_one_row_of_each_group_stays_whole(spark):
     assert sorted(map(tuple, minhash.deduplicated(docs).collect())) == [(2, text.upper(), "b", "y"), (7, "", "d", "w"), (8, None, "e", "v")]
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None, "a", "x"), (None, None, "b", "y"), (None, "", "a", "x"), (None, "", "b", "x"), (3, " \n", "a", "x"), (3, " \n", "b", "x"), (3, " \n", "b", "x")]
+    docs = spark.createDataFrame([*rows, (5, "w", "a", "x"), (5, "w", "a", "x")], DOCS)
+    assert sorted(map(repr, map(tuple, minhash.deduplicated(docs).collect()))) == sorted(map(repr, [*rows, (5, "w", "a", "x")]))
+
+
 def test_sample_is_bounded_though_an_id_repeats(spark):
     docs = spark.createDataFrame([(1, f"good text {i}") for i in range(50)] + [(2, "bad"), (3, "worse")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
