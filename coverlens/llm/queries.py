@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverlens.llm import decontamination, embeddings, html, minhash, mixing, quality, sharding, suffixtree, urls, warc
+from coverlens.llm import centroids, collocations, decontamination, embeddings, html, minhash, mixing, quality, secrets, sharding, suffixtree, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -241,3 +241,135 @@ FROM embeddings JOIN groups USING (vec_id)
 def op9_probabilistic_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's scores. No SQL for the tree: tested against brute force, and that its distributions sum to 1."""
     return suffixtree.scored(table(spark, sf, "documents"))
+
+
+@query
+def op11_dynamic_itemset_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op11_dynamic_itemset_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang
+), phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) t(k) WHERE len(w) >= k)
+), counts AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM phrases GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), inside AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, f FROM candidates UNION ALL SELECT lang, array_to_string(w[2:k], ' '), f FROM candidates
+  ) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f
+), cuts AS (
+  SELECT lang, phrase, f, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)
+), scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, n, (1000 * cuts.f * n) // (x.f * y.f) AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail JOIN sizes ON sizes.lang = cuts.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase)::BIGINT AS rank, phrase,
+       f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_ptolemaic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's cluster."""
+    return centroids.clustered(table(spark, sf, "embeddings"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, p FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, p FROM kept ORDER BY h LIMIT 8)
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, k.p, cluster, list_sum(list_transform(list_zip(k.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+  FROM kept k CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.p, c.p) AS p FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS p FROM (
+      SELECT cluster, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+        SELECT cluster, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS i, unnest(p) AS x FROM a{i}) GROUP BY ALL
+    )) GROUP BY cluster
+  ) m USING (cluster)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)"""
+
+
+ORACLES["op12_ptolemaic_clusters"] = _cluster_sql(centroids.ROUNDS)
+
+
+@query
+def op13_blob_ledger_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's secrets."""
+    found = secrets.secrets(table(spark, sf, "documents"))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = [r.kind for r in secrets.BASE]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(joined(of(*base)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, joined("spans").alias("spans"))
+
+
+# Matches are put between two control characters; the lengths of what stands before give their places.
+ORACLES["op13_blob_ledger_secrets"] = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), pieces AS (
+  {pieces}
+), placed AS (
+  SELECT *, string_split(piece, chr(2))[1] AS match, length(replace(piece, chr(2), '')) AS size,
+         sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id, kind ORDER BY j) AS upto FROM pieces
+), found AS (
+  SELECT doc_id, kind, place, kind || ':' || (upto - size) || ':' || (upto - size + length(match)) AS span, upto - size AS start
+  FROM placed WHERE j > 1 AND long_enough
+), joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (doc_id)
+""".replace(
+    "{pieces}",
+    "\n  UNION ALL\n  ".join(
+        "SELECT *, length(regexp_extract(string_split(piece, chr(2))[1], '{p}', {g})) >= {n} AS long_enough"
+        " FROM (SELECT doc_id, '{k}' AS kind, {i} AS place, unnest(l) AS piece, generate_subscripts(l, 1) AS j"
+        " FROM (SELECT doc_id, string_split(regexp_replace(text, '({p})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS l FROM texts))".format(
+            k=r.kind, i=i, p=r.pattern.replace("'", "''"), g=r.group, n=r.least
+        )
+        for i, r in enumerate(secrets.RULES)
+    ),
+)
