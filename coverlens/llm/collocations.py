@@ -13,6 +13,7 @@ counted in vain, but exactly. Running counts are dealt to buckets by hash and st
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -23,18 +24,20 @@ from pyspark.sql import functions as F
 
 from coverlens.llm.common import small_batches
 from coverlens.llm.text import _BYTE, CHUNK, LOWER, MULTIPLIERS, _powers, chunks, layout, mixed
-from coverlens.session import shared_path, stored
+from coverlens.session import stored
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
 SHARDS = 3
+# Parts of a shard, in one of which phrases are first looked for when their texts are wanted.
+PARTS = 8
 # A phrase is part of a longer one if that has at least this share of its occurrences, in percent.
 SHARE = 100
-# Bytes of text in a block, whose words are numbered together.
-BLOCK_BYTES = 8 << 20
+# Tokens that are counted together before they are sent to their buckets.
+BLOCK = 2_500_000
 # Tokens for each bucket of running counts.
-BUCKET = 2_000_000
+BUCKET = 4_000_000
 # Cells per so many tokens, and their least and greatest number; a cell is a byte.
 TOKENS_PER_CELL, CELLS = 8, (1 << 16, 1 << 26)
 # Bytes of bits that tell of newly used cells, sent together.
@@ -44,13 +47,34 @@ BETWEEN[[9, 32]] = True
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 
-BLOCK = "block long, shard int, tokens array<int>, keys array<long>, words array<string>, langs array<string>, names array<string>, sizes array<long>"
-# kind: running counts, final counts, or phrases that have just been counted often enough, with a block that has each.
+# kind: running counts, final counts, or phrases that have just been counted often enough.
 RUNNING, FINAL, REACHED = 0, 1, 2
-COUNTS = "kind int, bucket int, length int, since int, block long, phrases binary, counts binary, blocks binary"
+COUNTS = "kind int, bucket int, length int, since int, old boolean, phrases binary, counts binary"
 PHRASE = "hash long, length int, lang string, phrase string, heads array<long>, tails array<long>"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, and that number first."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    some = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(some), 8), np.uint8)
+    wide[:, : data[0]] = some
+    return wide.view("<u8").ravel()
+
+
+def _gaps(phrases: np.ndarray) -> bytes:
+    """Ascending hashes, as the steps between them."""
+    return packed(np.diff(phrases, prepend=np.uint64(0)))
+
+
+def _phrases(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
 def _cut(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets with more places to cut texts that are longer than a chunk, after ends of pieces, and the row of each part."""
     places = [offsets]
@@ -96,70 +120,52 @@ def _texts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(buffer[places]))
 
 
-class _Blocks:
-    """Collects texts until they make a block."""
-
-    def __init__(self, shards: int, part: int):
-        self.shards, self.part, self.made = shards, part, 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.size, self.numbers, self.keys, self.words, self.langs, self.count = 0, [], [], [], [], 0
-
-    def add(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, seeds: np.ndarray, names: pa.Array) -> None:
-        """Adds a chunk of texts; ``langs`` has each one's place in ``names`` and ``seeds``."""
-        buffer, starts, ends, breaks = _words(data, offsets)
-        lang = langs[np.searchsorted(offsets - offsets[0], starts, side="right") - 1]
-        keys, first, number = np.unique(mixed(_hashes(buffer, starts, ends) + seeds[lang]), return_index=True, return_inverse=True)
-        # Between words of different pieces stands -1.
-        number = np.insert(number.astype(np.int64) + self.count, np.flatnonzero(np.diff(breaks, prepend=-1)), -1)
-        self.numbers.append(number.astype(np.int32))
-        self.keys.append(keys)
-        self.words.append(_texts(buffer, starts[first], ends[first]))
-        self.langs.append(names.take(pa.array(lang[first])))
-        self.count += len(keys)
-        self.size += int(offsets[-1] - offsets[0])
-
-    def block(self) -> pa.RecordBatch:
-        keys, first, number = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
-        tokens = np.concatenate(self.numbers)
-        tokens = np.where(tokens < 0, -1, number[tokens] if len(number) else -1)
-        words, langs = (pa.concat_arrays(x).take(pa.array(first)) for x in (self.words, self.langs))
-        by_lang = langs.dictionary_encode()
-        uses = np.bincount(tokens[tokens >= 0], minlength=len(keys))
-        sizes = np.zeros(len(by_lang.dictionary), np.int64)
-        np.add.at(sizes, np.asarray(by_lang.indices), uses)
-        lists = (pa.array(tokens, pa.int32()), pa.array(keys.view(np.int64)), words, langs, by_lang.dictionary, pa.array(sizes))
-        row = [
-            pa.array([(self.part << 33) + self.made], pa.int64()),
-            pa.array([(self.part + self.made) % self.shards], pa.int32()),
-            *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
-        ]
-        self.made += 1
-        self.clear()
-        return pa.RecordBatch.from_arrays(row, [x.split()[0] for x in BLOCK.split(", ")])
-
-
-def _encoding(shards: int):
-    def encode(batches):
-        from pyspark import TaskContext
-
-        blocks = _Blocks(shards, TaskContext.get().partitionId())
-        for batch in batches:
-            offsets, data = layout(batch.column("text"))
-            encoded = batch.column("lang").dictionary_encode()
-            names, langs = encoded.dictionary, np.asarray(encoded.indices)
-            seeds = np.array([int.from_bytes(blake2b(n.encode(), digest_size=8).digest(), "little") for n in names.to_pylist()], np.uint64)
-            offsets, rows = _cut(offsets, data)
-            for lo, hi in chunks(offsets):
-                if offsets[hi] > offsets[lo]:
-                    if blocks.size and blocks.size + int(offsets[hi] - offsets[lo]) > BLOCK_BYTES:
-                        yield blocks.block()
-                    blocks.add(data, offsets[lo : hi + 1], langs[rows[lo:hi]], seeds, names)
-        if blocks.size:
-            yield blocks.block()
-
-    return encode
+class Chunk:
+    """Words of a few texts: ``tokens`` has their hashes, which depend on the language too, with a 0 before every piece."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, seeds: np.ndarray):
+        """``langs`` has each text's place in ``seeds``."""
+        self.buffer, self.starts, self.ends, breaks = _words(data, offsets)
+        self.langs = langs[np.searchsorted(offsets - offsets[0], self.starts, side="right") - 1]
+        keys = mixed(_hashes(self.buffer, self.starts, self.ends) + seeds[self.langs])
+        places = np.flatnonzero(np.diff(breaks, prepend=-1))
+        self.tokens = np.insert(keys, places, np.uint64(0))
+        self.words = np.insert(np.arange(len(keys)), places, -1)
+
+
+def _chunks(batches):
+    """Chunks of the texts, with the names of their languages."""
+    for batch in batches:
+        offsets, data = layout(batch.column("text"))
+        encoded = batch.column("lang").dictionary_encode()
+        names, langs = encoded.dictionary, np.asarray(encoded.indices)
+        seeds = np.array([int.from_bytes(blake2b(n.encode(), digest_size=8).digest(), "little") for n in names.to_pylist()], np.uint64)
+        offsets, rows = _cut(offsets, data)
+        for lo, hi in chunks(offsets):
+            if offsets[hi] > offsets[lo]:
+                yield Chunk(data, offsets[lo : hi + 1], langs[rows[lo:hi]], seeds), names
+
+
+def _blocks(batches):
+    """Tokens of many texts at once."""
+    parts, size = [], 0
+    for chunk, _ in _chunks(batches):
+        parts.append(chunk.tokens)
+        size += len(chunk.tokens)
+        if size >= BLOCK:
+            yield np.concatenate(parts)
+            parts, size = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _sizing(batches):
+    """Words per language."""
+    sizes: dict = {}
+    for chunk, names in _chunks(batches):
+        for name, n in zip(names.to_pylist(), np.bincount(chunk.langs, minlength=len(names)).tolist()):
+            sizes[name] = sizes.get(name, 0) + n
+    yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], ["lang", "n"])
 
 
 def _places(phrases: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,41 +179,38 @@ def reached_in(cells: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return np.where((a > 0) & (b > 0), np.maximum(a, b), 0)
 
 
-def _arrays(batch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(batch.column("tokens")[row].values), np.asarray(batch.column("keys")[row].values).view(np.uint64)
-
-
 def _longer(run: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of phrases from those without their last word, and that word's."""
     return mixed(run * MULTIPLIERS[0] + last * MULTIPLIERS[1])
 
 
-def _active(tokens: np.ndarray, keys: np.ndarray, cells: np.ndarray, longest: int):
+def _active(tokens: np.ndarray, cells: np.ndarray, longest: int):
     """Per length from 2 on: the phrases whose subphrases have been counted often enough, as they occur, and since when."""
-    inside = np.flatnonzero(tokens >= 0)
-    ends, run = inside, keys[tokens[inside]]
-    since = reached_in(cells, keys)[tokens[inside]]
+    ends = np.flatnonzero(tokens)
+    run = tokens[ends]
+    since = reached_in(cells, run)
     by_end, when = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), np.uint8)
     for length in range(2, longest + 1):
         by_end[ends], when[:] = run, 0
         when[ends] = since
         ends = 1 + np.flatnonzero((when[1:] > 0) & (when[:-1] > 0))
         since = np.maximum(when[ends], when[ends - 1])
-        run = _longer(by_end[ends - 1], keys[tokens[ends]])
+        run = _longer(by_end[ends - 1], tokens[ends])
         yield length, run, since
         since = reached_in(cells, run)
 
 
-def _dealt(rows: list, length: int, since: int, block: int, phrases: np.ndarray, counts: np.ndarray, bits: int) -> None:
-    """Adds a row per bucket that has any of the sorted ``phrases``."""
+def _dealt(rows: list, length: int, since: int, phrases: np.ndarray, bits: int) -> None:
+    """Counts the phrases and adds a row per bucket that has any."""
+    phrases, counts = np.unique(phrases, return_counts=True)
     edges = np.searchsorted(phrases, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(phrases)]
     for bucket, (lo, hi) in enumerate(zip(edges, edges[1:])):
         if lo < hi:
-            rows.append((RUNNING, bucket, length, since, block, phrases[lo:hi].tobytes(), counts[lo:hi].astype(np.int64).tobytes(), None))
+            rows.append((RUNNING, bucket, length, since, False, _gaps(phrases[lo:hi]), packed(counts[lo:hi])))
 
 
 def _table(rows: list) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [x.split() for x in COUNTS.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
@@ -217,17 +220,15 @@ def _scanning(cells: np.ndarray, step: int, shards: int, longest: int, bits: int
     """Counts what is active in scan number ``step``."""
 
     def scan(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                rows, block = [], batch.column("block")[row].as_py()
-                tokens, keys = _arrays(batch, row)
-                if step <= shards:
-                    _dealt(rows, 1, 0, block, keys, np.bincount(tokens[tokens >= 0], minlength=len(keys)), bits)
-                for length, run, since in _active(tokens, keys, cells, longest):
-                    for a in np.unique(since).tolist():
-                        if a < step <= a + shards:
-                            _dealt(rows, length, a, block, *np.unique(run[since == a], return_counts=True), bits)
-                yield from _table(rows).to_batches()
+        for tokens in _blocks(batches):
+            rows: list = []
+            if step <= shards:
+                _dealt(rows, 1, 0, tokens[tokens > 0], bits)
+            for length, run, since in _active(tokens, cells, longest):
+                for a in np.unique(since).tolist():
+                    if a < step <= a + shards:
+                        _dealt(rows, length, a, run[since == a], bits)
+            yield from _table(rows).to_batches()
 
     return scan
 
@@ -241,24 +242,20 @@ def _merging(step: int, shards: int, least: int):
             groups.setdefault((row["length"], row["since"]), []).append(row)
         bucket = table.column("bucket")[0].as_py()
         for (length, since), parts in sorted(groups.items()):
-            parts.sort(key=lambda r: -1 if r["block"] is None else r["block"])
-            phrases = [np.frombuffer(r["phrases"], np.uint64) for r in parts]
-            counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in parts])
-            before = sum(len(p) for r, p in zip(parts, phrases) if r["block"] is None)
-            blocks = np.repeat([-1 if r["block"] is None else r["block"] for r in parts], [len(p) for p in phrases])
+            phrases = [_phrases(r["phrases"]) for r in parts]
+            counts = np.concatenate([unpacked(r["counts"]).astype(np.int64) for r in parts])
+            old = np.repeat([r["old"] for r in parts], [len(p) for p in phrases])
             every, number = np.unique(np.concatenate(phrases), return_inverse=True)
             had, total = np.zeros((2, len(every)), np.int64)
-            np.add.at(had, number[:before], counts[:before])
+            np.add.at(had, number[old], counts[old])
             np.add.at(total, number, counts)
             new = (had < least) & (total >= least)
             if new.any():
-                some = np.full(len(every), -1, np.int64)
-                some[number[before:]] = blocks[before:]
-                rows.append((REACHED, bucket, length, since, None, every[new].tobytes(), None, some[new].tobytes()))
+                rows.append((REACHED, bucket, length, since, True, _gaps(every[new]), None))
             over = step >= since + shards
             keep = total >= least if over else np.ones(len(every), bool)
             if keep.any():
-                rows.append((FINAL if over else RUNNING, bucket, length, since, None, every[keep].tobytes(), total[keep].tobytes(), None))
+                rows.append((FINAL if over else RUNNING, bucket, length, since, True, _gaps(every[keep]), packed(total[keep])))
         return _table(rows)
 
     return merge
@@ -271,7 +268,7 @@ def _marking(cells: int):
         bits = np.zeros(cells, bool)
         for batch in batches:
             for phrases in batch.column("phrases").to_pylist():
-                for p in _places(np.frombuffer(phrases, np.uint64), cells):
+                for p in _places(_phrases(phrases), cells):
                     bits[p] = True
         packed = np.packbits(bits).reshape(-1, PART)
         some = np.flatnonzero(packed.any(axis=1))
@@ -285,84 +282,100 @@ def _united(table: pa.Table) -> pa.Table:
     return pa.table([table.column("part").slice(0, 1), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
 
-def _counted(batches):
-    for batch in batches:
-        for row in batch.select(["length", "phrases", "counts"]).to_pylist():
-            phrases = np.frombuffer(row["phrases"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(phrases), pa.array(np.full(len(phrases), row["length"]), pa.int32()), pa.array(np.frombuffer(row["counts"], np.int64))], ["hash", "length", "n"])
+def marked(rows: DataFrame, cells: int) -> np.ndarray:
+    """Which cells the phrases of rows (phrases) have. The driver receives a bit for each cell."""
+    bits = np.zeros(cells, bool)
+    parts = rows.mapInArrow(_marking(cells), "part int, bits binary").groupBy("part").applyInArrow(_united, "part int, bits binary")
+    for r in parts.collect():
+        bits[r.part * PART * 8 : (r.part + 1) * PART * 8] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
+    return bits
 
 
-def _owned(batches):
+def _counted(batches):
     for batch in batches:
-        for row in batch.select(["phrases", "blocks"]).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int64)) for c in ("blocks", "phrases")], ["block", "hash"])
+        for row in batch.select(["length", "phrases", "counts"]).to_pylist():
+            phrases = _phrases(row["phrases"]).view(np.int64)
+            counts = unpacked(row["counts"]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(phrases), pa.array(np.full(len(phrases), row["length"]), pa.int32()), pa.array(counts)], ["hash", "length", "n"])
 
 
-def _spelling(longest: int):
-    """Of each block, the phrases that it is asked for: their text and the hashes of what cuts leave."""
+def _spelling(cells: np.ndarray, longest: int):
+    """Phrases that have their cells, each once per task: their text and the hashes of what cuts leave."""
 
     def spell(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                tokens, keys = _arrays(batch, row)
-                asked = np.sort(np.asarray(batch.column("asked")[row].values).view(np.uint64))
-                words, langs = (batch.column(c)[row].values for c in ("words", "langs"))
-                inside = tokens >= 0
-                runs, valid = [np.where(inside, keys[tokens], np.uint64(0)) if len(keys) else np.zeros(len(tokens), np.uint64)], inside
-                for length in range(1, longest + 1):
-                    if length > 1:
-                        run = np.zeros(len(tokens), np.uint64)
-                        run[1:] = _longer(runs[-1][:-1], runs[0][1:])
-                        runs.append(run)
-                        valid = inside & np.concatenate([[False], valid[:-1]])
-                    ends = np.flatnonzero(valid)
-                    at = np.minimum(np.searchsorted(asked, runs[-1][ends]), len(asked) - 1)
-                    ends = ends[asked[at] == runs[-1][ends]]
-                    found, first = np.unique(runs[-1][ends], return_index=True)
-                    if length == 1 or not len(found):
-                        continue
-                    ends = ends[first]
-                    text = pc.binary_join_element_wise(*[words.take(pa.array(tokens[ends - length + j])) for j in range(1, length + 1)], " ")
-                    # Cut after the first j words.
-                    heads = np.stack([runs[j - 1][ends - length + j] for j in range(1, length)], axis=1)
-                    tails = np.stack([runs[length - j - 1][ends] for j in range(1, length)], axis=1)
-                    offsets = pa.array(np.arange(len(ends) + 1) * (length - 1), pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel().view(np.int64))) for x in (heads, tails)]
-                    columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(ends), length), pa.int32()), langs.take(pa.array(tokens[ends])), text, *lists]
-                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PHRASE.split(", ")])
+        known = np.zeros(0, np.uint64)
+        for chunk, names in _chunks(batches):
+            words, new = _texts(chunk.buffer, chunk.starts, chunk.ends), []
+            runs, valid = [chunk.tokens], chunk.tokens > 0
+            for length in range(2, longest + 1):
+                run = np.zeros(len(chunk.tokens), np.uint64)
+                run[1:] = _longer(runs[-1][:-1], chunk.tokens[1:])
+                runs.append(run)
+                valid = (chunk.tokens > 0) & np.concatenate([[False], valid[:-1]])
+                ends = np.flatnonzero(valid)
+                ends = ends[reached_in(cells, run[ends]) > 0]
+                found, first = np.unique(run[ends], return_index=True)
+                fresh = ~np.isin(found, known)
+                found, ends = found[fresh], ends[first[fresh]]
+                if not len(found):
+                    continue
+                new.append(found)
+                text = pc.binary_join_element_wise(*[words.take(pa.array(chunk.words[ends - length + j])) for j in range(1, length + 1)], " ")
+                # Cut after the first j words.
+                heads = np.stack([runs[j - 1][ends - length + j] for j in range(1, length)], axis=1)
+                tails = np.stack([runs[length - j - 1][ends] for j in range(1, length)], axis=1)
+                offsets = pa.array(np.arange(len(ends) + 1) * (length - 1), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel().view(np.int64))) for x in (heads, tails)]
+                lang = names.take(pa.array(chunk.langs[chunk.words[ends]]))
+                columns = [pa.array(found.view(np.int64)), pa.array(np.full(len(ends), length), pa.int32()), lang, text, *lists]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PHRASE.split(", ")])
+            if new:
+                known = np.union1d(known, np.concatenate(new))
 
     return spell
 
 
-def counted(blocks: DataFrame, tokens: int, shards: int = SHARDS, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Of all phrases that occur ``least`` times in the blocks: (hash, length, n), and (block, hash) with a block that has it.
+def counted(texts: DataFrame, tokens: int, shards: int = SHARDS, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """Rows (length, phrases, counts) of all phrases that occur ``least`` times in texts (text, lang, shard), in packed form.
 
     The driver holds the cells, a byte for 8 tokens and 64 MB at most, and per scan receives a bit for each. Scans follow each
     other until every active phrase has been counted in all shards: ``longest`` cycles at the most.
     """
     bits = max(5, int(tokens // BUCKET).bit_length())
-    cells = np.zeros(min(max(CELLS[0], 1 << int(tokens // TOKENS_PER_CELL).bit_length()), CELLS[1]), np.uint8)
+    cells = np.zeros(cells_for(tokens), np.uint8)
     step = last = 0
     tables: list[DataFrame] = []
     while step < last + shards:
         step += 1
-        scanned = blocks.where(F.col("shard") == (step - 1) % shards).select("block", "tokens", "keys")
-        rows = scanned.mapInArrow(_scanning(cells, step, shards, longest, bits), COUNTS)
+        rows = texts.where(F.col("shard") == (step - 1) % shards).select("text", "lang").mapInArrow(_scanning(cells, step, shards, longest, bits), COUNTS)
         if tables:
             rows = rows.unionByName(tables[-1].where(F.col("kind") == RUNNING))
         tables.append(stored(rows.groupBy("bucket").applyInArrow(_merging(step, shards, least), COUNTS), "phrase-counts"))
-        new = tables[-1].where((F.col("kind") == REACHED) & (F.col("length") < longest)).select("phrases")
-        for r in new.mapInArrow(_marking(len(cells)), "part int, bits binary").groupBy("part").applyInArrow(_united, "part int, bits binary").collect():
-            marked = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-            own = cells[r.part * PART * 8 : (r.part + 1) * PART * 8]
-            own[marked & (own == 0)] = step
-            last = step
-    union = tables[0]
-    for table in tables[1:]:
-        union = union.unionByName(table)
-    final = union.where(F.col("kind") == FINAL).mapInArrow(_counted, "hash long, length int, n long")
-    owners = union.where((F.col("kind") == REACHED) & (F.col("length") > 1)).mapInArrow(_owned, "block long, hash long")
-    return stored(final, "phrases"), stored(owners, "phrase-blocks")
+        new = marked(tables[-1].where((F.col("kind") == REACHED) & (F.col("length") < longest)).select("phrases"), len(cells))
+        cells[new & (cells == 0)] = step
+        last = step if new.any() else last
+    return reduce(DataFrame.unionByName, tables).where(F.col("kind") == FINAL).select("length", "phrases", "counts")
+
+
+def cells_for(tokens: int) -> int:
+    return min(max(CELLS[0], 1 << int(tokens // TOKENS_PER_CELL).bit_length()), CELLS[1])
+
+
+def spelled(texts: DataFrame, final: DataFrame, counts: DataFrame, cells: int, longest: int) -> DataFrame:
+    """The texts of counted phrases of two words and more. Most stand in a part of the first shard; all else is scanned for the rest."""
+
+    def found(where: DataFrame, marks: np.ndarray) -> DataFrame:
+        return where.select("text", "lang").mapInArrow(_spelling(marks.astype(np.uint8), longest), PHRASE).dropDuplicates(["hash"])
+
+    first = stored(found(texts.where("part = 0"), marked(final.where("length > 1").select("phrases"), cells)), "spelled")
+    rest = counts.where("length > 1").join(first, "hash", "left_anti").select("hash").mapInArrow(_single, "phrases binary")
+    second = found(texts.where("part > 0"), marked(rest, cells))
+    return first.unionByName(second).dropDuplicates(["hash"])
+
+
+def _single(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_gaps(np.sort(np.asarray(batch.column("hash")).view(np.uint64)))], pa.binary())], ["phrases"])
 
 
 def collocations(
@@ -378,22 +391,17 @@ def collocations(
     descending, then the phrase by its bytes, ascending. Repeated rows count each. Very long texts are cut at ends of pieces.
 
     Words and phrases are known by 64-bit hashes: a candidate is miscounted with a probability of the number of different
-    phrases counted over 2**64. For its text, one block that has a candidate is asked.
+    phrases counted over 2**64. Shards are dealt by the hash of a text; nothing but counts is shuffled or written.
     """
     small_batches(docs)
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    path = shared_path(spark, "phrase-texts")
-    texts.mapInArrow(_encoding(shards), BLOCK).write.partitionBy("shard").parquet(path)
-    blocks = spark.read.schema(BLOCK).parquet(path)
-    per_block = blocks.select(F.explode(F.arrays_zip("names", "sizes")).alias("of"))
-    sizes = stored(per_block.groupBy(F.col("of.names").alias("lang")).agg(F.sum("of.sizes").alias("n")), "languages")
+    sizes = stored(texts.mapInArrow(_sizing, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "languages")
     tokens = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    final, owners = counted(blocks, tokens, shards, longest, least)
-    asked = owners.groupBy("block").agg(F.collect_list("hash").alias("asked"))
-    spelled = blocks.join(asked, "block").select("tokens", "keys", "words", "langs", "asked").mapInArrow(_spelling(longest), PHRASE)
-    candidates = stored(spelled.join(final.select("hash", F.col("n").alias("a")), "hash"), "candidates")
-    return _ranked(candidates, final.select("hash", "n"), sizes, top, share)
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(shards * PARTS))).withColumn("shard", F.col("part") % shards)
+    final = stored(counted(texts, tokens, shards, longest, least), "final-counts")
+    counts = stored(final.mapInArrow(_counted, "hash long, length int, n long"), "phrases")
+    candidates = spelled(texts, final, counts, cells_for(tokens), longest).join(counts.select("hash", F.col("n").alias("a")), "hash")
+    return _ranked(stored(candidates, "candidates"), counts.select("hash", "n"), sizes, top, share)
 
 
 def _ranked(candidates: DataFrame, counts: DataFrame, sizes: DataFrame, top: int, share: int) -> DataFrame:

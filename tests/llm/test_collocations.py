@@ -55,7 +55,7 @@ def brute(rows, top, least, longest=5, share=100):
 
 @pytest.mark.parametrize(("seed", "least", "shards", "longest", "top"), [(1, 4, 3, 5, 2000), (2, 20, 1, 5, 7), (3, 9, 5, 3, 50)])
 def test_equals_brute_force(spark, seed, least, shards, longest, top, monkeypatch):
-    monkeypatch.setattr(collocations, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(collocations, "BLOCK", 300)
     rows = texts(seed)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumns({c: F.lit("x") for c in ("hash", "N", "block", "tokens", "rank")})
     found = collocations.collocations(docs, top, least, longest, shards)
@@ -74,22 +74,27 @@ def test_empty(spark):
     assert collocations.collocations(spark.createDataFrame([(1, None, None)], SCHEMA)).collect() == []
 
 
-def test_lengths_interleave(spark):
+def test_lengths_interleave():
     """Pairs of words that the first shard shows to be frequent are counted from the second scan on, their triples from the third."""
-    tokens = np.tile(np.array([0, 1, 2, -1], np.int32), 10)
-    keys = np.sort(np.random.default_rng(1).integers(1, 1 << 62, 3).astype(np.uint64))
+    keys = np.random.default_rng(1).integers(1, 1 << 62, 3).astype(np.uint64)
+    tokens = np.tile(np.append(keys, np.uint64(0)), 10)
     cells = np.zeros(1 << 16, np.uint8)
-    assert all(len(run) == 0 for _, run, _ in collocations._active(tokens, keys, cells, 5))
+    assert all(len(run) == 0 for _, run, _ in collocations._active(tokens, cells, 5))
     for place in collocations._places(keys, len(cells)):
         cells[place] = 1
-    by_length = {length: (run, since) for length, run, since in collocations._active(tokens, keys, cells, 5)}
+    by_length = {length: (run, since) for length, run, since in collocations._active(tokens, cells, 5)}
     assert len(by_length[2][0]) == 20 and set(by_length[2][1]) == {1} and len(by_length[3][0]) == 0
     for place in collocations._places(np.unique(by_length[2][0]), len(cells)):
         cells[place] = np.where(cells[place] == 0, 2, cells[place])
-    by_length = {length: (run, since) for length, run, since in collocations._active(tokens, keys, cells, 5)}
+    by_length = {length: (run, since) for length, run, since in collocations._active(tokens, cells, 5)}
     assert len(by_length[3][0]) == 10 and set(by_length[3][1]) == {2} and len(by_length[4][0]) == 0
 
 
+def test_packing():
+    for x in ([], [0], [1, 255, 256], [2**64 - 1, 0], list(range(1000))):
+        assert collocations.unpacked(collocations.packed(np.array(x, np.uint64))).tolist() == x
+
+
 def test_shared_cells_only_count_in_vain(spark, monkeypatch):
     monkeypatch.setattr(collocations, "CELLS", (1 << 16, 1 << 16))
     monkeypatch.setattr(collocations, "_places", lambda phrases, cells: ((phrases & np.uint64(3)).astype(np.int64),) * 2)
