@@ -15,6 +15,7 @@ from catalog.common import (
 )
 from coverlens.functions.labels import area_of, bucket_of
 from coverlens.functions.text import title_case
+from coverlens.operators.classify import classified, spread
 from coverlens.operators.gaps import cohort_gaps
 from coverlens.operators.prevalence import prevalence_by, prevalence_overall, prevalence_sets
 from coverlens.session import shared_path
@@ -103,10 +104,8 @@ ORACLES["prevalence_by_role"] = sql_prevalence(
 @register
 def prevalence_by_area(spark, sf):
     """Whole documents through the default rules."""
-    docs = table(spark, sf, "documents").select(
-        area_of(F.lower("text")).alias("area"), (F.col("n_chars") > 500).alias("flag")
-    )
-    return prevalence_by(docs, "area", "flag")
+    docs = spread(table(spark, sf, "documents").select("text", (F.col("n_chars") > 500).alias("flag")))
+    return prevalence_by(classified(docs, F.lower("text"), "area"), "area", "flag")
 
 
 ORACLES["prevalence_by_area"] = sql_prevalence(

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from coverlens.functions import dates, labels, measures, nested, text, vocab
+from coverlens.operators.classify import classified
 
 X = "x"
 
@@ -171,3 +172,13 @@ def test_rounding_is_numpys(column):
     assert column(values, measures.round2(X), "double") == pd.Series(values).round(2).tolist()
     assert column([0.125, 0.375], measures.round2(X), "double") == [0.12, 0.38]
     assert np.isclose(column([28.566904], measures.round2(X), "double")[0], 28.57)
+
+
+def test_classified_equals_area_of(spark):
+    rules = [*vocab.AREA_RULES, ("Blanks", [" x", "y "]), ("Empty", [])]
+    cases = [None, "", " ", "  ", "symptoms", "symptoms of", "forms", "lung  cancer", "tay-sachs", "ulcerative", "ulcerative colitis", "a\nheart\tb", "no x", "y", "yy z", "é rare"]
+    cases += [" ".join(c or "" for c in cases[i : i + 4]) for i in range(len(cases))]
+    df = spark.createDataFrame([(c, 1) for c in cases], "own_text string, Own_Words int")
+    found = classified(df, "own_text", "area", rules).withColumn("wanted", labels.area_of("own_text", rules)).collect()
+    assert [r.area for r in found] == [r.wanted for r in found] and len({r.area for r in found}) > 5
+    assert found[0].own_text is None and found[0].Own_Words == 1

@@ -7,6 +7,7 @@ from coverlens import schema
 from coverlens.functions.labels import area_of, has_status, in_statuses
 from coverlens.functions.text import joined_lower
 from coverlens.operators import charts, dedupe, prevalence
+from coverlens.operators.classify import classified
 from coverlens.plans.normalize import normalize
 from coverlens.plans.report import record_cells
 from coverlens.sources.tidy import read_tidy, write_tidy
@@ -88,3 +89,12 @@ def test_no_python_in_the_row_path(spark, tidy_path):
         {"area": area_of(joined_lower("conditions")), "keep": in_statuses("overall_status", ["x"])}
     )
     assert "Python" not in plan(df) and "Exchange" not in plan(df)
+
+
+def test_long_texts_are_classified_in_compiled_code(spark, tmp_path):
+    """The text is lower-cased and split once, below the rules; no lambda and no Python."""
+    spark.createDataFrame([("Heart",)], "text string").write.parquet(str(tmp_path / "t"))
+    df = classified(spark.read.parquet(str(tmp_path / "t")), F.lower("text"), "area")
+    shown = plan(df)
+    assert "transform(array(lower" not in shown and "lambda" not in shown and "Python" not in shown
+    assert shown.count("lower(text") == 1 and shown.count("array_distinct") == 1 and shuffles(df) == 0
