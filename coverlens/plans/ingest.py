@@ -11,6 +11,7 @@ from coverlens.functions import vocab
 from coverlens.functions.dates import within
 from coverlens.functions.labels import Rules, has_status
 from coverlens.operators.dedupe import first_wins, unseen_only
+from coverlens.session import stored
 from coverlens.sources.pages import pick_studies, read_pages, readable_pages, unreadable_pages, with_derived
 from coverlens.sources.seen import SeenIds
 from coverlens.sources.tidy import read_tidy, write_tidy
@@ -56,10 +57,13 @@ def ingest_run(spark: SparkSession, path: str, out: str, seen: SeenIds, run: int
     """One numbered run of a repeated batch ingestion: adds the studies that no earlier run has emitted.
 
     The run owns the folder ``run=N`` under ``out`` and generation ``N`` of the seen IDs, and looks at all others,
-    later ones too. Running it again replaces both.
+    later ones too. Running it again replaces both. The eligible IDs are stored first; of the seen IDs only those buckets are
+    read that may hold one of them.
     """
     folder = f"{out.rstrip('/')}/run={run}"
-    write_tidy(ingest(spark, path, seen=seen.load(without=run), **options), folder, mode="overwrite")
+    studies = stored(ingest(spark, path, **options), "run")
+    known = seen.among(studies.select("nct_id"), without=run)
+    write_tidy(studies.join(known, "nct_id", "left_anti").select(*schema.TIDY_COLUMNS), folder, mode="overwrite")
     written = read_tidy(spark, folder)
     seen.add(written, generation=run)
     return written

@@ -11,11 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 from coverlens import schema
 from coverlens.functions import vocab
 from coverlens.functions.labels import Rules
-from coverlens.operators.dedupe import first_wins, unseen_in_small_batch
+from coverlens.operators.dedupe import first_wins
 from coverlens.plans.ingest import eligible
 from coverlens.sources import files
 from coverlens.sources.contracts import require_path
 from coverlens.sources.pages import pick_studies, readable_pages, stream_pages, with_derived
+from coverlens.sources.seen import SeenIds
 
 STORED = schema.TIDY + ", stream string, batch_id bigint"
 
@@ -29,23 +30,43 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     return _stored(spark, require_path(spark, out)).drop("stream")
 
 
+def _seen(spark: SparkSession, out: str) -> SeenIds:
+    """The IDs of everything emitted, a generation per batch, beside the output and hidden from its readers."""
+    return SeenIds(spark, f"{out}/_seen")
+
+
+def _index_emitted(spark: SparkSession, out: str, seen: SeenIds, but: str) -> None:
+    """Adds the batches whose output is complete and whose IDs are not yet in the set, as after a crash between the two."""
+    known = seen.generations()
+    for stream in files.folders(spark, out):
+        for batch in files.folders(spark, f"{out}/{stream}") if stream.startswith("stream=") else []:
+            name = f"{stream}/{batch}"
+            if name not in known and name != but and files.exists(spark, f"{out}/{name}/_SUCCESS"):
+                seen.add(spark.read.schema(schema.TIDY).parquet(f"{out}/{name}"), name)
+
+
 def add_batch(studies: DataFrame, batch_id: int, out: str, stream: str = "0", rules: Rules = vocab.AREA_RULES) -> None:
     """Adds the first arrival of each study that no other batch has emitted.
 
-    The candidates are stored before they are compared with the earlier output: they are computed once,
-    and their true size lets Spark pick the join. The batch owns the folder of its ``stream`` and ``batch_id``; a
-    replay rewrites it. What has been emitted is every other folder, so a stream that starts anew with another
-    checkpoint, and counts from 0 again, neither repeats studies nor overwrites them.
+    The candidates are stored, so that they are computed once, in a folder of their stream and batch. The batch owns the
+    output folder and the generation of seen IDs of its ``stream`` and ``batch_id``; a replay rewrites both. What has been
+    emitted is every other generation, so a stream that starts anew with another checkpoint, and counts from 0 again, neither
+    repeats studies nor overwrites them. Of the seen IDs only those buckets are read that may hold one of the batch.
     """
     spark = studies.sparkSession
     files.make_folder(spark, out)
-    candidates_path = f"{out}/_candidates"  # hidden from readers of ``out``; replaced by every batch
+    own = f"stream={stream}/batch_id={batch_id}"
+    candidates_path = f"{out}/_candidates/{own}"  # hidden from readers of ``out``
     candidates = first_wins(studies, "nct_id", schema.ARRIVAL).drop(*schema.ARRIVAL)
     candidates.write.mode("overwrite").parquet(candidates_path)
     candidates = spark.read.schema(schema.PICKED).parquet(candidates_path)
-    emitted = _stored(spark, out).where(~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))
-    fresh = with_derived(unseen_in_small_batch(candidates, emitted), rules).select(*schema.TIDY_COLUMNS)
-    fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/batch_id={batch_id}")
+    seen = _seen(spark, out)
+    _index_emitted(spark, out, seen, but=own)
+    known = seen.among(candidates.select("nct_id"), without=own)
+    fresh = with_derived(candidates.join(known, "nct_id", "left_anti"), rules).select(*schema.TIDY_COLUMNS)
+    fresh.write.mode("overwrite").parquet(f"{out}/{own}")
+    seen.add(spark.read.schema(schema.TIDY).parquet(f"{out}/{own}"), own)
+    files.delete(spark, candidates_path)
 
 
 def _stream_of(spark: SparkSession, checkpoint: str) -> str:
