@@ -54,8 +54,9 @@ ALIKE = 0.9
 TEMPLATE = 8
 _SPACE = re.compile(r"\s+")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+# A quote opens a value only behind an equals sign; elsewhere, and if it is never closed, it is a character like others.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)",
+    r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|$)|<[!?][^>]*(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
 
@@ -72,15 +73,23 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
     """The page's text lines in order, without what markup names as surroundings, and whether each is in an article."""
     out: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # element, dropped, article
+    named: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
-    dropped = article = False
+    dropped = article = 0  # open elements of either kind
 
     def end_line():
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, article))
+                out.append((text, article > 0))
+
+    def close() -> str:
+        nonlocal dropped, article
+        element, *kinds = open_.pop()
+        named[element] -= 1
+        dropped, article = dropped - kinds[0], article - kinds[1]
+        return element
 
     page, at = page or "", 0
     for token in _TOKEN.finditer(page):
@@ -90,29 +99,26 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         raw, closing, name, attributes = token.groups()
         if raw or not name:
             continue
-        name = name.lower()
+        name, within = name.lower(), article > 0
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS or name in DROPPED:
             end_line()
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+            while named[name] and close() != name:
+                pass
         elif name not in VOID:
             if open_ and (open_[-1][0] == name in REPEATED or (open_[-1][0] == "p" and name in BLOCKS)):
-                open_.pop()
-            marked = name in DROPPED and not (name == "header" and article)
+                close()
+            marked = name in DROPPED and not (name == "header" and within)
             if attributes and name not in ("html", "body", "main") and not marked:
-                marked = _marked(attributes, name, article)
+                marked = _marked(attributes, name, within)
             # Within a marked inline element, others of its name are counted too, so that its own end tag ends it.
-            if name in BLOCKS or name in DROPPED or marked or any(x[0] == name for x in open_):
+            if name in BLOCKS or name in DROPPED or marked or named[name]:
                 open_.append((name, marked, name in ("article", "main")))
-        else:
-            continue
-        dropped, article = any(x[1] for x in open_), any(x[2] for x in open_)
+                named[name] += 1
+                dropped, article = dropped + marked, article + open_[-1][2]
     if at < len(page) and not dropped:
         parts.append(page[at:])
     end_line()

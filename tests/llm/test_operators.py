@@ -476,3 +476,33 @@ def test_mixing_reaches_its_targets(spark):
     assert sum(r.t for r in by.values()) == pytest.approx(sum(r.s for r in by.values()))
     assert all(abs(r.taken - r.t) < 0.05 * r.t for r in by.values())
     assert mixing.emitted(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+# --- tags and nesting in pages
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["p title=it's", 'p title="it\'s"', "p title='a \"b\" c'", "p title = 'x>y'", 'p title="x>y"', "p it's", 'p data-x=5"', "p x=a=b", "p class=\"x", "p =", "p title=", "P CLASS=x'y", "p a='b'c", "p/"],
+)
+def test_quotes_open_values_only_behind_equals_signs(tag):
+    page = f"<article><{tag}>First paragraph of text.</p><p>Second one isn't short.</p><p>Third.</p></article>"
+    assert [t for t, _ in html.lines(page)] == ["First paragraph of text.", "Second one isn't short.", "Third."]
+
+
+def test_a_value_that_is_closed_later_ends_there():
+    assert [t for t, _ in html.lines('<p class="x>a</p><p title="b">c</p>d')] == ["c", "d"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div>x" * n + "</span>" * n + "</div>" * n + "y"
+        start = time.process_time()
+        found = html.lines(page)
+        assert len(found) == n + 1 and found[-1] == ("y", False)
+        return time.process_time() - start
+
+    small, large = min(seconds(5_000) for _ in range(3)), seconds(80_000)
+    assert large < 16 * 4 * small
