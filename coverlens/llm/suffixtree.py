@@ -1,55 +1,74 @@
 """Language model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to ``depth`` words. A context is a candidate if it occurs twice, and it names the
-words that follow it twice, whatever the corpus; it is retained if the distribution of the word after it diverges from
-that of the next shorter retained context by more than its description costs. Every state mixes its counts with the
-shorter state's distribution. A token is scored by the longest retained suffix of what precedes it.
+The tree's states are contexts of words. A context is a candidate if it occurs twice, and it names the words that follow
+it twice, whatever the corpus; it is retained if the distribution of the word after it diverges from that of the next
+shorter retained context by more than its description costs. Every state mixes its counts with the shorter state's
+distribution. A token is scored by the longest retained suffix of what precedes it. The tree grows by a word at a time
+until a level retains no context.
 
 The tree is nowhere whole. Runs of words are dealt by their hashes to buckets, whose number follows the corpus. A block
-of documents sends its distinct runs to their buckets and gets back, in the same order, what all blocks have of them.
+of documents sends its distinct runs to their buckets and gets back, in the same order, what all blocks have of them. A
+run of d + 1 words occurs twice only if the d words at either end do, so a block asks for such runs alone.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlens.llm.common import small_batches
 from coverlens.llm.text import MULTIPLIERS, chunks, layout, mixed, word_hashes
-from coverlens.session import stored
+from coverlens.session import shared_path, stored
 
-DEPTH = 2
 # Occurrences that make a context a candidate, and a word after it one that the context names.
 LEAST = 2
 # Bytes of text in a block, whose words are numbered together; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 END = np.uint64(1)
 # Tokens for each bucket that runs of one length are dealt to.
-BUCKET = 500_000
-BLOCK = "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens array<int>, words array<long>"
+BUCKET = 2_000_000
+BLOCK = "doc_ids array<long>, held array<boolean>, lengths array<int>, kinds int, words binary, tokens binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-ASKED = "depth int, bucket int, block long, runs binary, sums binary"
-# Of runs of depth + 1 words: their counts, doubled, plus 1 for the block that stands for the run. Of contexts: STATES + depth.
-ANSWERED = "block long, depth int, bucket int, found binary, tokens long, kinds long"
-STATES = 1000
+# Of runs of depth + 1 words: how often they occur in the block. Of contexts of depth words, under STATES + depth: what it
+# adds to their sums.
+ASKED = "depth int, bucket int, block long, n int, runs binary, sums binary"
+# Of runs: their counts, doubled, plus 1 for the block that stands for the run. Of contexts: their weights.
+ANSWERED = "block long, depth int, bucket int, n int, found binary, tokens long, kinds long"
+STATES = 1 << 20
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes before all second ones, compressed: small numbers take little."""
+    return pa.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _ascending(values: np.ndarray) -> bytes:
+    """Sorted hashes, as the steps from one to the next."""
+    return _packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def _hashes(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, n, np.uint64), dtype=np.uint64)
 
 
 def _block(ids: list, held: list, parts: list, lengths: list) -> pa.RecordBatch:
     lengths = np.concatenate(lengths).astype(np.int32)
     words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-
-    def one(values, kind):
-        return pa.array([values], pa.list_(kind))
-
-    return pa.RecordBatch.from_arrays(
-        [
-            one(ids, pa.int64()), one(held, pa.bool_()), one(lengths, pa.int32()), one(tokens.astype(np.int32), pa.int32()),
-            one(words.view(np.int64), pa.int64()),
-        ],
-        [x.split()[0] for x in BLOCK.split(", ")],
-    )
+    values = [ids, held, lengths, len(words), _ascending(words), _packed(tokens.astype(np.int32))]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [x.split()[0] for x in BLOCK.split(", ")])
 
 
 def _encoded(batches):
@@ -157,27 +176,38 @@ def _found(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _runs(block: dict, depth: int):
-    """Per depth: the sorted distinct hashes of runs of depth + 1 words, for each token the place of the run that ends
-    with it, -1 where its document has fewer words, and of each run a token that it ends with."""
-    words, tokens, lengths = block["words"].view(np.uint64), block["tokens"], block["lengths"]
+def _arrays(batch, row: int) -> dict:
+    lengths, kinds = np.asarray(batch.column("lengths")[row].values), batch.column("kinds")[row].as_py()
+    return {
+        "doc_ids": batch.column("doc_ids")[row].values,
+        "held": batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool),
+        "lengths": lengths,
+        "words": _hashes(batch.column("words")[row].as_py(), kinds),
+        "tokens": _unpacked(batch.column("tokens")[row].as_py(), int(lengths.sum(dtype=np.int64)), np.int32),
+    }
+
+
+def _runs(block: dict, answers: dict, depth: int) -> list:
+    """Per depth: the sorted distinct hashes of the runs of depth + 1 words that may occur twice, for each token the place
+    of the run that ends with it, -1 for any other, and of each run a token that it ends with."""
+    words, tokens, lengths = block["words"], block["tokens"], block["lengths"]
     at = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     last = run = words[tokens]
-    yield words, tokens, None
+    found = [(words, tokens, None)]
     for d in range(1, depth + 1):
         run = mixed(np.concatenate([run[:1], run[:-1]]) * MULTIPLIERS[0] + last * MULTIPLIERS[1])
-        whole = np.flatnonzero(at >= d)
+        often = _often(found[-1][1], answers, d - 1)
+        whole = 1 + np.flatnonzero((at[1:] >= d) & often[1:] & often[:-1])
         runs, ends, places = np.unique(run[whole], return_index=True, return_inverse=True)
         place = np.full(len(tokens), -1)
         place[whole] = places
-        yield runs, place, whole[ends]
+        found.append((runs, place, whole[ends]))
+    return found
 
 
-def _arrays(batch, row: int) -> dict:
-    found = {n: np.asarray(batch.column(n)[row].values) for n in ("lengths", "tokens", "words")}
-    found["doc_ids"] = batch.column("doc_ids")[row].values
-    found["held"] = batch.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
-    return found
+def _often(place: np.ndarray, answers: dict, depth: int) -> np.ndarray:
+    """Whether the run of depth + 1 words that ends with a token occurs LEAST times."""
+    return np.append(answers[depth][0] >> 1 >= LEAST, False)[place]
 
 
 def _dealt(rows: list, depth: int, block: int, runs: np.ndarray, sums: np.ndarray, bits: int) -> None:
@@ -185,7 +215,7 @@ def _dealt(rows: list, depth: int, block: int, runs: np.ndarray, sums: np.ndarra
     edges = np.searchsorted(runs, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(runs)]
     for bucket, (lo, hi) in enumerate(zip(edges, edges[1:])):
         if lo < hi:
-            rows.append((depth, bucket, block, runs[lo:hi].tobytes(), np.ascontiguousarray(sums[:, lo:hi]).tobytes()))
+            rows.append((depth, bucket, block, hi - lo, _ascending(runs[lo:hi]), _packed(np.ascontiguousarray(sums[:, lo:hi]))))
 
 
 def _table(rows: list, schema: str) -> pa.Table:
@@ -195,106 +225,116 @@ def _table(rows: list, schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def _counting(depth: int, bits: int):
-    def count(batches):
+def _ask_counts(rows: list, number: int, block: dict, runs: list, depth: int, bits: int) -> None:
+    distinct, place, _ = runs[depth]
+    train = np.repeat(~block["held"], block["lengths"])
+    n = np.bincount(place[train & (place >= 0)], minlength=len(distinct))
+    _dealt(rows, depth, number, distinct, n[None], bits)
+
+
+def _ask_states(rows: list, number: int, block: dict, runs: list, answers: dict, depth: int, total: int, bits: int) -> None:
+    """What a block adds to the contexts of ``depth`` words that it has: the words after them that it stands for."""
+    counts = answers[depth - 1][0] >> 1
+    sums = np.zeros((5, len(counts)))
+    sums[0] = counts
+    p = _stepped((answers[0][0] >> 1)[block["tokens"]] / max(total, 1), runs, answers, depth - 1)
+    n = answers[depth][0] >> 1
+    own = np.flatnonzero((n >= LEAST) & (answers[depth][0] & 1 == 1))
+    end, n = runs[depth][2][own], n[own]
+    context, p = runs[depth - 1][1][end - 1], p[end]
+    gain = n * np.log(n / counts[context] / p)
+    for i, x in enumerate((n, None, p, gain), 1):
+        sums[i] = np.bincount(context, x, len(counts))
+    candidates = counts >= LEAST
+    _dealt(rows, STATES + depth, number, runs[depth - 1][0][candidates], sums[:, candidates], bits)
+
+
+def _first(bits: int):
+    def ask(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 block, rows = _arrays(batch, row), []
-                train = np.repeat(~block["held"], block["lengths"])
-                for d, (runs, place, _) in enumerate(_runs(block, depth)):
-                    n = np.bincount(place[train & (place >= 0)], minlength=len(runs)).astype(np.int32)
-                    _dealt(rows, d, batch.column("block")[row].as_py(), runs, n[None], bits)
+                _ask_counts(rows, batch.column("block")[row].as_py(), block, _runs(block, {}, 0), 0, bits)
                 yield from _table(rows, ASKED).to_batches()
 
-    return count
+    return ask
 
 
-def _bucket(table: pa.Table, kind, width: int):
-    """Of a bucket: its rows' blocks, where each row's runs end, all runs' first places and their numbers, and the sums."""
-    runs = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
-    sums = [np.frombuffer(x, kind).reshape(width, -1) for x in table.column("sums").to_pylist()]
-    _, first, number = np.unique(np.concatenate(runs), return_index=True, return_inverse=True)
-    return table.column("block").to_pylist(), np.cumsum([len(x) for x in runs]), first, number, np.concatenate(sums, axis=1)
+def _next(states: int, counts: int | None, total: int, bits: int):
+    """Asks for the states of contexts of ``states`` words, none if 0, and for counts of runs of ``counts`` + 1 words."""
 
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            number, block, answers = left.column("block")[0].as_py(), _arrays(left, 0), _answers(right)
+            runs = _runs(block, answers, states if counts is None else counts)
+            if states:
+                _ask_states(rows, number, block, runs, answers, states, total, bits)
+            if counts is not None:
+                _ask_counts(rows, number, block, runs, counts, bits)
+        return _table(rows, ASKED)
 
-def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """What all blocks together have of a bucket's runs, for each block."""
-    depth, bucket = (x.as_py() for x in key)
-    blocks, ends, first, number, sums = _bucket(table, np.int32, 1)
-    totals = np.bincount(number, sums[0]).astype(np.int64)
-    found = totals[number] << 1
-    found[first] += 1
-    own = [int(totals.sum()), int((totals > 0).sum())]
-    rows = [(b, depth, bucket, x.tobytes(), *(own if i == 0 else (0, 0))) for i, (b, x) in enumerate(zip(blocks, np.split(found, ends[:-1])))]
-    return _table(rows, ANSWERED)
+    return ask
 
 
-def _weighed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Tests a bucket's contexts: the weight of the shorter state and the sum of weights, for each block that has them."""
+def _answered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """What all blocks together have of a bucket's runs or contexts, for each block that asked."""
     depth, bucket = (x.as_py() for x in key)
-    blocks, ends, first, number, sums = _bucket(table, np.float64, 5)
-    kept, kinds, shorter, gain = (np.bincount(number, x) for x in sums[1:])
-    found = np.stack(weights(sums[0][first], kept, kinds, shorter, gain)).astype(np.int64)
-    own = [0, int((found[1] > 0).sum())]
-    parts = np.split(found[:, number], ends[:-1], axis=1)
-    rows = [(b, STATES + depth, bucket, np.ascontiguousarray(x).tobytes(), *(own if i == 0 else (0, 0))) for i, (b, x) in enumerate(zip(blocks, parts))]
+    asked = sorted(table.select(["block", "n", "runs", "sums"]).to_pylist(), key=lambda r: r["block"])
+    width, kind = (5, np.float64) if depth >= STATES else (1, np.int64)
+    sums = np.concatenate([_unpacked(r["sums"], width * r["n"], kind).reshape(width, -1) for r in asked], axis=1)
+    _, first, number = np.unique(np.concatenate([_hashes(r["runs"], r["n"]) for r in asked]), return_index=True, return_inverse=True)
+    if depth >= STATES:
+        kept, kinds, shorter, gain = (np.bincount(number, x) for x in sums[1:])
+        found = np.stack(weights(sums[0][first], kept, kinds, shorter, gain)).astype(np.int64)
+        own = [0, int((found[1] > 0).sum())]
+        found = found[:, number]
+    else:
+        totals = np.zeros(len(first), np.int64)
+        np.add.at(totals, number, sums[0])
+        own = [int(totals.sum()), int((totals > 0).sum())]
+        # Beyond single words, only what occurs LEAST times is told apart.
+        found = np.where(totals >= (LEAST if depth else 0), totals, 0)[number] << 1
+        found[first] += 1
+        found = found[None]
+    parts = np.split(found, np.cumsum([r["n"] for r in asked])[:-1], axis=1)
+    rows = [(r["block"], depth, bucket, r["n"], _packed(x), *(own if i == 0 else (0, 0))) for i, (r, x) in enumerate(zip(asked, parts))]
     return _table(rows, ANSWERED)
 
 
-def _answers(table: pa.Table) -> dict:
-    """Per depth, what a block's runs were answered, in the order of the runs."""
+class _Answers(dict):
+    """Per depth, what a block's runs were answered, in the order of the runs; nothing where it had none."""
+
+    def __missing__(self, depth: int) -> np.ndarray:
+        return np.zeros((2 if depth >= STATES else 1, 0), np.int64)
+
+
+def _answers(table: pa.Table) -> _Answers:
     by: dict = {}
-    for row in table.select(["depth", "bucket", "found"]).to_pylist():
-        by.setdefault(row["depth"], []).append((row["bucket"], row["found"]))
-    out = {}
+    for row in table.select(["depth", "bucket", "n", "found"]).to_pylist():
+        by.setdefault(row["depth"], []).append((row["bucket"], row["n"], row["found"]))
+    out = _Answers()
     for depth, parts in by.items():
         width = 2 if depth >= STATES else 1
-        out[depth] = np.concatenate([np.frombuffer(x, np.int64).reshape(width, -1) for _, x in sorted(parts)], axis=1)
+        out[depth] = np.concatenate([_unpacked(x, width * n, np.int64).reshape(width, -1) for _, n, x in sorted(parts)], axis=1)
     return out
 
 
 def _stepped(p: np.ndarray, runs: list, answers: dict, upto: int) -> np.ndarray:
     """Every token's probability under the longest retained state of at most ``upto`` words, given that under none."""
     for d in range(1, upto + 1):
-        at = np.flatnonzero(runs[d][1] >= 0)
-        if not len(at) or STATES + d not in answers:
-            break
         candidates = answers[d - 1][0] >> 1 >= LEAST
-        backing, sums = np.zeros((2, len(candidates)), np.int64)
-        backing[candidates], sums[candidates] = answers[STATES + d]
-        context, seen = runs[d - 1][1][at - 1], answers[d][0][runs[d][1][at]] >> 1
-        use = sums[context] > 0
-        at, context, seen = at[use], context[use], np.where(seen >= LEAST, seen, 0)[use]
+        backing, sums = np.zeros((2, len(candidates) + 1), np.int64)
+        backing[:-1][candidates], sums[:-1][candidates] = answers[STATES + d]
+        context = runs[d - 1][1][:-1]
+        at = 1 + np.flatnonzero(sums[context] > 0)
+        context, place = context[at - 1], runs[d][1][at]
+        seen = np.append(answers[d][0] >> 1, 0)[place]
         p = p.copy()
-        p[at] = (seen + backing[context] * p[at]) / sums[context]
+        p[at] = (np.where(seen >= LEAST, seen, 0) + backing[context] * p[at]) / sums[context]
     return p
 
 
-def _testing(depth: int, total: int, bits: int):
-    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What a block adds to the contexts of ``depth`` words that it has: the words after them that it stands for."""
-        block, answers, rows = _arrays(left, 0), _answers(right), []
-        runs = list(_runs(block, depth))
-        if not len(runs[depth][0]):
-            return _table(rows, ASKED)
-        counts = answers[depth - 1][0] >> 1
-        sums = np.zeros((5, len(counts)))
-        sums[0] = counts
-        p = _stepped((answers[0][0] >> 1)[block["tokens"]] / max(total, 1), runs, answers, depth - 1)
-        n = answers[depth][0] >> 1
-        own = np.flatnonzero((n >= LEAST) & (answers[depth][0] & 1 == 1))
-        end, n = runs[depth][2][own], n[own]
-        context, p = runs[depth - 1][1][end - 1], p[end]
-        gain = n * np.log(n / counts[context] / p)
-        for i, x in enumerate((n, None, p, gain), 1):
-            sums[i] = np.bincount(context, x, len(counts))
-        candidates = counts >= LEAST
-        _dealt(rows, depth, left.column("block")[0].as_py(), runs[depth - 1][0][candidates], sums[:, candidates], bits)
-        return _table(rows, ASKED)
-
-    return ask
-
-
 def _scoring(depth: int, total: int, distinct: int):
     floor = total + 0.1 * (distinct + 1)
 
@@ -302,7 +342,7 @@ def _scoring(depth: int, total: int, distinct: int):
         block, answers = _arrays(left, 0), _answers(right)
         counts, lengths = (answers[0][0] >> 1)[block["tokens"]], block["lengths"]
         base = (counts + 0.1) / floor
-        p = _stepped(base, list(_runs(block, depth)), answers, depth)
+        p = _stepped(base, _runs(block, answers, depth), answers, depth)
         starts = np.cumsum(lengths) - lengths
         columns = [
             block["doc_ids"],
@@ -318,30 +358,68 @@ def _scoring(depth: int, total: int, distinct: int):
     return score
 
 
-def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as what was made of them is written: every level is a table of its own."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def _by_block(blocks: DataFrame) -> Iterator[DataFrame]:
+    """The blocks as a table in the shared folder, bucketed by block: only answers are shuffled to meet them."""
+    spark, name = blocks.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    writer.option("path", shared_path(spark, "blocks")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def scored(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id as text is divisible by 10 are held out; all others train the model. Words are
     lower-cased runs without white space; every document ends with one more token. base_score is the log10 probability under
     smoothed word frequencies, score that under the tree. A null or empty text is its end alone. A null id trains.
     Repeated rows train and are scored each. Without training documents both scores follow from the smoothing alone.
+    A long text is a block of its own, of about 100 bytes of memory a word in one task.
 
-    Counts of words and runs and all states are exact and stay distributed: a block of documents asks for those of its own
-    runs and contexts. Nothing of the tree is gathered or broadcast.
+    The tree grows until a level retains no context, or to contexts of ``depth`` words. Counts of words and runs and all
+    states are exact and stay distributed: a block of documents asks for those of its own runs and contexts. Nothing of the
+    tree is gathered or broadcast. Runs jobs when called, one a level; each is written to the shared folder.
     """
     small_batches(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
-    blocks = stored(texts.mapInArrow(_encoded, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    tokens = blocks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    bits = max(1, int(tokens // BUCKET).bit_length())
-    asked = blocks.mapInArrow(_counting(depth, bits), ASKED)
-    answers = stored(asked.groupBy("depth", "bucket").applyInArrow(_counted, ANSWERED), "run-counts")
-    total, distinct = answers.where("depth = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).first()
-    by_block = blocks.groupBy("block")
-    for d in range(1, depth + 1):
-        known = answers.where((F.col("depth") <= d) | (F.col("depth") >= STATES))
-        asked = by_block.cogroup(known.groupBy("block")).applyInArrow(_testing(d, total, bits), ASKED)
-        states = stored(asked.groupBy("depth", "bucket").applyInArrow(_weighed, ANSWERED), "states")
-        answers = answers.unionByName(states)
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_scoring(depth, total, distinct), SCORED)
+    encoded = texts.mapInArrow(_encoded, BLOCK).withColumn("block", F.monotonically_increasing_id())
+    with _shuffles_removed(docs.sparkSession), _by_block(encoded) as blocks:
+
+        def answered(asked: DataFrame) -> DataFrame:
+            return stored(asked.groupBy("depth", "bucket").applyInArrow(_answered, ANSWERED), "level")
+
+        def summed(df: DataFrame, *columns):
+            return df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in columns]).first()
+
+        def beside(answers: DataFrame):
+            return blocks.groupBy("block").cogroup(answers.groupBy("block"))
+
+        tokens = summed(blocks, F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))[0]
+        bits = max(1, int(tokens // BUCKET).bit_length())
+        answers = answered(blocks.mapInArrow(_first(bits), ASKED))
+        total, distinct = summed(answers, "tokens", "kinds")
+        grown, more = 0, depth is None or depth > 0
+        while more:
+            wanted = grown + 1 if depth is None or grown < depth else None
+            level = answered(beside(answers).applyInArrow(_next(grown, wanted, total, bits), ASKED))
+            retained = summed(level.where(F.col("depth") >= STATES), "kinds")[0]
+            answers = answers.unionByName(level)
+            more = wanted is not None and (grown == 0 or retained > 0)
+            grown += more
+        return stored(beside(answers).applyInArrow(_scoring(grown, total, distinct), SCORED), "scores")

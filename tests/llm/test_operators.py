@@ -379,16 +379,38 @@ def suffix_tree(rows, depth):
     return scores, states
 
 
-def test_rare_contexts_count_however_long_the_corpus_is(spark, monkeypatch):
-    """The states are those of the dictionaries; contexts that occur two or three times are among them beside 400,000 other tokens."""
-    rows = [(i, r[1], None, None) for i, r in enumerate(documents(6, 40) + [(0, "aa bb cc dd")] * 3 + [(0, "x y " * 200_000)])]
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, None])
+def test_rare_contexts_count_however_long_the_corpus_is(spark, monkeypatch, depth):
+    """The states are those of the dictionaries; contexts that occur two or three times are among them beside 400,000 other
+    tokens. Without a depth the tree ends where the dictionaries retain nothing: a mark seven words back tells what comes."""
+    told = [(0, f"{mark} cc dd ee ff gg hh {end}") for mark, end in (("aa", "yes"), ("bb", "no")) for _ in range(9)]
+    told += [(0, " ".join("cc dd ee ff gg hh".split()[i:])) for i in range(6) for _ in range(3)]
+    rows = [(i, r[1], None, None) for i, r in enumerate(documents(6, 40) + told + [(0, "aa bb cc dd")] * 3 + [(0, "x y " * 200_000)])]
     monkeypatch.setattr(suffixtree, "BUCKET", 50_000)
-    scores, states = suffix_tree(rows, 2)
-    assert (b"aa",) in states and len(states) > 50 and any(len(c) == 2 for c in states)
-    found = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    scores, states = suffix_tree(rows, depth or 9)
+    levels = {len(c) for c in states}
+    assert (b"aa",) in states and len(states) > 50 and levels == set(range(1, min(depth or 9, max(levels)) + 1))
+    assert depth or 7 <= max(levels) < 9
+    found = {r.doc_id: r.score for r in suffixtree.scored(spark.createDataFrame(rows, DOCS).repartition(3), depth).collect()}
     assert [found[r[0]] for r in rows] == pytest.approx(scores)
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    hashes = np.sort(rng.integers(1 << 63, size=999, dtype=np.uint64) * np.uint64(2))
+    assert (suffixtree._hashes(suffixtree._ascending(hashes), 999) == hashes).all()
+    for values in (np.zeros(0, np.int64), np.array([-1, 1 << 40]), rng.normal(size=(5, 7)), np.arange(9, dtype=np.int32)):
+        back = suffixtree._unpacked(suffixtree._packed(values), values.size, values.dtype)
+        assert (back == values.reshape(-1)).all()
+
+
+def test_scoring_leaves_the_session_as_it_was(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tables = spark.conf.get(name, None), len(spark.catalog.listTables())
+    suffixtree.scored(spark.createDataFrame(documents(3, 5), DOCS), 1)
+    assert spark.conf.get(name, None) == before and len(spark.catalog.listTables()) == tables
+
+
 def test_states_are_distributions():
     """Named words and the rest share each retained state's mass: with the root's probabilities, they sum to 1."""
     tree = suffixtree.Tree(np.arange(2, 6, dtype=np.uint64), np.array([50, 30, 15, 5]), 100)
