@@ -3,8 +3,8 @@
 The tree's states are contexts of words. A context is a candidate if it occurs twice, and it names the words that follow
 it twice, whatever the corpus; it is retained if the distribution of the word after it diverges from that of the next
 shorter retained context by more than its description costs. Every state mixes its counts with the shorter state's
-distribution. A token is scored by the longest retained suffix of what precedes it. The tree grows by a word at a time
-until a level retains no context.
+distribution. A token is scored by the longest retained suffix of what precedes it. The tree grows by a word at a time,
+to contexts of a given length or until a level retains none.
 
 The tree is nowhere whole. Runs of words are dealt by their hashes to buckets, whose number follows the corpus. A block
 of documents sends its distinct runs to their buckets and gets back, in the same order, what all blocks have of them. A
@@ -26,6 +26,8 @@ from coverlens.llm.common import small_batches
 from coverlens.llm.text import MULTIPLIERS, chunks, layout, mixed, word_hashes
 from coverlens.session import shared_path, stored
 
+# Words of the longest contexts.
+DEPTH = 3
 # Occurrences that make a context a candidate, and a word after it one that the context names.
 LEAST = 2
 # Bytes of text in a block, whose words are numbered together; a longer document is a block of its own.
@@ -382,7 +384,7 @@ def _by_block(blocks: DataFrame) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def scored(docs: DataFrame, depth: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id as text is divisible by 10 are held out; all others train the model. Words are
@@ -391,7 +393,8 @@ def scored(docs: DataFrame, depth: int | None = None) -> DataFrame:
     Repeated rows train and are scored each. Without training documents both scores follow from the smoothing alone.
     A long text is a block of its own, of about 100 bytes of memory a word in one task.
 
-    The tree grows until a level retains no context, or to contexts of ``depth`` words. Counts of words and runs and all
+    The tree grows to contexts of ``depth`` words; with None, until a level retains no context, which shared passages put
+    off by as many levels as they have words. Counts of words and runs and all
     states are exact and stay distributed: a block of documents asks for those of its own runs and contexts. Nothing of the
     tree is gathered or broadcast. Runs jobs when called, one a level; each is written to the shared folder.
     """
