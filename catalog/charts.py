@@ -63,6 +63,18 @@ ORACLES["heatmap_matrix"] = (
     f"SELECT p_brand, {', '.join(map(_column, PART_TYPES))} FROM {_PARTS} GROUP BY 1"
 )
 
+
+
+@register
+def heatmap_matrix_cut(spark, sf):
+    """Types by the 12 most frequent of the 25 brands: the matrix, turned back into its filled cells."""
+    matrix = charts.heatmap_matrix(_parts(spark, sf), "p_type", "p_brand", flag="flag", key="p_partkey")
+    cells = matrix.unpivot("p_type", [c for c in matrix.columns if c != "p_type"], "p_brand", "with_dmc_pct")
+    return cells.where("with_dmc_pct IS NOT NULL")
+
+
+ORACLES["heatmap_matrix_cut"] = f"SELECT p_type, p_brand, with_dmc_pct FROM ({ORACLES['heatmap_cells']})"
+
 QUERIES["heatmap_range"] = lambda spark, sf: charts.value_range(_heatmap(spark, sf))
 ORACLES["heatmap_range"] = (
     f"SELECT min(with_dmc_pct) AS vmin, max(with_dmc_pct) AS vmax FROM ({ORACLES['heatmap_cells']})"

@@ -20,6 +20,7 @@ from catalog.common import (
     sql_outcomes,
     sql_overall,
     sql_prevalence,
+    sql_round,
     sql_signals,
     table,
 )
@@ -227,3 +228,54 @@ def registry_report(spark, sf):
 ORACLES["registry_report"] = " UNION ALL ".join(
     f"SELECT {', '.join(_long(name, *columns))} FROM ({ORACLES[_SOURCES[name]]})" for name, columns in _LONG.items()
 )
+
+
+# Every number of the report. Counts and percentages alike become doubles.
+_CROSS = {
+    "without_yes": "NOT coalesce(has_dmc, false) AND coalesce(is_terminated_like, false)",
+    "without_no": "NOT coalesce(has_dmc, false) AND NOT coalesce(is_terminated_like, false)",
+    "with_yes": "coalesce(has_dmc, false) AND coalesce(is_terminated_like, false)",
+    "with_no": "coalesce(has_dmc, false) AND NOT coalesce(is_terminated_like, false)",
+}
+_RATIO = ["odds_ratio", "ci_low", "ci_high"]
+_NUMBERS = {
+    "metric_prevalence_overall": "total_trials with_dmc without_dmc with_dmc_pct",
+    **{name: "total with_dmc without_dmc with_dmc_pct" for name in _LONG if name.startswith("metric_prevalence_by_")},
+    "metric_oversight_gaps_phase34_industry_interventional": "total without_dmc without_dmc_pct",
+    "metric_outcomes_by_dmc": "total terminated_like completed terminated_like_pct",
+    "metric_whystopped_by_dmc": "n_with_text safety_hits futility_hits safety_rate_pct futility_rate_pct",
+    **{name: "total with_dmc with_dmc_pct" for name in _LONG if name.startswith("chart_")},
+    "model_crude_odds": " ".join([*_CROSS, *_RATIO]),
+}
+
+
+def _numbers(name):
+    label = _LONG[name][0] if name in _LONG else "'all'"
+    return [f"'{name}' AS table_name", f"{label} AS label", *(f"CAST({n} AS DOUBLE) AS {n}" for n in _NUMBERS[name].split())]
+
+
+@register
+def registry_report_numbers(spark, sf):
+    """All twelve tables of the one-pass report with all their numbers: table, label, measure, value; nulls left out."""
+    tables = report_tables(stored(record_cells(records(spark, sf)), "cells"))
+    assert set(tables) == set(_NUMBERS), "a table of the report is not compared"
+    tables["model_crude_odds"] = rounded(tables["model_crude_odds"], _RATIO)
+    long = [
+        tables[name].selectExpr(*_numbers(name)).unpivot(["table_name", "label"], _NUMBERS[name].split(), "measure", "value")
+        for name in _NUMBERS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), long).where("value IS NOT NULL")
+
+
+_LOG = "(ln(without_yes / without_no) - ln(with_yes / with_no))"
+_SE = "sqrt(1 / without_yes + 1 / without_no + 1 / with_yes + 1 / with_no)"
+_CRUDE = (
+    "SELECT *, "
+    + ", ".join(f"{sql_round(f'exp({_LOG} + {z} * {_SE})', 1_000_000)} AS {name}" for name, z in zip(_RATIO, (0.0, -odds.Z95, odds.Z95)))
+    + f" FROM (SELECT {', '.join(f'count(*) FILTER (WHERE {inside}) AS {name}' for name, inside in _CROSS.items())} FROM {RECORDS})"
+)
+ORACLES["registry_report_numbers"] = "SELECT table_name, label, measure, value FROM (" + " UNION ALL ".join(
+    f"SELECT table_name, label, measure, value FROM (UNPIVOT (SELECT {', '.join(_numbers(name))} FROM ({ORACLES[_SOURCES[name]] if name in _SOURCES else _CRUDE})) "
+    f"ON {', '.join(_NUMBERS[name].split())} INTO NAME measure VALUE value)"
+    for name in _NUMBERS
+) + ")"
