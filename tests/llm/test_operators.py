@@ -439,8 +439,13 @@ OPERATORS = {
 def test_odd_rows(spark, name):
     rows = documents(9, 12)
     clashing = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("Size", "rate", "evidence", "slot", "hit_mask", "n_words", "key")})
-    assert OPERATORS[name](spark, clashing).count() == len(rows)
-    assert OPERATORS[name](spark, spark.createDataFrame([], DOCS)).count() == 0
+    found = OPERATORS[name](spark, clashing).collect()
+    ids = Counter(r.doc_id for r in found)
+    assert len(found) == len(rows) and ids == Counter(r[0] for r in rows)
+    assert OPERATORS[name](spark, spark.createDataFrame([], DOCS)).collect() == []
+    # The columns that clash change nothing that the operator computes.
+    plain = OPERATORS[name](spark, spark.createDataFrame(rows, DOCS)).columns
+    assert set(plain) <= set(found[0].asDict())
 
 
 PAGES = {
@@ -455,8 +460,9 @@ def test_odd_pages(spark, name):
     schema = "page_id long, url string, html string"
     rows = [(1, "http://a.org/x", "<p>a"), (1, "http://a.org/x", "<p>a"), (None, None, None), (2, "no scheme", ""), (3, "http://a.org/y", "<p>" + "x " * 50_000)]
     extra = {c: F.lit(c) for c in ("Host", "text", "key", "gone", "found_key", "node", "digest", "archive", "position")}
-    assert PAGES[name](spark.createDataFrame(rows, schema).withColumns(extra)).count() == len(rows)
-    assert PAGES[name](spark.createDataFrame([], schema)).count() == 0
+    found = PAGES[name](spark.createDataFrame(rows, schema).withColumns(extra)).collect()
+    assert Counter(r.page_id for r in found) == Counter(r[0] for r in rows)
+    assert PAGES[name](spark.createDataFrame([], schema)).collect() == []
 
 
 def test_odd_vectors(spark):
