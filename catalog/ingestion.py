@@ -212,6 +212,19 @@ UNION ALL SELECT 'unreadable', count(*) FROM orders WHERE o_orderkey % 10 = 3
 """
 
 
+@register
+def page_cap_rows(spark, sf):
+    """The rows of the first 5,000 pages of a crawl."""
+    land_pages(table(spark, sf, "orders"), folder := shared_path(spark, "pages"))
+    return _comparable(ingest(spark, folder, max_pages=5000, multi_line=False, **WINDOW))
+
+
+ORACLES["page_cap_rows"] = f"""
+SELECT * EXCLUDE ({_HELPERS}) FROM ({_STUDIES}) WHERE o_orderkey <= 5000
+QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY o_orderkey, pos) = 1
+"""
+
+
 @register
 def repeated_runs(spark, sf):
     """Two batch runs over a growing folder; the second reads all pages and adds the studies not emitted before."""
