@@ -393,8 +393,8 @@ def scored(docs: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     Repeated rows train and are scored each. Without training documents both scores follow from the smoothing alone.
     A long text is a block of its own, of about 100 bytes of memory a word in one task.
 
-    The tree grows to contexts of ``depth`` words; with None, until a level retains no context, which shared passages put
-    off by as many levels as they have words. Counts of words and runs and all
+    The tree grows to contexts of ``depth`` words; with None, until a level retains no context, which can take many
+    levels, each a pass over all blocks. Counts of words and runs and all
     states are exact and stay distributed: a block of documents asks for those of its own runs and contexts. Nothing of the
     tree is gathered or broadcast. Runs jobs when called, one a level; each is written to the shared folder.
     """
