@@ -33,13 +33,14 @@ def _items(spark, sf):
         "l_linestatus = 'F' AS stopped",
         "l_linestatus = 'O' AS done",
         "l_linenumber",
+        "l_partkey",
         f"{_SIZE} AS size",
     )
 
 
 _ITEMS = (
     f"(SELECT {ITEM_FLAG} AS flag, nullif(l_linenumber, 7) AS line, l_linestatus = 'F' AS stopped, "
-    f"l_linestatus = 'O' AS done, l_linenumber, {_SIZE} AS size FROM lineitem)"
+    f"l_linestatus = 'O' AS done, l_linenumber, l_partkey, {_SIZE} AS size FROM lineitem)"
 )
 
 
@@ -132,3 +133,39 @@ ORACLES["adjusted_odds"] = sql_logit(
     _ITEMS, "l_linenumber", "l_linenumber", "flag", "stopped", {"size=small": "size = 'small'"}
 )
 ORACLES["adjusted_odds_one_factor"] = sql_logit(_ITEMS, "l_linenumber", "l_linenumber", "flag", "stopped", {})
+
+
+@register
+def adjusted_odds_many_levels(spark, sf):
+    """A factor with as many levels as there are parts, beside a small one."""
+    return rounded(odds.adjusted_odds(_items(spark, sf), ["l_partkey", "size"], "flag", "stopped"), ODDS_ESTIMATES)
+
+
+ORACLES["adjusted_odds_many_levels"] = sql_logit(
+    _ITEMS, "l_partkey", "l_partkey", "flag", "stopped", {"size=small": "size = 'small'"}
+)
+
+# An outcome that no record with the flag has: the plain fit has no finite estimate. With a flag alone, the penalised
+# estimates are those of counts with a half added to each cell.
+_ONE_SIDED = "stopped AND NOT coalesce(flag, false)"
+
+
+@register
+def penalised_odds(spark, sf):
+    items = _items(spark, sf).selectExpr("flag", f"{_ONE_SIDED} AS one_sided")
+    fitted = odds.adjusted_odds(items, [], "flag", "one_sided", penalised=True)
+    return rounded(fitted, ODDS_ESTIMATES[:2]).select("term", "coefficient", "std_error", "n")
+
+
+_HALVES = (
+    "SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, (y1 + 0.5::DOUBLE) / (n1 + 1) AS p1, (y0 + 0.5::DOUBLE) / (n0 + 1) AS p0 FROM ("
+    "SELECT count(*) FILTER (WHERE NOT coalesce(flag, false)) AS n1, count(*) FILTER (WHERE coalesce(flag, false)) AS n0, "
+    f"count(*) FILTER (WHERE {_ONE_SIDED}) AS y1, count(*) FILTER (WHERE coalesce(flag, false) AND {_ONE_SIDED}) AS y0 FROM {_ITEMS})"
+)
+ORACLES["penalised_odds"] = (
+    f"SELECT term, {sql_round('b', 1_000_000)} AS coefficient, {sql_round('e', 1_000_000)} AS std_error, "
+    "n FROM ("
+    "SELECT 'without_flag' AS term, ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) AS b, "
+    f"sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n0 * p0 * (1 - p0))) AS e, n1 + n0 AS n FROM ({_HALVES}) UNION ALL "
+    f"SELECT 'intercept', ln(p0 / (1 - p0)), sqrt(1 / (n0 * p0 * (1 - p0))), n1 + n0 FROM ({_HALVES}))"
+)

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.functions.labels import known
 from coverlens.functions.measures import count_rows, count_where
+from coverlens.operators import logit
 from coverlens.session import stored
 
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
-MAX_TERMS = 4096  # the solver's own limit, over all factors together
 
 
 def crude_odds(
@@ -55,15 +54,20 @@ def adjusted_odds(
     outcome: Column | str = "is_terminated_like",
     base: dict[str, str] | None = None,
     rows: str | None = None,
+    penalised: bool = False,
 ) -> DataFrame:
-    """Logistic regression of the outcome on the missing flag and the factors: one row per model term.
-
-    Records are first counted per combination of flag and factor levels; the model is then fitted on the
-    outcome's share in each combination, weighted by its count. The estimates are those of a fit on the
-    records, from a table whose size depends on the number of levels only. Levels become one sparse vector, so many of
-    them cost columns of the model and not of the plan. Counting and fitting run while this is called. A record without a level of some factor is
-    left out. The base level of a factor is its first in order unless ``base`` names another.
-    No penalty is applied; under separation the estimates are large or not finite and shown as they are.
+    """Logistic regression of the outcome on the missing flag and the factors: one row per model term, in the factors' order.
+
+    Records are first counted per combination of flag and factor levels; the estimates are those of a fit on the
+    records, from a table whose size depends on the number of combinations only. Counting and fitting run while this is
+    called. A record without a level of some factor is left out. The base level of a factor is its first in order unless
+    ``base`` names another, which must occur.
+
+    The factor with most levels may have any number of them: beyond a few million numbers they stay in tables. The levels of all other factors
+    together are terms that the driver solves for, at the square of their number.
+    ``penalised`` is Firth's fit, finite on separated cells too. Without it the estimates of separated
+    levels or terms are large, with large errors. Errors are NaN if a term follows from the others, such as
+    a flag that all records carry.
     """
     spark = df.sparkSession
     happened = F.coalesce(F.col(outcome) if isinstance(outcome, str) else outcome, F.lit(False))
@@ -75,45 +79,41 @@ def adjusted_odds(
         .where("n > 0")
     )
     counts = stored(counts, "odds-counts")
-    n = counts.agg(F.sum("n")).first()[0]
+    measures = [F.sum("n"), F.count(F.lit(1))]
+    for i in range(len(factors)):
+        measures += [F.count_distinct(f"f{i}"), F.min(f"f{i}")]
+    n, n_cells, *found = counts.agg(*measures).first()
     if not n:
         raise ValueError("No records with all factors.")
-    design = counts.withColumns(
-        {"label": F.col("n_happened") / F.col("n"), "weight": F.col("n").cast("double"), "x": F.col("without").cast("double")}
-    )
-    inputs, terms = ["x"], ["without_flag"]
+    first = [str((base or {}).get(f, found[2 * i + 1])) for i, f in enumerate(factors)]
+    wide = max(range(len(factors)), key=lambda i: found[2 * i], default=None)
+
+    places, terms = [(-1, "")], ["without_flag"]
+    numbers = [F.when(F.col("without"), F.lit(0))]
     for i, factor in enumerate(factors):
-        # Levels in order, the base one last: the encoder gives the last level no column of its own.
-        reference = (base or {}).get(factor, counts.agg(F.min(f"f{i}")).first()[0])
-        marked = F.concat(F.when(F.col(f"f{i}") == reference, "1").otherwise("0"), f"f{i}")
-        indexer = StringIndexer(inputCol=f"m{i}", outputCol=f"i{i}", stringOrderType="alphabetAsc")
-        indexed = indexer.fit(design.withColumn(f"m{i}", marked))
-        levels = [m[1:] for m in indexed.labels]
-        terms += [f"{factor}={level}" for level, mark in zip(levels, indexed.labels) if mark[0] == "0"]
-        if len(terms) > MAX_TERMS:
-            raise ValueError(f"The factors have more than {MAX_TERMS} levels together, the most that the solver takes.")
-        if len(levels) > 1 or indexed.labels[0][0] == "0":
-            drop_base = indexed.labels[-1][0] == "1"
-            design = indexed.transform(design.withColumn(f"m{i}", marked))
-            encoder = OneHotEncoder(inputCol=f"i{i}", outputCol=f"v{i}", dropLast=drop_base)
-            design = encoder.fit(design).transform(design)
-            inputs.append(f"v{i}")
-    table = VectorAssembler(inputCols=inputs, outputCol="features").transform(design).select("label", "weight", "features")
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-12
-    ).fit(table)
-    estimates = [float(b) for b in model.coefficients] + [float(model.intercept)]
-    try:
-        errors = [float(e) for e in model.summary.coefficientStandardErrors]
-    except Exception as error:
-        # Separation leaves no closed-form solution and so no standard errors; any other failure is one.
-        if "Std. Error" not in str(error) and "standard error" not in str(error).lower():
-            raise
-        errors = [float("nan")] * len(estimates)
-    fitted = spark.createDataFrame(
-        list(zip([*terms, "intercept"], estimates, errors)), "term string, coefficient double, std_error double"
+        if i == wide:
+            continue
+        levels = [r[0] for r in counts.select(f"f{i}").distinct().orderBy(f"f{i}").collect()]
+        _require_level(factor, first[i], first[i] in levels)
+        levels.remove(first[i])
+        at = F.array_position(logit.constant(levels, "array<string>"), F.col(f"f{i}")).cast("int")
+        numbers.append(F.when(at > 0, at + (len(terms) - 1)))
+        places += [(i, level) for level in levels]
+        terms += [f"{factor}={level}" for level in levels]
+    cells = counts.select(
+        (F.lit("") if wide is None else F.col(f"f{wide}")).alias("level"),
+        F.array_sort(F.array_compact(F.array(*numbers))).alias("terms"),
+        F.col("n").cast("double").alias("n"),
+        F.col("n_happened").cast("double").alias("y"),
     )
-    return fitted.select(
+    model = logit.fit(cells, len(terms), penalised, n_cells)
+    reference = "" if wide is None else first[wide]
+    base_level = model.levels.where(F.col("level") == reference).first()
+    _require_level("" if wide is None else factors[wide], reference, base_level is not None)
+    fitted = _own_terms(model, base_level, [*places, (len(factors), "")], [*terms, "intercept"], spark)
+    if wide is not None:
+        fitted = fitted.union(_level_terms(model, base_level, wide, factors[wide]))
+    return fitted.orderBy("place", "level").select(
         "term",
         "coefficient",
         "std_error",
@@ -122,3 +122,45 @@ def adjusted_odds(
         F.exp(F.col("coefficient") + Z95 * F.col("std_error")).alias("ci_high"),
         F.lit(n).cast("bigint").alias("n"),
     )
+
+
+def _require_level(factor: str, level: str, found: bool) -> None:
+    if not found:
+        raise ValueError(f"{factor} has no records of the base level {level}.")
+
+
+def _row_of(level, terms: int) -> np.ndarray:
+    """A level's row of the information matrix as shares of its own entry."""
+    row = np.zeros(terms)
+    for entry in level.entries:
+        row[entry.term] = entry.w / level.d
+    return row
+
+
+def _own_terms(model: logit.Fit, base_level, places, terms, spark) -> DataFrame:
+    """The flag, the levels of all factors but the widest, and the intercept, which is the base level's."""
+    u = _row_of(base_level, len(model.slopes))
+    variances = [*np.diag(model.inverse), 1 / base_level.d + u @ model.inverse @ u]
+    errors = np.sqrt(variances) if model.identified else np.full(len(variances), np.nan)
+    estimates = [*model.slopes, base_level.alpha]
+    rows = [(*at, term, float(b), float(e)) for at, term, b, e in zip(places, terms, estimates, errors)]
+    return spark.createDataFrame(rows, "place int, level string, term string, coefficient double, std_error double")
+
+
+def _level_terms(model: logit.Fit, base_level, place: int, factor: str) -> DataFrame:
+    """The widest factor's levels against its base level."""
+    u = _row_of(base_level, len(model.slopes))
+    inverse, across = logit.constant(model.inverse.tolist(), "array<array<double>>"), logit.constant((model.inverse @ u).tolist())
+
+    def over(each):
+        return F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"] * each(e["term"])) / F.col("d")
+
+    own = over(lambda t: over(lambda v: F.get(F.get(inverse, t), v)))
+    variance = 1 / F.col("d") + own - 2 * over(lambda t: F.get(across, t)) + float(1 / base_level.d + u @ model.inverse @ u)
+    return model.levels.where(F.col("level") != base_level.level).select(
+        F.lit(place).alias("place"),
+        "level",
+        F.concat(F.lit(f"{factor}="), "level").alias("term"),
+        (F.col("alpha") - base_level.alpha).alias("coefficient"),
+        (F.sqrt(variance) if model.identified else F.lit(float("nan"))).alias("std_error"),
+    )

@@ -177,6 +177,60 @@ def test_adjusted_odds_with_many_levels(spark):
     assert len(terms) == 301 and terms[0] == "without_flag" and terms[1] == "level=1" and terms[-1] == "intercept"
 
 
+def firth(design, outcome):
+    """Penalised logistic regression on single records, from the full information matrix."""
+    beta = np.zeros(design.shape[1])
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-design @ beta))
+        w = p * (1 - p)
+        inverse = np.linalg.inv(design.T @ (design * w[:, None]))
+        leverage = w * ((design @ inverse) * design).sum(1)
+        beta = beta + inverse @ design.T @ (outcome - p + leverage * (0.5 - p))
+    return beta, np.sqrt(np.diag(inverse))
+
+
+@pytest.mark.parametrize("small", [0, odds.logit.SMALL])
+@pytest.mark.parametrize("penalised", [False, True])
+def test_levels_in_tables_and_on_the_driver(spark, monkeypatch, small, penalised):
+    rng = random.Random(8)
+    data = [(rng.randrange(6), rng.choice("abc"), rng.random() < 0.5, rng.random()) for _ in range(900)]
+    data = [(f"L{level}", kind, flag, u < 0.3 + 0.05 * level + 0.1 * (kind == "b")) for level, kind, flag, u in data]
+    if penalised:  # a separated level, and one that always has the outcome
+        data += [("L8", "a", i % 2 == 0, False) for i in range(9)] + [("L9", "b", i % 3 == 0, True) for i in range(7)]
+    df = frame(spark, data, "level string, kind string, has_dmc boolean, is_terminated_like boolean")
+    levels = sorted({x[0] for x in data})[1:]
+    design = np.array([[not f, *(a == v for v in levels), k == "b", k == "c", 1] for a, k, f, _ in data], dtype=float)
+    beta, errors = (firth if penalised else newton)(design, np.array([x[3] for x in data], dtype=float))
+    fit = odds.logit.fit
+    monkeypatch.setattr(odds.logit, "fit", lambda *args: fit(*args, small=small))
+    fitted = odds.adjusted_odds(df, ["level", "kind"], penalised=penalised).collect()
+    assert [r.term for r in fitted] == ["without_flag", *(f"level={v}" for v in levels), "kind=b", "kind=c", "intercept"]
+    assert [r.coefficient for r in fitted] == pytest.approx(beta, rel=1e-6, abs=1e-8)
+    assert [r.std_error for r in fitted] == pytest.approx(errors, rel=1e-6)
+
+
+def test_flag_that_all_records_carry_and_absent_base(spark):
+    df = frame(spark, [("a", True, True), ("a", True, False), ("b", True, False)], "level string, has_dmc boolean, is_terminated_like boolean")
+    assert all(math.isnan(r.std_error) for r in odds.adjusted_odds(df, ["level"]).collect())
+    with pytest.raises(ValueError, match="base level"):
+        odds.adjusted_odds(df, ["level"], base={"level": "c"})
+
+
+def test_hundred_thousand_levels(spark):
+    df = spark.range(3_000_000).selectExpr(
+        "id % 100000 AS level", "id % 7 < 3 AS has_dmc", "pmod(xxhash64(id), 10) < IF(id % 7 < 3, 3, 5) AS is_terminated_like"
+    )
+    fit = odds.logit.fit(
+        df.selectExpr("CAST(level AS STRING) AS level", "IF(has_dmc, array(), array(0)) AS terms", "is_terminated_like AS y")
+        .groupBy("level", "terms")
+        .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("y").cast("double")).alias("y")),
+        1,
+    )
+    # Odds of 1 against 3/7; one intercept per 30 records adds the bias that such a model is known for.
+    assert 0.8 < fit.slopes[0] < 0.92
+    assert fit.levels.count() == 100_000 and fit.levels.where("isnan(alpha) OR abs(alpha) > 10").isEmpty()
+
+
 def test_python_and_numpy_rounding(spark, column):
     values = [1 / 4000 * 100, 3 / 4000 * 100, 0.0, 100.0, 12.345, 0.125, 0.375, 1.005, 2.675, 33.33499999999999]
     expected = [round(v, 2) for v in values]
