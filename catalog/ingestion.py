@@ -156,6 +156,43 @@ WHERE nct_id NOT IN (SELECT {_DAY_ID} FROM orders WHERE year(o_orderdate) = 1996
 """
 
 
+# Every page has one study too many, which has a text or a list where an object belongs; none for every third order.
+_BAD_STUDY = """CASE o_orderkey % 5 WHEN 0 THEN parse_json('"no study"') WHEN 1 THEN parse_json('{"protocolSection":[1]}')
+    WHEN 2 THEN parse_json('{"protocolSection":{"identificationModule":{"nctId":"X1"},"statusModule":"done"}}')
+    WHEN 3 THEN parse_json('{"protocolSection":{"identificationModule":{"nctId":["X2"]},"statusModule":{"startDateStruct":2}}}')
+    ELSE parse_json('{"protocolSection":{"identificationModule":"X3","designModule":7}}') END"""
+_FAULTS = """CASE o_orderkey % 5 WHEN 0 THEN 'study' WHEN 1 THEN 'protocolSection' WHEN 2 THEN 'protocolSection.statusModule'
+    WHEN 3 THEN 'protocolSection.statusModule.startDateStruct|protocolSection.identificationModule.nctId'
+    ELSE 'protocolSection.identificationModule|protocolSection.designModule' END"""
+
+
+def _land_with_bad_studies(orders, folder):
+    sound = f"array(parse_json(to_json({_study(_CUSTOMER_ID)})), parse_json(to_json({_study(_DAY_ID)})))"
+    pages = orders.selectExpr(
+        "o_orderkey AS pageNo", f"CASE WHEN o_orderkey % 3 = 0 THEN {sound} ELSE concat(array({_BAD_STUDY}), {sound}) END AS studies"
+    )
+    pages.select(F.to_json(F.struct("pageNo", "studies")).alias("value")).write.mode("append").text(folder)
+
+
+@register
+def study_rejects(spark, sf):
+    """Rejected studies by order, and the studies beside them, all of which are ingested."""
+    folder, rejects = shared_path(spark, "pages"), shared_path(spark, "rejects")
+    _land_with_bad_studies(table(spark, sf, "orders"), folder)
+    kept = ingest(spark, folder, multi_line=False, rejects=rejects, **WINDOW)
+    bad = spark.read.parquet(rejects).select(
+        "page_no", F.col("pos").cast("bigint").alias("pos"), F.array_join("faults", "|").alias("what")
+    )
+    whole = kept.select(F.lit(None).cast("bigint").alias("page_no"), F.lit(None).cast("bigint").alias("pos"), F.col("nct_id").alias("what"))
+    return bad.unionByName(whole)
+
+
+ORACLES["study_rejects"] = f"""
+SELECT o_orderkey AS page_no, 0::BIGINT AS pos, {_FAULTS} AS what FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT DISTINCT NULL::BIGINT, NULL::BIGINT, nct_id FROM ({_STUDIES})
+"""
+
+
 @register
 def incremental_ingest(spark, sf):
     """Orders land in three drops by year; the stream is restarted after each and emits new studies only."""

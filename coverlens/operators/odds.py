@@ -108,7 +108,7 @@ def adjusted_odds(
     )
     model = logit.fit(cells, len(terms), penalised, n_cells)
     reference = "" if wide is None else first[wide]
-    base_level = model.levels.where(F.col("level") == reference).first()
+    base_level = next(iter(model.levels.where(F.col("level") == reference).collect()), None)
     _require_level("" if wide is None else factors[wide], reference, base_level is not None)
     fitted = _own_terms(model, base_level, [*places, (len(factors), "")], [*terms, "intercept"], spark)
     if wide is not None:

@@ -12,7 +12,7 @@ from coverlens.functions.dates import within
 from coverlens.functions.labels import Rules, has_status
 from coverlens.operators.dedupe import first_wins, unseen_only
 from coverlens.session import stored
-from coverlens.sources.pages import pick_studies, read_pages, readable_pages, unreadable_pages, with_derived
+from coverlens.sources.pages import pick_studies, read_pages, readable_pages, rejected, with_derived
 from coverlens.sources.seen import SeenIds
 from coverlens.sources.tidy import read_tidy, write_tidy
 
@@ -40,13 +40,14 @@ def ingest(
     """The tidy table of the pages under ``path``: eligible, first arrival per ID, none of the seen IDs.
 
     Filters come before de-duplication, so a rejected version of a study does not hide a later one;
-    classification comes after it, on the rows that stay. A page that cannot be read fails the job; with a path for
-    ``rejects`` such pages are written there instead, when this is called.
+    classification comes after it, on the rows that stay. A page or a study that cannot be read fails the job; with a path
+    for ``rejects`` it is left out and written there instead (:func:`rejected`), when this is called.
     """
     pages = read_pages(spark, path, max_pages, multi_line)
     if rejects:
-        unreadable_pages(pages).write.mode("overwrite").parquet(rejects)
-    studies = eligible(pick_studies(readable_pages(pages, skip_unreadable=rejects is not None)), **window)
+        rejected(pages).write.mode("overwrite").parquet(rejects)
+    skip = rejects is not None
+    studies = eligible(pick_studies(readable_pages(pages, skip), skip), **window)
     fresh = first_wins(studies, "nct_id", schema.ARRIVAL)
     if seen is not None:
         fresh = unseen_only(fresh, seen)

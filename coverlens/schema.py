@@ -2,25 +2,30 @@
 
 from coverlens.functions import vocab
 
-# The paths kept from a landed study document. Fields that arrive either as a scalar or as a list, and
-# the flag (boolean or text), are read as VARIANT so that neither form nulls the record.
+# A landed page. Each study is a VARIANT, so that one of an unexpected form costs itself and not its page, and fields that
+# arrive either as a scalar or as a list, and the flag (boolean or text), may have either form.
 PAGE = """
     pageNo bigint,
-    studies array<struct<protocolSection: struct<
-        identificationModule: struct<nctId: string>,
-        oversightModule: struct<oversightHasDmc: variant>,
-        designModule: struct<studyType: string, phases: variant>,
-        sponsorCollaboratorsModule: struct<leadSponsor: struct<class: string>>,
-        statusModule: struct<
-            overallStatus: string,
-            whyStopped: string,
-            startDateStruct: struct<date: string>,
-            primaryCompletionDateStruct: struct<date: string>>,
-        conditionsModule: struct<conditions: variant>>>>,
+    studies array<variant>,
     nextPageToken string,
     _corrupt_record string
 """
 
+# The objects of a study that hold the fields kept, and the paths of the plain texts among these.
+OBJECTS = [
+    "protocolSection",
+    "protocolSection.identificationModule",
+    "protocolSection.oversightModule",
+    "protocolSection.designModule",
+    "protocolSection.sponsorCollaboratorsModule",
+    "protocolSection.sponsorCollaboratorsModule.leadSponsor",
+    "protocolSection.statusModule",
+    "protocolSection.statusModule.startDateStruct",
+    "protocolSection.statusModule.primaryCompletionDateStruct",
+    "protocolSection.conditionsModule",
+]
+STUDY_ID = "protocolSection.identificationModule.nctId"
+
 # One row per study: the columns that come from the page itself, and all of them.
 PICKED = """
     nct_id string, has_dmc boolean, phase string, study_type string, sponsor_class string,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlens import schema
 from coverlens.functions import vocab
 from coverlens.functions.dates import year_of
 from coverlens.functions.labels import Rules, area_of, parse_flag, phase_of_code, phase_of_codes
-from coverlens.functions.nested import variant_list, variant_text
+from coverlens.functions.nested import variant_is_object, variant_list, variant_text
 from coverlens.functions.text import joined_lower
 from coverlens.sources.contracts import require_path
 
@@ -74,27 +74,62 @@ def readable_pages(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame
     return pages.withColumn("studies", F.when(unreadable, failed).otherwise(F.col("studies")))
 
 
-def pick_studies(pages: DataFrame) -> DataFrame:
-    """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``)."""
-    studies = pages.select("page_no", "page_file", F.posexplode("studies").alias("pos", "study")).select(
-        "page_no", "page_file", "pos", F.col("study.protocolSection").alias("s")
+def _study_faults() -> Column:
+    """Paths where a study has a scalar or a list instead of an object, or an ID that is no scalar; empty for a sound one."""
+    study = F.col("study")
+    whole = F.when(variant_is_object(study), None).when(variant_text(study).isNotNull(), F.lit("study"))
+    parts = [
+        F.when(variant_is_object(study, path), None).when(variant_text(study, path).isNotNull(), F.lit(path))
+        for path in schema.OBJECTS
+    ]
+    key = F.when(variant_text(study, schema.STUDY_ID).substr(1, 1).isin("{", "["), F.lit(schema.STUDY_ID))
+    return F.array_compact(F.array(whole, *parts, key))
+
+
+def rejected(pages: DataFrame) -> DataFrame:
+    """What of the pages cannot be read, in one scan: whole pages (``pos`` is null) and single studies with the paths at fault."""
+    studies = pages.select("page_no", "page_file", "_corrupt_record", F.col("studies").isNull().alias("bare"), F.posexplode_outer("studies").alias("pos", "study"))
+    broken = F.col("bare") & F.col("_corrupt_record").isNotNull()
+    found = studies.withColumn("faults", F.when(broken, F.array(F.lit("page"))).otherwise(_study_faults()))
+    return found.where("size(faults) > 0").select(
+        "page_no", "page_file", "pos", "faults", F.when(broken, F.col("_corrupt_record")).otherwise(variant_text("study")).alias("record")
     )
-    phases = F.col("s.designModule.phases")
-    phase_list = F.try_variant_get(phases, "$", "array<string>")
+
+
+def pick_studies(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame:
+    """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``).
+
+    A study in which a part is no object, or the ID no scalar, fails the job; ``skip_unreadable`` leaves it out alone, and the
+    caller keeps :func:`rejected`.
+    """
+    studies = pages.select("page_no", "page_file", F.posexplode("studies").alias("pos", "study"))
+    study, sound = F.col("study"), F.size(_study_faults()) == 0
+    nct_id = variant_text(study, schema.STUDY_ID)
+    if skip_unreadable:
+        nct_id = F.when(sound, nct_id)
+    else:
+        failed = F.raise_error(F.concat(F.lit("A study cannot be read: "), "page_file", F.lit(", place "), F.col("pos").cast("string")))
+        nct_id = F.when(sound, nct_id).otherwise(failed.cast("string"))
+
+    def part(path: str) -> Column:
+        return variant_text(study, f"protocolSection.{path}")
+
+    phases = "protocolSection.designModule.phases"
+    phase_list = F.try_variant_get(study, f"$.{phases}", "array<string>")
     return studies.select(
         *schema.ARRIVAL,
-        F.col("s.identificationModule.nctId").alias("nct_id"),
-        parse_flag(variant_text("s.oversightModule.oversightHasDmc")).alias("has_dmc"),
+        nct_id.alias("nct_id"),
+        parse_flag(part("oversightModule.oversightHasDmc")).alias("has_dmc"),
         F.when(phase_list.isNotNull(), phase_of_codes(phase_list))
-        .otherwise(phase_of_code(variant_text(phases)))
+        .otherwise(phase_of_code(variant_text(study, phases)))
         .alias("phase"),
-        F.col("s.designModule.studyType").alias("study_type"),
-        F.col("s.sponsorCollaboratorsModule.leadSponsor.class").alias("sponsor_class"),
-        F.upper("s.statusModule.overallStatus").alias("overall_status"),
-        F.col("s.statusModule.whyStopped").alias("why_stopped"),
-        F.col("s.statusModule.startDateStruct.date").alias("start_date"),
-        F.col("s.statusModule.primaryCompletionDateStruct.date").alias("primary_completion_date"),
-        variant_list("s.conditionsModule.conditions").alias("conditions"),
+        part("designModule.studyType").alias("study_type"),
+        part("sponsorCollaboratorsModule.leadSponsor.class").alias("sponsor_class"),
+        F.upper(part("statusModule.overallStatus")).alias("overall_status"),
+        part("statusModule.whyStopped").alias("why_stopped"),
+        part("statusModule.startDateStruct.date").alias("start_date"),
+        part("statusModule.primaryCompletionDateStruct.date").alias("primary_completion_date"),
+        variant_list(study, "protocolSection.conditionsModule.conditions").alias("conditions"),
     ).where("nct_id <> ''")
 
 

@@ -86,10 +86,10 @@ def start_incremental(
     skip_unreadable: bool = False,
     **window,
 ) -> StreamingQuery:
-    """Processes all pages landed since the last run under this checkpoint, then stops. A page that cannot be read fails
-    the run, unless told to skip such pages."""
+    """Processes all pages landed since the last run under this checkpoint, then stops. A page or study that
+    cannot be read fails the run, unless told to skip such."""
     pages = stream_pages(spark, landing, max_files_per_trigger, multi_line)
-    studies = eligible(pick_studies(readable_pages(pages, skip_unreadable)), **window)
+    studies = eligible(pick_studies(readable_pages(pages, skip_unreadable), skip_unreadable), **window)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         add_batch(batch, batch_id, out.rstrip("/"), _stream_of(batch.sparkSession, checkpoint), rules)

@@ -170,6 +170,27 @@ def test_unreadable_pages_fail_or_are_kept(spark, tmp_path):
     assert [r.page_no for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
 
 
+def test_badly_typed_studies_cost_themselves(spark, tmp_path):
+    bad = [study("B", designModule="x"), "text", [1], study({"a": 1}), study("C", sponsorCollaboratorsModule={"leadSponsor": ["y"]})]
+    land(tmp_path / "in", 1, [study("A", True), *bad, None, study("D", designModule=None)])
+    with pytest.raises(Exception, match="A study cannot be read: .*page-00001.json, place"):
+        ingest(spark, str(tmp_path / "in")).count()
+    assert ids(ingest(spark, str(tmp_path / "in"), rejects=str(tmp_path / "bad"))) == ["A", "D"]
+    found = spark.read.parquet(str(tmp_path / "bad")).orderBy("pos")
+    top = "protocolSection."
+    assert rows(found.select("page_no", "pos", "faults")) == [
+        (1, 1, [top + "designModule"]),
+        (1, 2, ["study"]),
+        (1, 3, ["study"]),
+        (1, 4, [top + "identificationModule.nctId"]),
+        (1, 5, [top + "sponsorCollaboratorsModule.leadSponsor"]),
+    ]
+    assert found.first().record.startswith('{"hasResults":false')
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    emitted = run_incremental(spark, landing, out, str(tmp_path / "c"), skip_unreadable=True)
+    assert ids(emitted) == ["A", "D"]
+
+
 def test_page_numbers(spark, tmp_path):
     for name, opener in (("page-00001.json.bz2", bz2.open), ("page-00002.json.gz", gzip.open)):
         with opener(tmp_path / name, "wt") as f:
