@@ -61,6 +61,7 @@ def constant(values: list, kind: str = "array<double>") -> Column:
 def _sums(cells: DataFrame, levels: DataFrame, slopes: np.ndarray, inverse: np.ndarray | None = None) -> DataFrame:
     """Information, score and likelihood, summed per level and pair of terms (-1: the level's own intercept).
 
+    The score is taken from counts, which are exact, and fitted sums: levels that agree in these get the same bits.
     With the inverse of the information at this very point, and ``levels`` with their rows of it, the score is the penalised one.
     """
     beta = constant(slopes.tolist())
@@ -73,13 +74,15 @@ def _sums(cells: DataFrame, levels: DataFrame, slopes: np.ndarray, inverse: np.n
     else:
         levels = levels.select("level", "alpha")
     eta = F.col("alpha") + F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.get(beta, t))
-    scored = cells.join(levels, "level").withColumn("eta", eta)
+    scored = cells.join(levels, "level").select("*", F.inline("cells")).drop("cells").withColumn("eta", eta)
     scored = scored.withColumns({"mu": 1 / (1 + F.exp(-F.col("eta"))), "nu": 1 / (1 + F.exp("eta"))})
     missed = F.col("n") - F.col("y")
     scored = scored.withColumns(
         {
             "w": F.col("n") * F.col("mu") * F.col("nu"),
-            "r": F.col("y") * F.col("nu") - missed * F.col("mu"),
+            "hit": F.col("n") * F.col("mu"),
+            "miss": F.col("n") * F.col("nu"),
+            "added": F.lit(0.0),
             "ll": -F.col("y") * F.log1p(F.exp(-F.col("eta"))) - missed * F.log1p(F.exp("eta")),
         }
     )
@@ -90,7 +93,7 @@ def _sums(cells: DataFrame, levels: DataFrame, slopes: np.ndarray, inverse: np.n
             lambda s, t: s + F.aggregate("terms", F.lit(0.0), lambda z, u: z + F.get(F.get(cov, t), u)) - 2 * F.get("vu", t),
         )
         leverage = F.col("w") * (1 / F.col("d") + own + F.col("q"))
-        scored = scored.withColumn("r", F.col("r") + leverage * (F.col("nu") - F.col("mu")) / 2)
+        scored = scored.withColumn("added", leverage * (F.col("nu") - F.col("mu")) / 2)
     places = F.concat(F.array(F.lit(-1)), F.col("terms"))
     pairs = F.flatten(
         F.transform(
@@ -98,10 +101,13 @@ def _sums(cells: DataFrame, levels: DataFrame, slopes: np.ndarray, inverse: np.n
             lambda i: F.transform(F.filter(places, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j"))),
         )
     )
-    each = scored.select("level", "alpha", "w", "r", "ll", F.explode(pairs).alias("at"))
-    each = each.select("level", "alpha", "w", "r", "ll", "at.i", "at.j")
-    sums = each.groupBy("level", "i", "j").agg(F.max("alpha").alias("alpha"), *[F.sum(x).alias(x) for x in ("w", "r", "ll")])
-    return stored(sums, "logit-sums")
+    measures = ["n", "y", "hit", "miss", "added", "w", "ll"]
+    each = scored.select("level", "alpha", *measures, F.explode(pairs).alias("at"))
+    each = each.select("level", "alpha", *measures, "at.i", "at.j")
+    sums = each.groupBy("level", "i", "j").agg(F.max("alpha").alias("alpha"), *[F.sum(x).alias(x) for x in measures])
+    # Of the two forms, the one whose terms are small where nearly all or nearly none have the outcome.
+    score = F.when(2 * F.col("hit") > F.col("n"), F.col("miss") - missed).otherwise(F.col("y") - F.col("hit")) + F.col("added")
+    return stored(sums.select("level", "i", "j", "alpha", "w", score.alias("r"), "ll"), "logit-sums")
 
 
 def _state(sums: DataFrame, slopes: np.ndarray, penalised: bool) -> _State:
@@ -114,7 +120,7 @@ def _state(sums: DataFrame, slopes: np.ndarray, penalised: bool) -> _State:
             F.max(F.when(itself, F.col("w"))).alias("d"),
             F.max(F.when(itself, F.col("r"))).alias("g"),
             F.max(F.when(itself, F.col("ll"))).alias("ll"),
-            F.collect_list(F.when(~itself, term)).alias("entries"),
+            F.array_sort(F.collect_list(F.when(~itself, term))).alias("entries"),
         )
     )
     nothing = F.lit(0.0)
@@ -166,10 +172,14 @@ def _solved(matrix, score, size, log_d, own, likelihood, penalised):
 
 
 class _Counted:
-    """Cells on the driver: the same sums and steps as those of the tables."""
+    """Cells on the driver: the same sums and steps as those of the tables.
+
+    Sums run in the order of levels and terms, and rows are multiplied one by one: levels that agree get the same bits.
+    """
 
     def __init__(self, cells: DataFrame, terms: int):
         self.spark, rows = cells.sparkSession, cells.select("level", "terms", "n", "y").collect()
+        rows.sort(key=lambda r: (r.level, r.terms))
         self.names = sorted({r.level for r in rows})
         at = {level: i for i, level in enumerate(self.names)}
         self.level = np.array([at[r.level] for r in rows])
@@ -187,8 +197,10 @@ class _Counted:
 
     def state(self, levels, slopes, penalised) -> _CountedState:
         alpha = levels[0]
-        eta = alpha[self.level] + self.x @ slopes
+        eta = alpha[self.level] + (self.x * slopes).sum(1)
         mu, nu = 1 / (1 + np.exp(-eta)), 1 / (1 + np.exp(eta))
+        n, y, hit, miss = map(self.per_level, (self.n, self.y, self.n * mu, self.n * nu))
+        own = np.where(2 * hit > n, miss - (n - y), y - hit)
         w, r = self.n * mu * nu, self.y * nu - (self.n - self.y) * mu
         likelihood = -(self.y * np.log1p(np.exp(-eta)) + (self.n - self.y) * np.log1p(np.exp(eta))).sum()
         d = self.per_level(w)
@@ -196,15 +208,15 @@ class _Counted:
         raw = self.x.T @ (w[:, None] * self.x)
         matrix = raw - carried.T @ (carried / d[:, None])
 
-        def solved(r):
-            g = self.per_level(r)
+        def solved(r, g):
             score = self.x.T @ r - carried.T @ (g / d)
             return *_solved(matrix, score, np.diag(raw), np.log(d).sum(), (g * g / d).sum(), likelihood, penalised), g
 
-        found = solved(r)
+        found = solved(r, own)
         if penalised:
             apart = self.x - (carried / d[:, None])[self.level]
-            found = solved(r + w * (1 / d[self.level] + ((apart @ found[0]) * apart).sum(1)) * (nu - mu) / 2)
+            added = w * (1 / d[self.level] + ((apart @ found[0]) * apart).sum(1)) * (nu - mu) / 2
+            found = solved(r + added, own + self.per_level(added))
         return _CountedState((alpha, d, carried), slopes, *found)
 
     def table(self, levels) -> DataFrame:
@@ -223,7 +235,7 @@ class _CountedState(_State):
 
     def moved(self, share: float = 1.0):
         alpha, d, carried = self.levels
-        return (alpha + share * (self.g - carried @ self.step) / d, d, carried), self.slopes + share * self.step
+        return (alpha + share * (self.g - (carried * self.step).sum(1)) / d, d, carried), self.slopes + share * self.step
 
 
 def fit(cells: DataFrame, terms: int, penalised: bool = False, n_cells: int | None = None, small: int = SMALL) -> Fit:
@@ -239,8 +251,9 @@ def fit(cells: DataFrame, terms: int, penalised: bool = False, n_cells: int | No
         counted = _Counted(cells, terms)
         levels, *rest = _steps(counted.state, counted.start(), terms, penalised)
         return Fit(counted.table(levels), *rest)
-    cells = stored(cells, "logit-cells")
     totals = cells.groupBy("level").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    # A level's cells in one row, in order, so that its sums do not depend on how rows arrive.
+    cells = stored(cells.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("terms", "n", "y"))).alias("cells")), "logit-cells")
     start = F.ln((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5))
 
     def state(levels, slopes, penalised):

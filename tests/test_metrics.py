@@ -1,5 +1,6 @@
 """Edges of the metrics: empty input, ties, missing groups, missing values."""
 
+import itertools
 import math
 import random
 
@@ -209,6 +210,24 @@ def test_levels_in_tables_and_on_the_driver(spark, monkeypatch, small, penalised
     assert [r.std_error for r in fitted] == pytest.approx(errors, rel=1e-6)
 
 
+@pytest.mark.parametrize("small", [0, odds.logit.SMALL])
+def test_levels_with_equal_counts_get_equal_estimates(spark, monkeypatch, small):
+    """Levels that differ only in which cells the outcomes fall into have the same sufficient statistics."""
+    records = {(kind, flag): 6 + i for i, (kind, flag) in enumerate((k, f) for k in "ab" for f in (False, True))}
+    shares = [x for x in itertools.product(range(2, 6), repeat=4) if sum(x) == 15][:24]
+    data = [
+        (f"L{i:02d}", kind, flag, place < hits)
+        for i, share in enumerate(shares)
+        for ((kind, flag), n), hits in zip(records.items(), share)
+        for place in range(n)
+    ]
+    df = frame(spark, data, "level string, kind string, has_dmc boolean, is_terminated_like boolean")
+    fit = odds.logit.fit
+    monkeypatch.setattr(odds.logit, "fit", lambda *args: fit(*args, small=small))
+    fitted = odds.adjusted_odds(df, ["level", "kind"]).where("term LIKE 'level=%'").collect()
+    assert len(fitted) == 23 and {repr(r.coefficient) for r in fitted} == {"0.0"} and len({r.std_error for r in fitted}) == 1
+
+
 def test_flag_that_all_records_carry_and_absent_base(spark):
     df = frame(spark, [("a", True, True), ("a", True, False), ("b", True, False)], "level string, has_dmc boolean, is_terminated_like boolean")
     assert all(math.isnan(r.std_error) for r in odds.adjusted_odds(df, ["level"]).collect())
