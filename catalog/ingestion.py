@@ -230,13 +230,15 @@ QUALIFY row_number() OVER (PARTITION BY nct_id ORDER BY year(o_orderdate) >= 199
 
 @register
 def page_cap(spark, sf):
-    """The first pages of a crawl; one page in ten cannot be read and goes to the rejects."""
+    """The first pages of a crawl; one page in ten cannot be read and goes to the rejects.
+
+    Pages are landed once, the readable ones apart: an unreadable page has no number and could not be capped."""
     folder, rejects = shared_path(spark, "pages"), shared_path(spark, "rejects")
+    good, broken = f"{folder}/crawl=readable", f"{folder}/crawl=broken"
     orders = table(spark, sf, "orders")
-    land_pages(orders.where("o_orderkey % 10 <> 3"), folder)
-    orders.where("o_orderkey % 10 = 3").selectExpr("concat('{\"pageNo\": ', o_orderkey, ', \"studies\": [ {bad') AS value").write.mode("append").text(folder)
+    land_pages(orders.where("o_orderkey % 10 <> 3"), good)
+    orders.where("o_orderkey % 10 = 3").selectExpr("concat('{\"pageNo\": ', o_orderkey, ', \"studies\": [ {bad') AS value").write.mode("append").text(broken)
     whole = ingest(spark, folder, multi_line=False, rejects=rejects, **WINDOW)
-    land_pages(orders.where("o_orderkey % 10 <> 3"), good := shared_path(spark, "good-pages"))
     capped = ingest(spark, good, max_pages=5000, multi_line=False, **WINDOW)
     counted = [df.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for df, what in ((whole, "whole"), (capped, "capped"), (spark.read.parquet(rejects), "unreadable"))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
