@@ -113,10 +113,13 @@ def _study(key):
         'conditionsModule', named_struct('conditions', parse_json({_CONDITIONS_JSON}))))"""
 
 
-def land_pages(orders, folder):
-    """Writes one JSON page per order and line."""
-    pages = orders.selectExpr("o_orderkey AS pageNo", f"array({_study(_CUSTOMER_ID)}, {_study(_DAY_ID)}) AS studies")
-    pages.select(F.to_json(F.struct("pageNo", "studies")).alias("value")).write.mode("append").text(folder)
+def land_pages(orders, folder, before="CAST(NULL AS STRING)"):
+    """Writes one JSON page per order and line; ``before`` is SQL for the JSON of one more study, put first, or null."""
+    studies = f"array({_study(_CUSTOMER_ID)}, {_study(_DAY_ID)})"
+    pages = orders.selectExpr(f"to_json(struct(o_orderkey AS pageNo, {studies} AS studies)) AS page", f"{before} AS before")
+    # Quotes inside of texts are escaped, so this names the array alone.
+    opening = "'\"studies\":['"
+    pages.selectExpr(f"replace(page, {opening}, concat({opening}, coalesce(before || ',', ''))) AS value").write.mode("append").text(folder)
 
 
 def _comparable(tidy):
@@ -157,28 +160,21 @@ WHERE nct_id NOT IN (SELECT {_DAY_ID} FROM orders WHERE year(o_orderdate) = 1996
 
 
 # Every page has one study too many, which has a text or a list where an object belongs; none for every third order.
-_BAD_STUDY = """CASE o_orderkey % 5 WHEN 0 THEN parse_json('"no study"') WHEN 1 THEN parse_json('{"protocolSection":[1]}')
-    WHEN 2 THEN parse_json('{"protocolSection":{"identificationModule":{"nctId":"X1"},"statusModule":"done"}}')
-    WHEN 3 THEN parse_json('{"protocolSection":{"identificationModule":{"nctId":["X2"]},"statusModule":{"startDateStruct":2}}}')
-    ELSE parse_json('{"protocolSection":{"identificationModule":"X3","designModule":7}}') END"""
+_BAD_STUDY = """CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CASE o_orderkey % 5
+    WHEN 0 THEN '"no study"' WHEN 1 THEN '{"protocolSection":[1]}'
+    WHEN 2 THEN '{"protocolSection":{"identificationModule":{"nctId":"X1"},"statusModule":"done"}}'
+    WHEN 3 THEN '{"protocolSection":{"identificationModule":{"nctId":["X2"]},"statusModule":{"startDateStruct":2}}}'
+    ELSE '{"protocolSection":{"identificationModule":"X3","designModule":7}}' END END"""
 _FAULTS = """CASE o_orderkey % 5 WHEN 0 THEN 'study' WHEN 1 THEN 'protocolSection' WHEN 2 THEN 'protocolSection.statusModule'
     WHEN 3 THEN 'protocolSection.statusModule.startDateStruct|protocolSection.identificationModule.nctId'
     ELSE 'protocolSection.identificationModule|protocolSection.designModule' END"""
 
 
-def _land_with_bad_studies(orders, folder):
-    sound = f"array(parse_json(to_json({_study(_CUSTOMER_ID)})), parse_json(to_json({_study(_DAY_ID)})))"
-    pages = orders.selectExpr(
-        "o_orderkey AS pageNo", f"CASE WHEN o_orderkey % 3 = 0 THEN {sound} ELSE concat(array({_BAD_STUDY}), {sound}) END AS studies"
-    )
-    pages.select(F.to_json(F.struct("pageNo", "studies")).alias("value")).write.mode("append").text(folder)
-
-
 @register
 def study_rejects(spark, sf):
     """Rejected studies by order, and the studies beside them, all of which are ingested."""
     folder, rejects = shared_path(spark, "pages"), shared_path(spark, "rejects")
-    _land_with_bad_studies(table(spark, sf, "orders"), folder)
+    land_pages(table(spark, sf, "orders"), folder, before=_BAD_STUDY)
     kept = ingest(spark, folder, multi_line=False, rejects=rejects, **WINDOW)
     bad = spark.read.parquet(rejects).select(
         "page_no", F.col("pos").cast("bigint").alias("pos"), F.array_join("faults", "|").alias("what")

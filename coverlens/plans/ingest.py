@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coverlens import schema
 from coverlens.functions import vocab
@@ -12,19 +13,23 @@ from coverlens.functions.dates import within
 from coverlens.functions.labels import Rules, has_status
 from coverlens.operators.dedupe import first_wins, unseen_only
 from coverlens.session import stored
-from coverlens.sources.pages import pick_studies, read_pages, readable_pages, rejected, with_derived
+from coverlens.sources.pages import pick_or_reject, pick_studies, read_pages, readable_pages, with_derived
 from coverlens.sources.seen import SeenIds
 from coverlens.sources.tidy import read_tidy, write_tidy
 
 
-def eligible(
-    studies: DataFrame,
+def is_eligible(
     start_from: str = vocab.START_FROM,
     start_to: str = vocab.START_TO,
     statuses: Iterable[str] = vocab.ELIGIBLE_STATUSES,
-) -> DataFrame:
+) -> Column:
+    """Whether a study starts in the window and has one of the statuses."""
+    return within("start_date", start_from, start_to) & has_status("overall_status", statuses)
+
+
+def eligible(studies: DataFrame, **window) -> DataFrame:
     """Studies that start in the window and have one of the statuses."""
-    return studies.where(within("start_date", start_from, start_to) & has_status("overall_status", statuses))
+    return studies.where(is_eligible(**window))
 
 
 def ingest(
@@ -41,13 +46,16 @@ def ingest(
 
     Filters come before de-duplication, so a rejected version of a study does not hide a later one;
     classification comes after it, on the rows that stay. A page or a study that cannot be read fails the job; with a path
-    for ``rejects`` it is left out and written there instead (:func:`rejected`), when this is called.
+    for ``rejects`` it is left out and written there instead (:func:`rejected`), when this is called; the pages are then
+    read once, and the eligible studies stored.
     """
     pages = read_pages(spark, path, max_pages, multi_line)
     if rejects:
-        rejected(pages).write.mode("overwrite").parquet(rejects)
-    skip = rejects is not None
-    studies = eligible(pick_studies(readable_pages(pages, skip), skip), **window)
+        found = stored(pick_or_reject(pages, is_eligible(**window)), "studies")
+        found.where(F.size("faults") > 0).select(*schema.REJECTED).write.mode("overwrite").parquet(rejects)
+        studies = found.where(F.size("faults") == 0).drop("faults", "record")
+    else:
+        studies = eligible(pick_studies(readable_pages(pages)), **window)
     fresh = first_wins(studies, "nct_id", schema.ARRIVAL)
     if seen is not None:
         fresh = unseen_only(fresh, seen)

@@ -11,6 +11,16 @@ PAGE = """
     _corrupt_record string
 """
 
+# The fields of a study that are kept, where they stand in it.
+STUDY = """struct<protocolSection: struct<
+    identificationModule: struct<nctId: string>,
+    oversightModule: struct<oversightHasDmc: string>,
+    designModule: struct<studyType: string, phases: variant>,
+    sponsorCollaboratorsModule: struct<leadSponsor: struct<class: string>>,
+    statusModule: struct<overallStatus: string, whyStopped: string,
+        startDateStruct: struct<date: string>, primaryCompletionDateStruct: struct<date: string>>,
+    conditionsModule: struct<conditions: variant>>>"""
+
 # The objects of a study that hold the fields kept, and the paths of the plain texts among these.
 OBJECTS = [
     "protocolSection",
@@ -58,3 +68,6 @@ DEFAULTS = {"therapeutic_area": vocab.DEFAULT_AREA}
 
 # Order in which a study arrived: page, then file (equal page numbers), then place on the page.
 ARRIVAL = ["page_no", "page_file", "pos"]
+
+# What is kept of a page or study that cannot be read: where it stood, the paths at fault, its text.
+REJECTED = [*ARRIVAL, "faults", "record"]

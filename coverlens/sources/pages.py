@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from coverlens import schema
 from coverlens.functions import vocab
 from coverlens.functions.dates import year_of
 from coverlens.functions.labels import Rules, area_of, parse_flag, phase_of_code, phase_of_codes
-from coverlens.functions.nested import variant_is_object, variant_list, variant_text
+from coverlens.functions.nested import variant_list, variant_text
 from coverlens.functions.text import joined_lower
 from coverlens.sources.contracts import require_path
 
@@ -74,63 +77,89 @@ def readable_pages(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame
     return pages.withColumn("studies", F.when(unreadable, failed).otherwise(F.col("studies")))
 
 
+def _studies(pages: DataFrame) -> DataFrame:
+    """One row per study, or page without studies: ``study``, and ``known``, its fields in one pass (``schema.STUDY``).
+
+    They are taken out before the pages are unfolded, as filters on them would otherwise be applied with all the taking out again.
+    """
+    each = F.transform("studies", lambda v: F.struct(v.alias("study"), F.try_variant_get(v, "$", schema.STUDY).alias("known")))
+    rows = pages.select("page_no", "page_file", "_corrupt_record", F.col("studies").isNull().alias("bare"), F.posexplode_outer(each).alias("pos", "each"))
+    return rows.select("page_no", "page_file", "_corrupt_record", "bare", "pos", "each.study", "each.known")
+
+
+def _known(path: str) -> Column:
+    return F.col(f"known.{path}")
+
+
 def _study_faults() -> Column:
     """Paths where a study has a scalar or a list instead of an object, or an ID that is no scalar; empty for a sound one."""
     study = F.col("study")
-    whole = F.when(variant_is_object(study), None).when(variant_text(study).isNotNull(), F.lit("study"))
+    whole = F.when(F.col("known").isNotNull(), None).when(variant_text(study).isNotNull(), F.lit("study"))
     parts = [
-        F.when(variant_is_object(study, path), None).when(variant_text(study, path).isNotNull(), F.lit(path))
-        for path in schema.OBJECTS
+        F.when(_known(path).isNotNull(), None).when(variant_text(study, path).isNotNull(), F.lit(path)) for path in schema.OBJECTS
     ]
-    key = F.when(variant_text(study, schema.STUDY_ID).substr(1, 1).isin("{", "["), F.lit(schema.STUDY_ID))
-    return F.array_compact(F.array(whole, *parts, key))
+    nested = _known(schema.STUDY_ID).substr(1, 1).isin("{", "[")
+    # A study that has every part is sound at a glance.
+    full = reduce(and_, [_known(path).isNotNull() for path in schema.OBJECTS]) & ~F.coalesce(nested, F.lit(False))
+    found = F.array_compact(F.array(whole, *parts, F.when(nested, F.lit(schema.STUDY_ID))))
+    return F.when(full, F.array().cast("array<string>")).otherwise(found)
+
+
+def _with_faults(pages: DataFrame) -> DataFrame:
+    """The rows of :func:`_studies`: ``faults`` is empty for what can be read, ``record`` the text of what cannot."""
+    broken = F.col("bare") & F.col("_corrupt_record").isNotNull()
+    faults = F.when(broken, F.array(F.lit("page"))).otherwise(_study_faults())
+    record = F.when(broken, F.col("_corrupt_record")).when(F.size(faults) > 0, variant_text("study"))
+    return _studies(pages).withColumns({"faults": faults, "record": record})
 
 
 def rejected(pages: DataFrame) -> DataFrame:
     """What of the pages cannot be read, in one scan: whole pages (``pos`` is null) and single studies with the paths at fault."""
-    studies = pages.select("page_no", "page_file", "_corrupt_record", F.col("studies").isNull().alias("bare"), F.posexplode_outer("studies").alias("pos", "study"))
-    broken = F.col("bare") & F.col("_corrupt_record").isNotNull()
-    found = studies.withColumn("faults", F.when(broken, F.array(F.lit("page"))).otherwise(_study_faults()))
-    return found.where("size(faults) > 0").select(
-        "page_no", "page_file", "pos", "faults", F.when(broken, F.col("_corrupt_record")).otherwise(variant_text("study")).alias("record")
-    )
+    return _with_faults(pages).where("size(faults) > 0").select(*schema.REJECTED)
 
 
-def pick_studies(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame:
-    """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``).
+def pick_or_reject(pages: DataFrame, kept: Column) -> DataFrame:
+    """The studies of :func:`pick_studies` that are ``kept`` and the rows of :func:`rejected`, in one scan; the former have no ``faults``."""
+    picked = _with_faults(pages).select(*schema.REJECTED, *_picked())
+    # Faults last, as they take longest to find.
+    return picked.where(((F.col("nct_id") != "") & kept) | (F.size("faults") > 0))
 
-    A study in which a part is no object, or the ID no scalar, fails the job; ``skip_unreadable`` leaves it out alone, and the
-    caller keeps :func:`rejected`.
-    """
-    studies = pages.select("page_no", "page_file", F.posexplode("studies").alias("pos", "study"))
-    study, sound = F.col("study"), F.size(_study_faults()) == 0
-    nct_id = variant_text(study, schema.STUDY_ID)
-    if skip_unreadable:
-        nct_id = F.when(sound, nct_id)
-    else:
-        failed = F.raise_error(F.concat(F.lit("A study cannot be read: "), "page_file", F.lit(", place "), F.col("pos").cast("string")))
-        nct_id = F.when(sound, nct_id).otherwise(failed.cast("string"))
+
+def _picked() -> list[Column]:
+    """The arriving columns of a study."""
 
     def part(path: str) -> Column:
-        return variant_text(study, f"protocolSection.{path}")
+        return _known(f"protocolSection.{path}")
 
-    phases = "protocolSection.designModule.phases"
-    phase_list = F.try_variant_get(study, f"$.{phases}", "array<string>")
-    return studies.select(
-        *schema.ARRIVAL,
-        nct_id.alias("nct_id"),
+    phases = part("designModule.phases")
+    phase_list = F.try_variant_get(phases, "$", "array<string>")
+    return [
+        _known(schema.STUDY_ID).alias("nct_id"),
         parse_flag(part("oversightModule.oversightHasDmc")).alias("has_dmc"),
-        F.when(phase_list.isNotNull(), phase_of_codes(phase_list))
-        .otherwise(phase_of_code(variant_text(study, phases)))
-        .alias("phase"),
+        F.when(phase_list.isNotNull(), phase_of_codes(phase_list)).otherwise(phase_of_code(variant_text(phases))).alias("phase"),
         part("designModule.studyType").alias("study_type"),
         part("sponsorCollaboratorsModule.leadSponsor.class").alias("sponsor_class"),
         F.upper(part("statusModule.overallStatus")).alias("overall_status"),
         part("statusModule.whyStopped").alias("why_stopped"),
         part("statusModule.startDateStruct.date").alias("start_date"),
         part("statusModule.primaryCompletionDateStruct.date").alias("primary_completion_date"),
-        variant_list(study, "protocolSection.conditionsModule.conditions").alias("conditions"),
-    ).where("nct_id <> ''")
+        variant_list(part("conditionsModule.conditions")).alias("conditions"),
+    ]
+
+
+def pick_studies(pages: DataFrame, skip_unreadable: bool = False) -> DataFrame:
+    """One row per study that has an ID: the arriving columns, with the arrival order (``schema.ARRIVAL``).
+
+    A study in which a part is no object, or the ID no scalar, fails the job; ``skip_unreadable`` leaves it out alone, and the
+    caller keeps :func:`rejected`.
+    """
+    sound, (nct_id, *others) = F.size(_study_faults()) == 0, _picked()
+    if skip_unreadable:
+        nct_id = F.when(sound, nct_id)
+    else:
+        failed = F.raise_error(F.concat(F.lit("A study cannot be read: "), "page_file", F.lit(", place "), F.col("pos").cast("string")))
+        nct_id = F.when(sound, nct_id).otherwise(failed.cast("string"))
+    return _studies(pages).select(*schema.ARRIVAL, nct_id.alias("nct_id"), *others).where("nct_id <> ''")
 
 
 def with_derived(studies: DataFrame, rules: Rules = vocab.AREA_RULES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from coverlens import schema
 from coverlens.plans.ingest import ingest, ingest_run
-from coverlens.sources.pages import flatten_studies, read_pages, unreadable_pages
+from coverlens.sources.pages import flatten_studies, read_pages, rejected, unreadable_pages
 from coverlens.sources.seen import SeenIds
 from coverlens.streaming.incremental import add_batch, read_ingested, run_incremental
 
@@ -191,6 +191,15 @@ def test_badly_typed_studies_cost_themselves(spark, tmp_path):
     assert ids(emitted) == ["A", "D"]
 
 
+def test_rejects_and_studies_come_from_one_scan(spark, tmp_path):
+    land(tmp_path / "in", 1, [study("A"), "text"])
+    pages = read_pages(spark, str(tmp_path / "in"))
+    tidy = ingest(spark, str(tmp_path / "in"), rejects=str(tmp_path / "bad"))
+    assert not [f for f in tidy.inputFiles() if f.endswith(".json")]  # the pages are not read again
+    assert ids(tidy) == ["A"]
+    assert rows(spark.read.parquet(str(tmp_path / "bad"))) == rows(rejected(pages)) != []
+
+
 def test_page_numbers(spark, tmp_path):
     for name, opener in (("page-00001.json.bz2", bz2.open), ("page-00002.json.gz", gzip.open)):
         with opener(tmp_path / name, "wt") as f:
