@@ -111,7 +111,10 @@ class SeenIds:
 
     def among(self, batch: DataFrame, without: int | str | None = None) -> DataFrame:
         """The IDs of a stored batch that are in the set, or in a generation of it but one. Reads the filters of the buckets
-        that the batch's IDs fall into, then the buckets that may hold one. Only bucket numbers reach the driver."""
+        that the batch's IDs fall into, then the buckets that may hold one. Only bucket numbers reach the driver.
+
+        The joins are merge joins by hint: Spark takes the IDs for a column like the others of the batch's file, though they are most
+        of it, and would broadcast millions of them through the driver."""
         epoch, key = self._epoch(), self.key
         tables = self._manifest(epoch)[1]
         nothing = self.spark.createDataFrame([], f"{key} string")
@@ -127,7 +130,7 @@ class SeenIds:
         for place, buckets in sorted(opened.items()):
             own = self._ids(epoch, tables[place], None if without is None else str(without), sorted(buckets))
             found = found.unionByName(own.select(key))
-        return found.join(keys, key, "left_semi").distinct()
+        return found.join(keys.hint("merge"), key, "left_semi").distinct()
 
     def _possible(self, epoch: str, tables: dict[int, dict], keys: DataFrame) -> DataFrame:
         """(place, bucket) of the tables' buckets whose filters do not rule out all of the keys."""
@@ -142,10 +145,15 @@ class SeenIds:
         asked = keys.select(key, F.explode(sizes).alias("of"), _bits(key).alias("every"))
         asked = asked.select(key, F.col("of.place").alias("place"), _bucket(key, F.col("of.buckets")).alias("bucket"), F.explode("every").alias("one"))
         asked = asked.select(key, "place", "bucket", F.col("one.word").alias("word"), F.col("one.bit").alias("bit"))
-        hit = asked.join(filters, ["place", "bucket", "word"]).where(F.expr("shiftright(bits, bit) & 1") == 1)
+        hit = asked.join(filters.hint("merge"), ["place", "bucket", "word"]).where(F.expr("shiftright(bits, bit) & 1") == 1)
         maybe = hit.groupBy(key, "place", "bucket").agg(F.count("*").alias("n")).where(F.col("n") == HASHES)
         return maybe.select("place", "bucket").distinct()
 
+    def unseen(self, batch: DataFrame, without: int | str | None = None) -> DataFrame:
+        """The rows of a stored batch whose ID is not in the set, or only in the generation left out (:meth:`among`)."""
+        known = self.among(batch.select(self.key), without)
+        return batch.join(known.hint("merge"), self.key, "left_anti")
+
     def _write(self, epoch: str, rows: DataFrame, level: int, generations: list[str]) -> dict:
         """A new table of (key, generation), with filters if it has several buckets. Without rows it is a name alone."""
         name = f"table-{uuid.uuid4().hex}"

@@ -62,8 +62,7 @@ def add_batch(studies: DataFrame, batch_id: int, out: str, stream: str = "0", ru
     candidates = spark.read.schema(schema.PICKED).parquet(candidates_path)
     seen = _seen(spark, out)
     _index_emitted(spark, out, seen, but=own)
-    known = seen.among(candidates.select("nct_id"), without=own)
-    fresh = with_derived(candidates.join(known, "nct_id", "left_anti"), rules).select(*schema.TIDY_COLUMNS)
+    fresh = with_derived(seen.unseen(candidates, without=own), rules).select(*schema.TIDY_COLUMNS)
     fresh.write.mode("overwrite").parquet(f"{out}/{own}")
     seen.add(spark.read.schema(schema.TIDY).parquet(f"{out}/{own}"), own)
     files.delete(spark, candidates_path)

@@ -128,6 +128,26 @@ def test_a_stream_that_dies_between_output_and_ids_repeats_nothing(spark, tmp_pa
     assert emitted == [("A", 0), ("B", 0), ("C", 1), ("D", 0)]
 
 
+@pytest.fixture()
+def broadcasts_fail(spark):
+    """Any join that broadcasts a row fails, however few there are."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_a_stream_broadcasts_no_ids(spark, tmp_path, monkeypatch, broadcasts_fail):
+    """Neither those of a batch nor seen ones, be they in one bucket or in several with filters: they would pass through the driver."""
+    for per_bucket in (1000, 10):
+        out = str(tmp_path / f"out{per_bucket}")
+        monkeypatch.setattr(incremental, "_seen", lambda s, o, n=per_bucket: SeenIds(s, f"{o}/_seen", per_bucket=n))
+        incremental.add_batch(studies(spark, [f"N{i}" for i in range(60)]), 0, out, "s1")
+        assert [t["buckets"] for t in SeenIds(spark, f"{out}/_seen").tables()] == [1 if per_bucket == 1000 else 8]
+        incremental.add_batch(studies(spark, [f"N{i}" for i in range(40, 90)]), 1, out, "s1")
+        emitted = sorted((int(r.nct_id[1:]), r.batch_id) for r in incremental.read_ingested(spark, out).collect())
+        assert emitted == [(i, int(i >= 60)) for i in range(90)]
+
+
 def test_two_streams_keep_their_candidates_apart(spark, tmp_path, monkeypatch):
     """While one batch is between its candidates and its output, another stream's batch runs to its end."""
     out, inner = str(tmp_path / "out"), []
