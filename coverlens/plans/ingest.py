@@ -66,13 +66,12 @@ def ingest_run(spark: SparkSession, path: str, out: str, seen: SeenIds, run: int
     """One numbered run of a repeated batch ingestion: adds the studies that no earlier run has emitted.
 
     The run owns the folder ``run=N`` under ``out`` and generation ``N`` of the seen IDs, and looks at all others,
-    later ones too. Running it again replaces both. The eligible IDs are stored first; of the seen IDs only those buckets are
-    read that may hold one of them.
+    later ones too. Running it again replaces both. The eligible studies are stored first; of the seen IDs only those buckets
+    are read that may hold one of theirs, and neither these nor theirs are broadcast.
     """
     folder = f"{out.rstrip('/')}/run={run}"
     studies = stored(ingest(spark, path, **options), "run")
-    known = seen.among(studies.select("nct_id"), without=run)
-    write_tidy(studies.join(known, "nct_id", "left_anti").select(*schema.TIDY_COLUMNS), folder, mode="overwrite")
+    write_tidy(seen.unseen(studies, without=run).select(*schema.TIDY_COLUMNS), folder, mode="overwrite")
     written = read_tidy(spark, folder)
     seen.add(written, generation=run)
     return written

@@ -1,11 +1,13 @@
 """The seen IDs as tables of buckets: what a batch reads, merging, crashes, and the stream's use of it."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from coverlens import schema
+from coverlens.plans.ingest import ingest_run
 from coverlens.sources import files
 from coverlens.sources.seen import SeenIds
 from coverlens.streaming import incremental
@@ -148,6 +150,21 @@ def test_a_stream_broadcasts_no_ids(spark, tmp_path, monkeypatch, broadcasts_fai
         assert emitted == [(i, int(i >= 60)) for i in range(90)]
 
 
+def test_repeated_runs_broadcast_no_ids(spark, tmp_path, broadcasts_fail):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    for per_bucket in (1000, 10):
+        seen = SeenIds(spark, str(tmp_path / f"seen{per_bucket}"), per_bucket=per_bucket)
+        for run, numbers in ((1, range(60)), (2, range(40, 90))):
+            status = {"overallStatus": "COMPLETED", "startDateStruct": {"date": "2012-03-04"}}
+            page = [{"protocolSection": {"identificationModule": {"nctId": f"N{i}"}, "statusModule": status}} for i in numbers]
+            (landing / f"page-{run}.json").write_text(json.dumps({"studies": page}))
+            emitted = ingest_run(spark, str(landing), f"{out}{per_bucket}", seen, run)
+            assert sorted(int(r.nct_id[1:]) for r in emitted.select("nct_id").collect()) == [i for i in numbers if run == 1 or i >= 60]
+        assert max(t["buckets"] for t in seen.tables()) == (1 if per_bucket == 1000 else 8)
+        (landing / "page-2.json").unlink()
+
+
 def test_two_streams_keep_their_candidates_apart(spark, tmp_path, monkeypatch):
     """While one batch is between its candidates and its output, another stream's batch runs to its end."""
     out, inner = str(tmp_path / "out"), []
